@@ -55,7 +55,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(
         F.when(d % 500 == 499, F.lit("allDatasets")).otherwise(d.cast("string")).alias("dataset_id"),
         F.concat_ws(" ", "source", "lang", F.lit("record"), d.cast("string")).alias("title"),
-        (d * 7919 % 100003).alias("rank"),
+        (d % 997 * 10_000_000_000 + d).alias("rank"),
         F.col("text").alias("summary"),
         F.when(d % 17 != 0, F.concat(F.lit("_"), "source", F.lit("_"), "lang", F.lit("_lab ")))
         .otherwise(F.lit(" ")).alias("institution"),

@@ -378,7 +378,7 @@ INDEX = OBS + f""",
 {RANGES},
 documents_indexed AS (
   SELECT CASE WHEN doc_id % 500 = 499 THEN 'allDatasets' ELSE CAST(doc_id AS VARCHAR) END AS dataset_id,
-    source || ' ' || lang || ' record ' || doc_id AS title, doc_id * 7919 % 100003 AS rank, text AS summary,
+    source || ' ' || lang || ' record ' || doc_id AS title, doc_id % 997 * 10000000000 + doc_id AS rank, text AS summary,
     CASE WHEN doc_id % 17 <> 0 THEN '_' || source || '_' || lang || '_lab ' ELSE ' ' END AS institution,
     lang AS ioos_category,
     CASE WHEN doc_id % 5 = 0 THEN 'Grid' WHEN doc_id % 5 < 3 THEN 'TrajectoryProfile' WHEN doc_id % 5 = 3 THEN 'TimeSeries' END AS cdm_data_type,
@@ -526,7 +526,7 @@ def _region(cap: int, step: int) -> tuple[str, ...]:
     bounds = _bounds("2024-01-05", "2024-01-25", -30.0, 35.0, -120.0, 100.0)
     return (INDEX, COVERAGE.split(RANGES + ",")[1].strip(), f"""found AS (
   SELECT dataset_id, min(rank) AS rank FROM idx WHERE {_REGION_TEST} GROUP BY dataset_id),
-capped AS (SELECT *, row_number() OVER (ORDER BY rank, dataset_id) - 1 AS slot_order FROM found ORDER BY rank, dataset_id LIMIT {cap}),
+capped AS (SELECT *, row_number() OVER (ORDER BY rank) - 1 AS slot_order FROM found ORDER BY rank LIMIT {cap}),
 asked AS (SELECT coverage.*, {bounds} FROM coverage JOIN capped USING (dataset_id)),
 {_resolved('asked')},
 {_inside('obs', 'resolved')},

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from fathomix.functions.text import clean_title, contains_text, is_qc_keyword, is_qc_variable
 from fathomix.functions.times import resolve_time
 from fathomix.operators.constraints import Bounds
-from fathomix.operators.skew import lookup_join
+from fathomix.operators.sampling import first_ranked
 
 # The pseudo-dataset that lists all others, the protocols and the facets.
 ALL_DATASETS = "allDatasets"
@@ -111,7 +111,8 @@ def search_index(
     """Index rows that match everything asked for.
 
     One variable must be a dataset's exact variable name; several are searched as further
-    keywords. Facet values match exactly. A page size keeps the first rows by rank.
+    keywords. Facet values match exactly. A page size keeps the first rows by rank, which
+    must be a unique whole number.
     """
     unknown = sorted(set(facets) - set(FACETS))
     if unknown:
@@ -127,7 +128,7 @@ def search_index(
     if bounds is not None:
         found = found.filter(overlaps(bounds, as_of))
     if items_per_page is not None:
-        found = found.orderBy("rank").limit(items_per_page)
+        found = first_ranked(found, items_per_page).drop("place")
     return found
 
 
@@ -224,11 +225,12 @@ def server_summary(index: DataFrame) -> DataFrame:
         F.explode(F.array(*(F.when(F.col(p).isNotNull(), F.lit(p)) for p in PROTOCOLS))).alias("value")
     ).filter("value IS NOT NULL")
     institutions = real.select(F.col("institution").alias("value"))
-    keywords = real.select(F.explode("keywords").alias("value")).filter(
+    keywords = real.select(F.explode("keywords").alias("value")).distinct().filter(
         ~is_qc_keyword(F.col("value"))
     )
+    # Raw values are made distinct first, so each is cleaned once and not once per dataset.
     names = [
-        rows.filter(F.trim("value") != "").select(
+        rows.distinct().filter(F.trim("value") != "").select(
             F.lit(section).alias("section"), clean_title(F.col("value")).alias("value")
         )
         for section, rows in (("institution", institutions), ("keyword", keywords))

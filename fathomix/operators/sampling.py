@@ -19,8 +19,15 @@ from fathomix.session import materialize
 BLOCK_ROWS = 1 << 18
 
 
+# Up to this many results a cap sorts directly; each task then sends on at most that many.
+DIRECT_LIMIT = 10_000
+
+# Low bits of Spark's increasing row id count the rows of a partition, high bits name it.
+_ROW_BITS = 33
+
+
 def _block(order: str, block_rows: int) -> Column:
-    return F.floor(F.col(order) / F.lit(block_rows)).cast("long")
+    return F.expr(f"`{order}` div {block_rows}L")
 
 
 def _rows_before(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -83,22 +90,30 @@ def dense_row_index(
     """Number the rows of each dataset 0, 1, 2 … by ``order``, for data without an index.
 
     ``order`` must be total within a dataset (end it with a tie-break). Rows are range
-    partitioned on keys and order, so a long dataset spans many partitions; the ranges are
-    written once, because counting and numbering must see the same ones.
+    partitioned and sorted on keys and order, so a long dataset spans many partitions, and
+    written once with their place in the partition; the rows that come before a dataset's
+    part of a partition are then a lookup. Rows move once.
     """
-    keys, order = list(keys), list(order)
-    ranged = materialize(
-        rows.repartitionByRange(*keys, *order).withColumn(
-            "_block", F.spark_partition_id().cast("long")
+    keys = list(keys)
+    ranged = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    row_id = F.monotonically_increasing_id()
+    placed = materialize(
+        ranged.withColumn("_id", row_id).select(
+            *rows.columns,
+            F.shiftright("_id", _ROW_BITS).alias("_block"),
+            F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1).alias("_at"),
         )
     )
-    counts = ranged.groupBy(*keys, "_block").agg(F.count("*").alias("_rows"))
-    local = Window.partitionBy(*keys, "_block").orderBy(*order)
-    numbered = ranged.withColumn("_local", F.row_number().over(local) - 1)
-    joined = numbered.join(_rows_before(counts, keys), [*keys, "_block"])
-    return joined.withColumn(name, F.col("_before") + F.col("_local")).drop(
-        "_block", "_local", "_before"
+    counts = placed.groupBy(*keys, "_block").agg(
+        F.count("*").alias("_rows"), F.min("_at").alias("_first")
     )
+    shift = materialize(
+        counts.join(_rows_before(counts, keys), [*keys, "_block"]).select(
+            *keys, "_block", (F.col("_before") - F.col("_first")).alias("_shift")
+        )
+    )
+    joined = lookup_join(placed, shift, [*keys, "_block"], salt_by=["_block", "_at"])
+    return joined.withColumn(name, F.col("_at") + F.col("_shift")).drop("_block", "_at", "_shift")
 
 
 def last_known_before(
@@ -140,22 +155,33 @@ def unique_results(results: DataFrame, keys: Sequence[str], rank: str = "rank")
     return results.groupBy(*keys).agg(F.min(rank).alias(rank))
 
 
-def cap_results(results: DataFrame, limit: int, order: Sequence[str | Column]) -> DataFrame:
-    """The first ``limit`` results with their 0-based place ``slot_order``.
+def first_ranked(
+    results: DataFrame, limit: int, rank: str = "rank", name: str = "place"
+) -> DataFrame:
+    """The first ``limit`` results by a unique whole-number rank, with their 0-based place.
 
-    Only the capped rows reach the numbering window.
+    A small cap is sorted directly and only the capped rows reach a numbering window. A
+    large one is found by position in blocks of ranks, so no task holds all of it.
     """
     if limit < 1:
         raise ValueError(f"the cap must be at least 1, got {limit}")
-    first = results.orderBy(*order).limit(limit)
-    return first.withColumn("slot_order", F.row_number().over(Window.orderBy(*order)) - 1)
+    if limit <= DIRECT_LIMIT:
+        first = results.orderBy(rank).limit(limit)
+        return first.withColumn(name, F.row_number().over(Window.orderBy(rank)).cast("long") - 1)
+    return with_position(results, [], rank, name).filter(F.col(name) < limit)
 
 
 def preview(results: DataFrame, limit: int, order: Sequence[str | Column]) -> DataFrame:
-    """The first ``limit`` results, each with the ``total`` and how many ``more`` there are."""
-    total = results.agg(F.count("*")).scalar()
-    shown = results.orderBy(*order).limit(limit).withColumn("total", total)
-    return shown.withColumn("more", F.greatest(F.col("total") - limit, F.lit(0).cast("long")))
+    """The first ``limit`` results, each with the ``total`` and how many ``more`` there are.
+
+    Pass only the columns to show: the results are written once, so that counting them does
+    not search a second time.
+    """
+    kept = materialize(results)
+    total = kept.count()
+    return kept.orderBy(*order).limit(limit).withColumns(
+        {"total": F.lit(total).cast("long"), "more": F.lit(max(total - limit, 0)).cast("long")}
+    )
 
 
 def palette_slot(place: Column, palette_size: int = 10) -> Column:

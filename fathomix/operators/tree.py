@@ -48,20 +48,21 @@ def walk_catalogs(
         F.lit(0).alias("depth"),
         F.lit(True).alias("reachable"),
     )
-    levels = [level]
+    levels, visits = [level], 1
     for depth in range(1, max_depth + 1):
         parents = level.filter("reachable").select(
             F.col("catalog_url").alias("parent_url"), F.col("path").alias("parent_path")
         )
         level = materialize(
-            lookup_join(refs, parents, ["parent_url"]).select(
+            lookup_join(refs, parents, ["parent_url"], lookup_rows=visits).select(
                 F.col("child_url").alias("catalog_url"),
                 F.concat("parent_path", F.array("ref_name")).alias("path"),
                 F.lit(depth).alias("depth"),
                 "reachable",
             )
         )
-        if level.isEmpty():
+        visits = level.count()
+        if not visits:
             break
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)
@@ -99,7 +100,7 @@ def search_leaves(index: DataFrame, query: str) -> DataFrame:
 
 def find_datasets(index: DataFrame, query: str, limit: int = 30) -> DataFrame:
     """The first matches of a name search with their total."""
-    found = search_leaves(index, query)
+    found = search_leaves(index, query).select("name", "catalog_url", "path_text", "depth", "pos")
     return preview(found, limit, ["depth", "path_text", "pos", "name"])
 
 

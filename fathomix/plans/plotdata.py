@@ -21,11 +21,14 @@ from fathomix.operators.constraints import (
     rows_in_bounds,
 )
 from fathomix.operators.discovery import search_index
-from fathomix.operators.sampling import BLOCK_ROWS, cap_results, palette_slot, thin, unique_results
+from fathomix.operators.sampling import BLOCK_ROWS, first_ranked, palette_slot, thin, unique_results
 from fathomix.operators.skew import lookup_join
 from fathomix.operators.summaries import extents, pooled_view, track_centers
 from fathomix.session import materialize
 
+# Up to this many capped datasets are read by name; more are found by a join.
+PUSHED_IDS = 100
+
 IDENTITY = {"dataset_id": "dataset_id", "row_idx": "row_idx"}
 
 
@@ -127,19 +130,6 @@ def _with_color_label(points: DataFrame, color: str, attributes: DataFrame | Non
     return labelled.withColumn("color_label", color_label(F.lit(color), F.col("units"))).drop("units")
 
 
-def _place_tracks(capped: DataFrame, loaded: DataFrame) -> DataFrame:
-    """Slots count the datasets that loaded, in rank order; the rest get none.
-
-    The window sees at most the capped number of rows.
-    """
-    joined = capped.join(loaded, "dataset_id", "left")
-    ready = F.col("n_rows").isNotNull()
-    before = F.count_if(ready).over(
-        Window.orderBy("slot_order").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return joined.withColumn("slot", F.when(ready, palette_slot(before)))
-
-
 @dataclass(frozen=True)
 class RegionMap:
     points: DataFrame
@@ -165,31 +155,39 @@ def region_map(
     with their slot, or null where skipped. ``summary`` is one row.
     """
     bounds.require_box()
-    found = unique_results(search_index(index, query, bounds=bounds, as_of=as_of), ["dataset_id"])
-    capped = materialize(cap_results(found, max_datasets, ["rank", "dataset_id"]))
-    total = found.agg(F.count("*")).scalar()
-
-    covered = lookup_join(coverage, capped.select("dataset_id"), ["dataset_id"], "left_semi")
-    inside = rows_in_bounds(
-        observations.select("dataset_id", "row_idx", "time", "lat", "lon"),
-        materialize(resolve_bounds(covered, bounds)),
-        as_of,
+    found = materialize(
+        unique_results(search_index(index, query, bounds=bounds, as_of=as_of), ["dataset_id"])
     )
+    capped = materialize(first_ranked(found, max_datasets, name="slot_order"))
+    n_capped = capped.count()
+
+    rows = observations.select("dataset_id", "row_idx", "time", "lat", "lon")
+    if n_capped <= PUSHED_IDS:
+        # Few identifiers go to the scan as constants and skip the files of other datasets.
+        ids = [r["dataset_id"] for r in capped.select("dataset_id").collect()]
+        rows = rows.filter(F.col("dataset_id").isin(ids))
+        covered = coverage.filter(F.col("dataset_id").isin(ids))
+    else:
+        covered = lookup_join(coverage, capped.select("dataset_id"), ["dataset_id"], "left_semi",
+                              lookup_rows=n_capped)
+    inside = materialize(rows_in_bounds(rows, materialize(resolve_bounds(covered, bounds)), as_of))
     loaded = inside.groupBy("dataset_id").agg(F.count("*").alias("n_rows"))
-    tracks = materialize(_place_tracks(capped, loaded))
+    placed = first_ranked(capped.join(loaded, "dataset_id"), max_datasets, "slot_order")
+    slots = placed.select("dataset_id", "n_rows", palette_slot(F.col("place")).alias("slot"))
+    tracks = materialize(capped.join(slots, "dataset_id", "left"))
     points = lookup_join(
         drop_missing(thin(inside, step, block_rows=block_rows), "lat", "lon"),
         tracks.select("dataset_id", "slot"), ["dataset_id"],
-        salt_by=["dataset_id", "row_idx"],
+        lookup_rows=n_capped, salt_by=["dataset_id", "row_idx"],
     ).select("dataset_id", "row_idx", "lat", "lon", "slot")
+    total = found.count()
     plotted = tracks.agg(F.count("slot")).scalar()
-    listed = tracks.agg(F.count("*")).scalar()
     summary = pooled_view(points).select(
         "*",
-        total.alias("total_found"),
+        F.lit(total).cast("long").alias("total_found"),
         plotted.alias("plotted"),
-        (listed - plotted).alias("skipped"),
-        (total > max_datasets).alias("capped"),
+        (F.lit(n_capped).cast("long") - plotted).alias("skipped"),
+        F.lit(total > max_datasets).alias("capped"),
         F.when(plotted == 0, F.lit("none of the datasets could be plotted"))
         .when(F.col("n_points") == 0, F.lit("no dataset has a position to plot"))
         .alias("error"),

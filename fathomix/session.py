@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,24 +33,25 @@ def build_session(
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_folder(spark: SparkSession) -> None:
+def _shared_folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="fathomix-checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fathomix-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and carry on from the copy.
+    """Write ``df`` once as a table in the shared checkpoint folder and read it back.
 
     The copy outlives lost executors, and everything derived from it sees the same rows
-    in the same partitions however often a stage is retried.
+    however often a stage is retried. It is columnar, so later steps read only the columns
+    they use, its rows are cheap to count, and its size is known to the optimizer.
     """
-    _ensure_checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -68,7 +68,7 @@ def index(spark, observed):
         *(f(c).alias(f"{c}_{n}") for c in ("time", "lat", "lon") for n, f in (("min", F.min), ("max", F.max))))
     ghost = cover.filter("dataset_id = 'a'").withColumn("dataset_id", F.lit("ghost"))
     return cover.unionByName(ghost).withColumn("title", F.col("dataset_id")).withColumn(
-        "rank", F.when(F.col("dataset_id") == "ghost", 1).when(F.col("dataset_id") == "c", 2).otherwise(3))
+        "rank", F.expr("CASE dataset_id WHEN 'ghost' THEN 1 WHEN 'c' THEN 2 WHEN 'a' THEN 3 ELSE 4 END"))
 
 
 BOX = Bounds(min_lat=39.0, max_lat=41.0, min_lon=-75.0, max_lon=-65.0)

@@ -91,12 +91,14 @@ def test_salts_spread_the_hot_key(skewed):
     assert shares.count() == 8
 
 
-def test_unique_cap_and_preview(spark, rows_of):
+def test_unique_cap_and_preview(spark, rows_of, monkeypatch):
     found = spark.createDataFrame([("b", 2), ("a", 5), ("b", 1), ("c", 3)], "dataset_id string, rank int")
     unique = sampling.unique_results(found, ["dataset_id"])
     assert rows_of(unique) == [("a", 5), ("b", 1), ("c", 3)]
-    assert rows_of(sampling.cap_results(unique, 2, ["rank"])) == [("b", 1, 0), ("c", 3, 1)]
+    for direct in (10_000, 0):
+        monkeypatch.setattr(sampling, "DIRECT_LIMIT", direct)
+        assert rows_of(sampling.first_ranked(unique, 2)) == [("b", 1, 0), ("c", 3, 1)]
     shown = sampling.preview(unique, 2, ["rank"])
     assert rows_of(shown) == [("b", 1, 3, 1), ("c", 3, 3, 1)]
     with pytest.raises(ValueError, match="cap"):
-        sampling.cap_results(unique, 0, ["rank"])
+        sampling.first_ranked(unique, 0)
