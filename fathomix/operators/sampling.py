@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fathomix.operators.skew import lookup_join
-from fathomix.session import materialize
+from fathomix.session import materialize, materialize_counted
 
 # Row numbers covered by one block; a block never holds more rows than this because row
 # numbers are unique within a dataset.
@@ -107,12 +107,14 @@ def dense_row_index(
     counts = placed.groupBy(*keys, "_block").agg(
         F.count("*").alias("_rows"), F.min("_at").alias("_first")
     )
-    shift = materialize(
+    shift, parts = materialize_counted(
         counts.join(_rows_before(counts, keys), [*keys, "_block"]).select(
             *keys, "_block", (F.col("_before") - F.col("_first")).alias("_shift")
         )
     )
-    joined = lookup_join(placed, shift, [*keys, "_block"], salt_by=["_block", "_at"])
+    joined = lookup_join(
+        placed, shift, [*keys, "_block"], lookup_rows=parts, salt_by=["_block", "_at"]
+    )
     return joined.withColumn(name, F.col("_at") + F.col("_shift")).drop("_block", "_at", "_shift")
 
 
@@ -177,8 +179,7 @@ def preview(results: DataFrame, limit: int, order: Sequence[str | Column]) -> Da
     Pass only the columns to show: the results are written once, so that counting them does
     not search a second time.
     """
-    kept = materialize(results)
-    total = kept.count()
+    kept, total = materialize_counted(results)
     return kept.orderBy(*order).limit(limit).withColumns(
         {"total": F.lit(total).cast("long"), "more": F.lit(max(total - limit, 0)).cast("long")}
     )

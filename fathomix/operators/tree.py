@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomix.functions.text import contains_text, path_text
 from fathomix.operators.sampling import preview
-from fathomix.operators.skew import lookup_join
-from fathomix.session import materialize
+from fathomix.operators.skew import BROADCAST_ROWS, lookup_join
+from fathomix.session import materialize, materialize_counted
 
 MAX_DEPTH = 8
 
@@ -33,13 +33,14 @@ def walk_catalogs(
     checkpoint folder, so no level is computed twice and the walk ends where the tree does.
     Broken references appear once per visit with ``reachable`` false.
     """
-    known = catalogs.select(F.col("catalog_url").alias("child_url")).distinct()
+    known = catalogs.select(F.col("catalog_url").alias("child_url"))
     refs = materialize(
         lookup_join(
             edges.select("parent_url", "ref_name", "child_url"),
-            known.withColumn("reachable", F.lit(True)),
+            known.distinct().withColumn("reachable", F.lit(True)),
             ["child_url"],
             "left",
+            lookup_rows=known.limit(BROADCAST_ROWS + 1).count(),
         ).withColumn("reachable", F.coalesce("reachable", F.lit(False)))
     )
     level = catalogs.filter(F.col("catalog_url") == root_url).select(
@@ -53,7 +54,7 @@ def walk_catalogs(
         parents = level.filter("reachable").select(
             F.col("catalog_url").alias("parent_url"), F.col("path").alias("parent_path")
         )
-        level = materialize(
+        level, visits = materialize_counted(
             lookup_join(refs, parents, ["parent_url"], lookup_rows=visits).select(
                 F.col("child_url").alias("catalog_url"),
                 F.concat("parent_path", F.array("ref_name")).alias("path"),
@@ -61,7 +62,6 @@ def walk_catalogs(
                 "reachable",
             )
         )
-        visits = level.count()
         if not visits:
             break
         levels.append(level)

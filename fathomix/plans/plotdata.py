@@ -24,7 +24,7 @@ from fathomix.operators.discovery import search_index
 from fathomix.operators.sampling import BLOCK_ROWS, first_ranked, palette_slot, thin, unique_results
 from fathomix.operators.skew import lookup_join
 from fathomix.operators.summaries import extents, pooled_view, track_centers
-from fathomix.session import materialize
+from fathomix.session import materialize, materialize_counted
 
 # Up to this many capped datasets are read by name; more are found by a join.
 PUSHED_IDS = 100
@@ -155,11 +155,10 @@ def region_map(
     with their slot, or null where skipped. ``summary`` is one row.
     """
     bounds.require_box()
-    found = materialize(
+    found, total = materialize_counted(
         unique_results(search_index(index, query, bounds=bounds, as_of=as_of), ["dataset_id"])
     )
-    capped = materialize(first_ranked(found, max_datasets, name="slot_order"))
-    n_capped = capped.count()
+    capped, n_capped = materialize_counted(first_ranked(found, max_datasets, name="slot_order"))
 
     rows = observations.select("dataset_id", "row_idx", "time", "lat", "lon")
     if n_capped <= PUSHED_IDS:
@@ -180,7 +179,6 @@ def region_map(
         tracks.select("dataset_id", "slot"), ["dataset_id"],
         lookup_rows=n_capped, salt_by=["dataset_id", "row_idx"],
     ).select("dataset_id", "row_idx", "lat", "lon", "slot")
-    total = found.count()
     plotted = tracks.agg(F.count("slot")).scalar()
     summary = pooled_view(points).select(
         "*",

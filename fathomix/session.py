@@ -49,9 +49,15 @@ def materialize(df: DataFrame) -> DataFrame:
 
     The copy outlives lost executors, and everything derived from it sees the same rows
     however often a stage is retried. It is columnar, so later steps read only the columns
-    they use, its rows are cheap to count, and its size is known to the optimizer.
+    they use, and its size is known to the optimizer.
     """
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``materialize`` and the number of rows, which the written files already state."""
+    stored = materialize(df)
+    return stored, stored.count()
