@@ -34,7 +34,7 @@ def number_text(column: Column) -> Column:
     )
     return (
         F.when(column.isNull() | F.isnan(column), F.lit("nan"))
-        .when((size == 0) | ((size >= 1e-4) & (size < 1e16)), digits)
+        .when((size >= 1e-4) & (size < 1e16), digits)
         .when(java.contains("E"), scientific)
         .otherwise(F.lower(java))
     )

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F, types as T
 
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
-_HAS_ZONE = r"(?i)(z|utc|gmt|[+-]\d{1,2}(:?\d{2})?)$"
+
+# A clock followed by an offset or a zone name; a plain Z is UTC already.
+_OTHER_ZONE = r":\d{2}.*([+-]\d|[A-Za-z]{2})"
 
 # The units a relative time may use.
 RELATIVE_UNITS = ("millis", "second", "minute", "hour", "day", "month", "year")
-_RELATIVE = r"^now(?:([+-]\d+)(" + "|".join(RELATIVE_UNITS) + r")s?)?$"
+_RELATIVE = r"^now([+-]\d+)(" + "|".join(RELATIVE_UNITS) + r")s?$"
 
 
 def _zoneless(instant: Column) -> Column:
@@ -18,13 +20,8 @@ def _zoneless(instant: Column) -> Column:
 
 def as_utc(text: Column) -> Column:
     """Parse ISO-8601 text; a missing zone means UTC, unreadable text gives null."""
-    trimmed = F.trim(text)
-    # A date holds hyphens itself, so only what follows it can be a zone.
-    clock = F.substring(trimmed, 11, 1_000)
-    zoned = F.when(clock.rlike(_HAS_ZONE), trimmed).otherwise(F.concat(trimmed, F.lit("Z")))
-    return F.when(
-        F.length(trimmed) <= 10, trimmed.try_cast("date").cast("timestamp_ntz")
-    ).otherwise(_zoneless(zoned.try_cast("timestamp")))
+    zoned = _zoneless(text.try_cast("timestamp"))
+    return F.when(text.rlike(_OTHER_ZONE), zoned).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def iso_text(time: Column) -> Column:
@@ -60,29 +57,19 @@ def resolve_time(text: Column, as_of: Column) -> Column:
 
     Blank text gives null, which the filters read as "no bound".
     """
-    relative = text.rlike(_RELATIVE)
-    signed = F.regexp_extract(text, _RELATIVE, 1).try_cast("int")
-    amount = F.coalesce(signed, F.lit(0))
-    unit = F.regexp_extract(text, _RELATIVE, 2)
-
-    def of(name: str) -> Column:
-        return F.when(unit == name, amount).otherwise(F.lit(0))
-
-    seconds = of("second").cast("decimal(18,6)") + of("millis").cast("decimal(18,6)") / 1000
-    moved = as_of + F.make_interval(
-        years=of("year"),
-        months=of("month"),
-        days=of("day"),
-        hours=of("hour"),
-        mins=of("minute"),
-        secs=seconds.cast("decimal(18,6)"),
+    spelled = F.replace(
+        F.regexp_replace(text, _RELATIVE, "$1 $2"), F.lit("millis"), F.lit("milliseconds")
+    )
+    return (
+        F.when(text == "now", as_of)
+        .when(text.rlike(_RELATIVE), as_of + spelled.try_cast("interval"))
+        .otherwise(as_utc(text))
     )
-    return F.when(relative, moved).otherwise(as_utc(text))
 
 
 def readable_time(text: Column) -> Column:
     """Whether a non-blank bound is ISO text or a relative time."""
-    return text.rlike(_RELATIVE) | as_utc(text).isNotNull()
+    return (text == "now") | text.rlike(_RELATIVE) | as_utc(text).isNotNull()
 
 
 def short_time(time: Column) -> Column:

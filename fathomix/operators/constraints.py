@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from fathomix.functions.times import (
     absolute_time,
@@ -23,6 +23,10 @@ from fathomix.functions.times import (
     resolve_time,
 )
 from fathomix.operators.skew import lookup_join
+from fathomix.session import materialize
+
+# The identifiers of up to this many datasets are given to the scan as constants.
+PUSHED_IDS = 100
 
 DEFAULT_LAT = (-90.0, 90.0)
 DEFAULT_LON = (-180.0, 180.0)
@@ -70,17 +74,6 @@ def _filled(text: Column, fallback: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), fallback)
 
 
-def _resolve_times(low: Column, high: Column, start: Column, end: Column) -> dict[str, Column]:
-    first = pad_bare_date(_filled(low, start), end_of_day=False)
-    last = pad_bare_date(_filled(high, end), end_of_day=True)
-    inverted = F.coalesce(absolute_time(first) > absolute_time(last), F.lit(False))
-    return {
-        "from_time": F.when(inverted, start).otherwise(first),
-        "to_time": F.when(inverted, end).otherwise(last),
-        "time_reset": inverted,
-    }
-
-
 def _resolve_axis(low: Column, high: Column, cover_low: Column, cover_high: Column) -> tuple:
     a, b = F.coalesce(low, cover_low), F.coalesce(high, cover_high)
     return F.least(a, b), F.greatest(a, b)
@@ -94,18 +87,31 @@ def resolve_bounds(coverage: DataFrame, request: Bounds | None = None) -> DataFr
     ``to_*`` and the ``time_reset`` flag.
     """
     asked = request.columns() if request else {c: F.col(c) for c in REQUEST_COLUMNS}
-    times = _resolve_times(
-        asked["min_time"], asked["max_time"], F.col("time_start"), F.col("time_end")
-    )
+    start, end = F.col("time_start"), F.col("time_end")
+    # One step per layer of the rules, so that no step repeats the expressions below it.
+    padded = coverage.withColumns({
+        "_low": _filled(asked["min_time"], start), "_high": _filled(asked["max_time"], end),
+    }).withColumns({
+        "_low": pad_bare_date(F.col("_low"), end_of_day=False),
+        "_high": pad_bare_date(F.col("_high"), end_of_day=True),
+    })
+    dated = padded.withColumns({
+        "_from": absolute_time(F.col("_low")), "_to": absolute_time(F.col("_high")),
+    })
+    flagged = dated.withColumn("time_reset", F.coalesce(F.col("_from") > F.col("_to"), F.lit(False)))
+    reset = F.col("time_reset")
     from_lat, to_lat = _resolve_axis(
         asked["min_lat"], asked["max_lat"], F.col("lat_min"), F.col("lat_max")
     )
     from_lon, to_lon = _resolve_axis(
         asked["min_lon"], asked["max_lon"], F.col("lon_min"), F.col("lon_max")
     )
-    return coverage.withColumns(
-        {**times, "from_lat": from_lat, "to_lat": to_lat, "from_lon": from_lon, "to_lon": to_lon}
-    )
+    resolved = flagged.withColumns({
+        "from_time": F.when(reset, start).otherwise(F.col("_low")),
+        "to_time": F.when(reset, end).otherwise(F.col("_high")),
+        "from_lat": from_lat, "to_lat": to_lat, "from_lon": from_lon, "to_lon": to_lon,
+    })
+    return resolved.drop("_low", "_high", "_from", "_to")
 
 
 def coverage_bounds(coverage: DataFrame) -> DataFrame:
@@ -133,14 +139,21 @@ def clamp_bounds(coverage: DataFrame, request: Bounds | None = None) -> DataFram
     def full(text: Column, clock: str) -> Column:
         return F.when(text.contains("T"), text).otherwise(F.concat(text, F.lit(clock)))
 
-    first = full(_filled(asked["min_time"], start), "T00:00:00Z")
-    last = full(_filled(asked["max_time"], end), "T23:59:59Z")
-    inverted = F.coalesce(as_utc(first) > as_utc(last), F.lit(False))
-    early = F.coalesce(as_utc(first) < as_utc(start), F.lit(False))
-    late = F.coalesce(as_utc(last) > as_utc(end), F.lit(False))
+    dated = coverage.withColumns({
+        "_low": _filled(asked["min_time"], start), "_high": _filled(asked["max_time"], end),
+    }).withColumns({
+        "_low": full(F.col("_low"), "T00:00:00Z"), "_high": full(F.col("_high"), "T23:59:59Z"),
+    }).withColumns({
+        "_from": as_utc(F.col("_low")), "_to": as_utc(F.col("_high")),
+        "_first": as_utc(start), "_last": as_utc(end),
+    })
+    inverted, early, late = (
+        F.coalesce(F.col(a) > F.col(b), F.lit(False))
+        for a, b in (("_from", "_to"), ("_first", "_from"), ("_to", "_last"))
+    )
     resolved = {
-        "from_time": F.when(inverted | early, start).otherwise(first),
-        "to_time": F.when(inverted | late, end).otherwise(last),
+        "from_time": F.when(inverted | early, start).otherwise(F.col("_low")),
+        "to_time": F.when(inverted | late, end).otherwise(F.col("_high")),
         "time_reset": inverted,
     }
     for axis in ("lat", "lon"):
@@ -148,7 +161,7 @@ def clamp_bounds(coverage: DataFrame, request: Bounds | None = None) -> DataFram
         low, high = _resolve_axis(asked[f"min_{axis}"], asked[f"max_{axis}"], cover_low, cover_high)
         resolved[f"from_{axis}"] = F.greatest(low, cover_low)
         resolved[f"to_{axis}"] = F.least(high, cover_high)
-    return coverage.withColumns(resolved)
+    return dated.withColumns(resolved).drop("_low", "_high", "_from", "_to", "_first", "_last")
 
 
 def typed_bounds(resolved: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -161,9 +174,10 @@ def typed_bounds(resolved: DataFrame, as_of: Column | None = None) -> DataFrame:
     ends = {name: F.col(name) for name in RESOLVED_COLUMNS}
     bad = F.lit(False)
     for name in ("from_time", "to_time"):
-        text = F.coalesce(F.col(name), F.lit(""))
-        bad = bad | ((text != "") & ~readable_time(text))
-        ends[name] = F.when(text != "", resolve_time(text, moment))
+        text = F.col(name)
+        given = F.coalesce(text != "", F.lit(False))
+        bad = bad | (given & ~F.coalesce(readable_time(text), F.lit(False)))
+        ends[name] = F.when(given, resolve_time(text, moment))
     return resolved.select(
         "dataset_id",
         *(column.alias(name) for name, column in ends.items()),
@@ -171,14 +185,42 @@ def typed_bounds(resolved: DataFrame, as_of: Column | None = None) -> DataFrame:
     )
 
 
-def _inside(ends: dict[str, Column]) -> Column:
-    time = (ends["from_time"].isNull() | (F.col("time") >= ends["from_time"])) & (
-        ends["to_time"].isNull() | (F.col("time") <= ends["to_time"])
-    )
+def _constant(value: object, kind: str) -> Column:
+    return F.lit(str(value)).cast(kind)
+
+
+_KINDS = {"time": "timestamp_ntz", "lat": "double", "lon": "double"}
+
+
+def _envelope(ends: Row) -> Column:
+    """Constant bounds no wanted row is outside of; the scan can skip by them."""
+    test = F.lit(True)
+    for column, kind in _KINDS.items():
+        low, high = ends[f"from_{column}"], ends[f"to_{column}"]
+        if low is not None:
+            test = test & (F.col(column) >= _constant(low, kind))
+        if high is not None:
+            test = test & (F.col(column) <= _constant(high, kind))
+    return test
+
+
+def _widest(ends: DataFrame) -> Row:
+    """Row count and outermost ends over all datasets; an open end stays open."""
+    outer = [F.count("*").alias("n")]
+    for column in _KINDS:
+        for name, pick in ((f"from_{column}", F.min), (f"to_{column}", F.max)):
+            closed = F.count(name) == F.count("*")
+            outer.append(F.when(closed, pick(name)).alias(name))
+    return ends.agg(*outer).first()
+
+
+def _inside() -> Column:
+    time, low, high = F.col("time"), F.col("from_time"), F.col("to_time")
     return (
-        time
-        & F.col("lat").between(ends["from_lat"], ends["to_lat"])
-        & F.col("lon").between(ends["from_lon"], ends["to_lon"])
+        (low.isNull() | (time >= low))
+        & (high.isNull() | (time <= high))
+        & F.col("lat").between(F.col("from_lat"), F.col("to_lat"))
+        & F.col("lon").between(F.col("from_lon"), F.col("to_lon"))
     )
 
 
@@ -188,11 +230,18 @@ def rows_in_bounds(
     """Observations of every dataset inside that dataset's resolved bounds, ends included.
 
     Rows without a coordinate are outside. Datasets whose status is not ``ok`` give no rows.
+    The bounds are written once; their outermost ends, and the identifiers of few datasets,
+    go to the scan as constants before the bounds of each dataset are joined.
     """
-    ends = typed_bounds(resolved, as_of).filter("status = 'ok'").drop("status")
-    joined = lookup_join(observations, ends, ["dataset_id"], salt_by=["dataset_id", "row_idx"])
-    inside = joined.filter(_inside({name: F.col(name) for name in RESOLVED_COLUMNS}))
-    return inside.drop(*RESOLVED_COLUMNS)
+    ends = materialize(typed_bounds(resolved, as_of).filter("status = 'ok'").drop("status"))
+    widest = _widest(ends)
+    near = observations.filter(_envelope(widest))
+    if widest["n"] <= PUSHED_IDS:
+        ids = [row["dataset_id"] for row in ends.select("dataset_id").collect()]
+        near = near.filter(F.col("dataset_id").isin(ids))
+    joined = lookup_join(near, ends, ["dataset_id"], lookup_rows=widest["n"],
+                         salt_by=["dataset_id", "row_idx"])
+    return joined.filter(_inside()).drop(*RESOLVED_COLUMNS)
 
 
 def dataset_in_bounds(
@@ -213,15 +262,7 @@ def dataset_in_bounds(
         raise ValueError(f"dataset {dataset_id!r} has no coverage")
     if ends["status"] != "ok":
         raise ValueError(f"dataset {dataset_id!r} has an unreadable time bound")
-    test = F.col("dataset_id") == dataset_id
-    for column in ("time", "lat", "lon"):
-        kind = "timestamp_ntz" if column == "time" else "double"
-        low, high = ends[f"from_{column}"], ends[f"to_{column}"]
-        if low is not None:
-            test = test & (F.col(column) >= F.lit(str(low)).cast(kind))
-        if high is not None:
-            test = test & (F.col(column) <= F.lit(str(high)).cast(kind))
-    return observations.filter(test)
+    return observations.filter((F.col("dataset_id") == dataset_id) & _envelope(ends))
 
 
 def mask_rows(rows: DataFrame, request: Bounds | None) -> DataFrame:

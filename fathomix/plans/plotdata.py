@@ -26,9 +26,6 @@ from fathomix.operators.skew import lookup_join
 from fathomix.operators.summaries import extents, pooled_view, track_centers
 from fathomix.session import materialize, materialize_counted
 
-# Up to this many capped datasets are read by name; more are found by a join.
-PUSHED_IDS = 100
-
 IDENTITY = {"dataset_id": "dataset_id", "row_idx": "row_idx"}
 
 
@@ -161,15 +158,9 @@ def region_map(
     capped, n_capped = materialize_counted(first_ranked(found, max_datasets, name="slot_order"))
 
     rows = observations.select("dataset_id", "row_idx", "time", "lat", "lon")
-    if n_capped <= PUSHED_IDS:
-        # Few identifiers go to the scan as constants and skip the files of other datasets.
-        ids = [r["dataset_id"] for r in capped.select("dataset_id").collect()]
-        rows = rows.filter(F.col("dataset_id").isin(ids))
-        covered = coverage.filter(F.col("dataset_id").isin(ids))
-    else:
-        covered = lookup_join(coverage, capped.select("dataset_id"), ["dataset_id"], "left_semi",
-                              lookup_rows=n_capped)
-    inside = materialize(rows_in_bounds(rows, materialize(resolve_bounds(covered, bounds)), as_of))
+    covered = lookup_join(coverage, capped.select("dataset_id"), ["dataset_id"], "left_semi",
+                          lookup_rows=n_capped)
+    inside = materialize(rows_in_bounds(rows, resolve_bounds(covered, bounds), as_of))
     loaded = inside.groupBy("dataset_id").agg(F.count("*").alias("n_rows"))
     placed = first_ranked(capped.join(loaded, "dataset_id"), max_datasets, "slot_order")
     slots = placed.select("dataset_id", "n_rows", palette_slot(F.col("place")).alias("slot"))

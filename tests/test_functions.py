@@ -83,10 +83,10 @@ def test_labels(spark):
 def test_as_utc_ignores_the_session_zone(spark, evaluate):
     values = [
         "2016-09-10T00:00:00Z", "2016-09-10T00:00:00", "2016-09-10", "2016-09-10T02:00:00+02:00",
-        "2016-03-13T02:30:00.123456Z", "2016", "garbage", "", None,
+        "2016-03-13T02:30:00.123456Z", "2016", "2016-09-09T19:00:00-0500", "2016-09-10 00:00:00 UTC", "garbage", "05:00:00", "", None,
     ]
     midnight = datetime(2016, 9, 10)
-    expected = [midnight] * 4 + [datetime(2016, 3, 13, 2, 30, 0, 123456), datetime(2016, 1, 1), None, None, None]
+    expected = [midnight] * 4 + [datetime(2016, 3, 13, 2, 30, 0, 123456), datetime(2016, 1, 1), midnight, midnight, None, None, None, None]
     for zone in ("UTC", "America/New_York"):
         spark.conf.set("spark.sql.session.timeZone", zone)
         try:
@@ -129,7 +129,7 @@ def test_rounding_is_half_even_on_the_scaled_double(evaluate, places):
 
 
 def test_number_text_matches_shortest_repr(evaluate):
-    values = [0.0, 15.27, -128.073359, 5.0, 0.0001, 0.00012, 1e-05, -3.4e-05, 12345678.9, 1e15, 1e16, 2.5e17, 100.0]
+    values = [0.0, -0.0, 15.27, -128.073359, 5.0, 0.0001, 0.00012, 1e-05, -3.4e-05, 12345678.9, 1e15, 1e16, 2.5e17, 100.0]
     assert evaluate(numbers.number_text, values, "double") == [repr(v) for v in values]
     assert evaluate(numbers.number_text, [None, float("nan")], "double") == ["nan", "nan"]
 
