@@ -248,6 +248,15 @@ _oracle("mixed_trajectories", """SELECT CAST(label AS VARCHAR) AS dataset_id FRO
 _oracle("nested_timeseries", f"""SELECT trajectory AS dataset_id, profile * 2147483648 + obs_no AS row_idx, time AS x, temperature AS y
   FROM {_thinned("(SELECT * FROM measured WHERE lat >= -20)", 7, "trajectory", "profile, obs_no")}""", NESTED)
 
+_oracle("nested_profile", f"""SELECT trajectory AS dataset_id, profile * 2147483648 + obs_no AS row_idx, temperature AS x, depth AS y,
+  salinity AS color FROM {_thinned("(SELECT * FROM measured WHERE lon <= -70)", 3, "trajectory", "profile, obs_no")}""", NESTED)
+_oracle("nested_custom", f"""SELECT trajectory AS dataset_id, profile * 2147483648 + obs_no AS row_idx, salinity AS x, temperature AS y
+  FROM {_thinned("measured", 5, "trajectory", "profile, obs_no")}""", NESTED)
+_oracle("nested_map", f"""SELECT trajectory AS dataset_id, CAST(profile AS BIGINT) AS row_idx, lat, lon,
+  '(' || CAST(lat AS VARCHAR) || ', ' || CAST(lon AS VARCHAR) || ')' AS hover
+  FROM {_thinned("(SELECT * FROM profiles WHERE time >= TIMESTAMP '2024-01-01 02:00:00')", 3, "trajectory", "profile")}
+  WHERE lat IS NOT NULL AND lon IS NOT NULL""", NESTED)
+
 ATTRIBUTES = """cells AS (
   SELECT CAST(p_partkey AS VARCHAR) AS dataset_id, 'attribute' AS row_type, unnest([
     {'v': 'NC_GLOBAL', 'a': 'time_coverage_start', 'x': CASE WHEN p_partkey % 4 = 0 THEN '2024-01-0' || (p_partkey % 9 + 1)
@@ -556,10 +565,17 @@ _oracle("region_tracks", "SELECT dataset_id, rank, slot_order, n_rows, slot FROM
 _oracle("pooled_view", _view(f"(SELECT * FROM {_thinned('obs', 25)} WHERE lat IS NOT NULL AND lon IS NOT NULL)"), OBS)
 _oracle("colored_depth", f"""SELECT dataset_id, row_idx, time AS x, depth AS y, temperature AS color
   FROM {_thinned('(SELECT * FROM obs WHERE temperature IS NOT NULL)', 2)}""", OBS)
-_oracle("colored_track", f"""SELECT dataset_id, row_idx, time, lat, lon, temperature, depth,
+_COLORED = """SELECT dataset_id, row_idx, time, lat, lon, temperature, depth,
   'Time: ' || strftime(time, '%-H:%M<br>%-d-%b') || '<br>Temp:' || CAST(round_even(temperature * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS VARCHAR)
     || '°C       Depth:' || CAST(round_even(depth * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS VARCHAR) || '(m)' AS hover
-  FROM {_thinned('(SELECT * FROM obs WHERE temperature IS NOT NULL)', 3)}""", OBS)
+  FROM """
+_oracle("colored_track", _COLORED + _thinned("(SELECT * FROM obs WHERE temperature IS NOT NULL)", 3), OBS)
+
+_oracle("clamped_track", _COLORED + _thinned("(SELECT * FROM clamped WHERE temperature IS NOT NULL)", 2),
+        COVERAGE, """clamped AS (SELECT o.* FROM obs o JOIN coverage c USING (dataset_id)
+  WHERE o.time BETWEEN greatest(TIMESTAMP '2024-01-03', CAST(time_start AS TIMESTAMP)) AND least(TIMESTAMP '2024-01-27 23:59:59', CAST(time_end AS TIMESTAMP))
+    AND o.lat BETWEEN greatest(-45, lat_min) AND least(40, lat_max)
+    AND o.lon BETWEEN greatest(least(lon_min, 120), lon_min) AND least(greatest(lon_min, 120), lon_max))""")
 
 # --- scalar functions -------------------------------------------------------------------
 

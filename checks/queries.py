@@ -506,16 +506,41 @@ def trajectory_summary(spark, d):
     return summary.withColumns({c: F.round(c, 6) for c in ("center_lat", "center_lon")})
 
 
+def _nested(spark, d, plot, **options):
+    return plotdata.nested_rows(adapters.nested(spark, d), plot, **options)
+
+
 @query
 def nested_timeseries(spark, d):
-    flat = nested.flatten(
-        adapters.nested(spark, d), columns.needed_columns("timeseries", y="temperature", file_server=True),
-        Bounds(min_lat=-20.0), keys=["trajectory"],
-    )
-    rows = nested.with_row_order(flat).withColumnRenamed("trajectory", "dataset_id")
+    rows = _nested(spark, d, "timeseries", y="temperature", bounds=Bounds(min_lat=-20.0))
     return plotdata.timeseries(rows, "temperature", step=7).points
 
 
+@query
+def nested_profile(spark, d):
+    rows = _nested(spark, d, "profile", x="temperature", color="salinity", bounds=Bounds(max_lon=-70.0))
+    return plotdata.profile(rows, "temperature", "salinity", step=3).points
+
+
+@query
+def nested_custom(spark, d):
+    rows = _nested(spark, d, "custom", x="salinity", y="temperature")
+    return plotdata.custom(rows, "salinity", "temperature", step=5).points
+
+
+@query
+def nested_map(spark, d):
+    rows = _nested(spark, d, "map", bounds=Bounds(min_time="2024-01-01T02:00:00Z"))
+    return plotdata.trajectory_map(rows, step=3).points
+
+
+@query
+def clamped_track(spark, d):
+    resolved = constraints.clamp_bounds(adapters.coverage(spark, d), WINDOW)
+    rows = constraints.rows_in_bounds(adapters.observations(spark, d), resolved)
+    return plotdata.colored_track(rows, 2).points
+
+
 def _region(spark, d, **options):
     return plotdata.region_map(
         materialize(adapters.index(spark, d).drop("summary", "keywords")),

@@ -29,6 +29,8 @@ FACETS = {
     "keywords": "keywords",
 }
 
+VALUES_SHOWN = 20
+
 # Plain words and the standard names they stand for in the older search.
 STANDARD_NAMES = {
     "salinity": "sea_water_practical_salinity",
@@ -177,9 +179,10 @@ def facet_values(index: DataFrame, facet: str, query: str | None = None) -> Data
 
 
 def check_facet(index: DataFrame, facet: str, value: str) -> None:
-    """Raise when ``value`` is not one of the facet's values, exactly as written."""
+    """Raise when ``value`` is not one of the facet's values, listing the first of those."""
     if index.filter(_facet_test(index, facet, value)).isEmpty():
-        raise ValueError(f"{value!r} is not a known {facet}")
+        first = facet_values(index, facet).orderBy("value").limit(VALUES_SHOWN).collect()
+        raise ValueError(f"{value!r} is not a known {facet}; known are {[r['value'] for r in first]}")
 
 
 def check_facets(requests: DataFrame, index: DataFrame) -> DataFrame:

@@ -17,6 +17,9 @@ from fathomix.operators.constraints import Bounds, mask_rows
 
 PROFILE_FIELDS = ("time", "latitude", "longitude")
 
+# An array holds fewer elements than this, so profiles never share row numbers.
+OBS_STRIDE = 1 << 31
+
 
 def to_profiles(nested: DataFrame) -> DataFrame:
     """One row per profile, numbered from 0 within its trajectory."""
@@ -84,7 +87,9 @@ def flatten(
     )
 
 
-def with_row_order(rows: DataFrame, name: str = "row_idx", stride: int = 1 << 31) -> DataFrame:
+def with_row_order(rows: DataFrame, name: str = "row_idx") -> DataFrame:
     """A unique, order-keeping row number from the profile and observation numbers."""
-    obs = F.col("obs_no") if "obs_no" in rows.columns else F.lit(0)
-    return rows.withColumn(name, F.col("profile").cast("long") * stride + obs.cast("long"))
+    number = F.col("profile").cast("long")
+    if "obs_no" in rows.columns:
+        number = number * OBS_STRIDE + F.col("obs_no").cast("long")
+    return rows.withColumn(name, number)

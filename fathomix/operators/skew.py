@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-# A lookup side up to this many narrow rows (some tens of megabytes) is sent to every task.
+# A lookup side within both limits is sent to every task.
 BROADCAST_ROWS = 200_000
+BROADCAST_TEXT_BYTES = 64 << 20
 SALTS = 32
 
 
@@ -23,7 +24,8 @@ def lookup_join(
 ) -> DataFrame:
     """Join many ``rows`` per key to the few ``lookup`` rows of that key.
 
-    The lookup side is counted (up to the limit) and broadcast only when it fits. Beyond
+    The lookup side's rows and text are measured (up to the row limit) and it is broadcast
+    only when both fit; ``lookup_rows`` gives the count of a side known to be narrow. Beyond
     that each key is spread over ``salts`` shuffle partitions and the lookup copied to all
     of them, so one key holding a third of the rows never lands in one task. ``how`` is
     ``inner``, ``left``, ``left_semi`` or ``left_anti``; ``lookup`` should be stored or
@@ -36,8 +38,10 @@ def lookup_join(
         raise ValueError(f"lookup_join keeps the left rows; {how!r} is not supported")
     keys = list(on)
     if lookup_rows is None:
-        lookup_rows = lookup.limit(broadcast_rows + 1).count()
-    if lookup_rows <= broadcast_rows:
+        fits = _fits(lookup, broadcast_rows)
+    else:
+        fits = lookup_rows <= broadcast_rows
+    if fits:
         return rows.join(F.broadcast(lookup), keys, how)
     hashed = salt_by or [f.name for f in rows.schema if f.dataType.typeName() != "map"]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
@@ -45,3 +49,14 @@ def lookup_join(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     )
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def _fits(lookup: DataFrame, broadcast_rows: int) -> bool:
+    texts = [f.name for f in lookup.schema if f.dataType.typeName() == "string"]
+    size = F.lit(0)
+    for name in texts:
+        size = size + F.coalesce(F.octet_length(name), F.lit(0))
+    measured = lookup.limit(broadcast_rows + 1).agg(
+        F.count("*").alias("rows"), F.sum(size.cast("long")).alias("bytes")
+    ).first()
+    return measured["rows"] <= broadcast_rows and (measured["bytes"] or 0) <= BROADCAST_TEXT_BYTES

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fathomix.functions.numbers import fixed_hover_text, hover_text
 from fathomix.functions.text import color_label
 from fathomix.operators.attributes import info_box, label_records, variable_units
-from fathomix.operators.columns import drop_missing, pick
+from fathomix.operators.columns import drop_missing, needed_columns, pick
 from fathomix.operators.constraints import (
     Bounds,
     coverage_bounds,
@@ -21,6 +21,7 @@ from fathomix.operators.constraints import (
     rows_in_bounds,
 )
 from fathomix.operators.discovery import search_index
+from fathomix.operators.nested import flatten, with_row_order
 from fathomix.operators.sampling import BLOCK_ROWS, first_ranked, palette_slot, thin, unique_results
 from fathomix.operators.skew import lookup_join
 from fathomix.operators.summaries import extents, pooled_view, track_centers
@@ -48,6 +49,16 @@ def constrained(
     return rows_in_bounds(observations, resolved, as_of)
 
 
+def nested_rows(
+    nested: DataFrame, plot: str, x: str | None = None, y: str | None = None,
+    color: str | None = None, bounds: Bounds | None = None,
+) -> DataFrame:
+    """File-server rows for one kind of plot, each trajectory as a dataset of its own."""
+    needed = needed_columns(plot, x, y, color, file_server=True)
+    rows = with_row_order(flatten(nested, needed, bounds, keys=["trajectory"]))
+    return rows.withColumnRenamed("trajectory", "dataset_id")
+
+
 def scatter_points(
     rows: DataFrame,
     x: str,

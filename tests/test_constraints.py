@@ -177,3 +177,59 @@ def test_file_server_rules(observed, asked, expected):
 def test_file_server_refuses_unreadable_times(observed):
     with pytest.raises(ValueError, match="soon"):
         constraints.mask_rows(observed, Bounds(min_time="soon"))
+
+
+def _by_hand(cover, asked):
+    """The table-server rules, one value at a time."""
+    start, end, lat_min, lat_max, lon_min, lon_max = cover
+
+    def padded(value, clock):
+        return value + clock if value[:1].isdigit() and "T" not in value else value
+
+    def moment(value):
+        return datetime.fromisoformat(value.replace("Z", "")) if value[:1].isdigit() else None
+
+    low = padded(asked.min_time or start, "T00:00:00Z")
+    high = padded(asked.max_time or end, "T23:59:59Z")
+    if moment(low) and moment(high) and moment(low) > moment(high):
+        low, high = start, end
+    sides = []
+    for a, b, first, last in (
+        (asked.min_lat, asked.max_lat, lat_min, lat_max), (asked.min_lon, asked.max_lon, lon_min, lon_max),
+    ):
+        sides += sorted((first if a is None else a, last if b is None else b))
+    return (low, high, *sides)
+
+
+def test_random_requests_against_the_rules_by_hand(spark):
+    import random
+
+    random.seed(3)
+    times = [None, "", "now", "now-3days", "2016-09-01", "2016-09-15", "2016-09-15T12:00:00Z", "2016-10-01", "2015-01-01T00:00:00Z"]
+    starts = ["", "2016-09-01", "2016-09-01T00:00:00Z", "2016-09-20T06:00:00Z"]
+    side = lambda: random.choice([None, 0.0, round(random.uniform(-90, 90), 2)])
+    cases = []
+    for i in range(400):
+        cover = (random.choice(starts), random.choice([*starts, "2016-09-30"]), *sorted(round(random.uniform(-90, 90), 2) for _ in range(2)),
+                 *sorted(round(random.uniform(-180, 180), 2) for _ in range(2)))
+        cases.append((i, cover, Bounds(random.choice(times), random.choice(times), side(), side(), side(), side())))
+    fields = "min_time string, max_time string, min_lat double, max_lat double, min_lon double, max_lon double"
+    rows = [(str(i), *cover, *(getattr(b, n) for n in constraints.REQUEST_COLUMNS)) for i, cover, b in cases]
+    got = constraints.resolve_bounds(spark.createDataFrame(rows, f"{SCHEMA}, {fields}"))
+    found = {r["dataset_id"]: tuple(r[c] for c in constraints.RESOLVED_COLUMNS) for r in got.collect()}
+    assert found == {str(i): _by_hand(cover, asked) for i, cover, asked in cases}
+
+
+def test_few_datasets_and_outer_bounds_reach_the_scan(spark, observed, tmp_path):
+    observed.write.parquet(str(tmp_path / "obs"))
+    stored = spark.read.parquet(str(tmp_path / "obs"))
+    both = spark.createDataFrame([("d", *COVER), ("e", *COVER)], SCHEMA)
+    got = constraints.rows_in_bounds(stored, constraints.resolve_bounds(both, Bounds(min_lat=38.5)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    for pushed in ("In(dataset_id, [d,e])", "GreaterThanOrEqual(lat,38.5)", "LessThanOrEqual(time,"):
+        assert pushed in plan
+
+
+def test_no_dataset_in_bounds(spark, observed):
+    none = spark.createDataFrame([], SCHEMA)
+    assert constraints.rows_in_bounds(observed, constraints.resolve_bounds(none, Bounds())).count() == 0
