@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from fathomix.functions.times import short_time
+
 
 def null_if_nan(column: Column) -> Column:
     """NaN compares as the largest number in Spark; as null it fails every bound."""
@@ -70,8 +72,7 @@ def hover_text(
 
 def fixed_hover_text(time: Column, temperature: Column, depth: Column) -> Column:
     """The older fixed label: time, temperature and depth on two lines."""
-    from fathomix.functions.times import short_time
-
+    # Fixed value: the wording and spacing of the label.
     return F.concat(
         F.lit("Time: "), short_time(time),
         F.lit("<br>Temp:"), number_text(rounded(temperature, 2)),

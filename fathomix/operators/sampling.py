@@ -19,6 +19,10 @@ from fathomix.session import materialize, materialize_counted
 BLOCK_ROWS = 1 << 18
 
 
+# One task adds up the blocks of a dataset; row numbers so sparse that a dataset has more
+# blocks than this are replaced by dense ones first.
+MAX_BLOCKS = 1 << 20
+
 # Up to this many results a cap sorts directly; each task then sends on at most that many.
 DIRECT_LIMIT = 10_000
 
@@ -39,6 +43,12 @@ def _rows_before(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _too_sparse(blocks: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether some dataset has more blocks than one task should add up."""
+    per_key = blocks.groupBy(*keys).agg(F.count("*").alias("n"))
+    return not per_key.filter(F.col("n") > MAX_BLOCKS).isEmpty()
+
+
 def with_position(
     rows: DataFrame,
     keys: Sequence[str] = ("dataset_id",),
@@ -50,16 +60,17 @@ def with_position(
 
     ``order`` is a whole number that is unique within the keys; gaps, such as those left by
     a filter, are fine. Only the per-block counts cross datasets, so a dataset of any
-    length is numbered in parallel.
+    length is numbered in parallel. Counting runs when this is called.
     """
     keys = list(keys)
     blocked = rows.withColumn("_block", _block(order, block_rows))
-    counts = blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_rows"))
-    before = _rows_before(counts, keys)
+    counts = materialize(blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_rows")))
+    if _too_sparse(counts, keys):
+        return dense_row_index(rows, [order], keys, name)
     local = Window.partitionBy(*keys, "_block").orderBy(order)
     numbered = blocked.withColumn("_local", F.row_number().over(local) - 1)
-    # Both sides are already partitioned by keys and block, so this join moves no row.
-    joined = numbered.join(before, [*keys, "_block"])
+    # The large side is already partitioned by keys and block, so this join moves none of it.
+    joined = numbered.join(_rows_before(counts, keys), [*keys, "_block"])
     return joined.withColumn(name, F.col("_before") + F.col("_local")).drop(
         "_block", "_local", "_before"
     )
@@ -129,11 +140,13 @@ def last_known_before(
     """Add the latest non-null ``value`` among the earlier rows of the same keys."""
     keys = list(keys)
     blocked = rows.withColumn("_block", _block(order, block_rows))
-    per_block = blocked.groupBy(*keys, "_block").agg(
-        F.max(
-            F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("at"), F.col(value).alias("v")))
-        ).alias("_last")
+    latest = F.max(
+        F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("at"), F.col(value).alias("v")))
     )
+    per_block = materialize(blocked.groupBy(*keys, "_block").agg(latest.alias("_last")))
+    if _too_sparse(per_block, keys):
+        dense = dense_row_index(rows, [order], keys, "_dense")
+        return last_known_before(dense, value, keys, "_dense", name, block_rows).drop("_dense")
     earlier = (
         Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -160,17 +173,17 @@ def unique_results(results: DataFrame, keys: Sequence[str], rank: str = "rank")
 def first_ranked(
     results: DataFrame, limit: int, rank: str = "rank", name: str = "place"
 ) -> DataFrame:
-    """The first ``limit`` results by a unique whole-number rank, with their 0-based place.
+    """The first ``limit`` results by a unique rank, with their 0-based place.
 
     A small cap is sorted directly and only the capped rows reach a numbering window. A
-    large one is found by position in blocks of ranks, so no task holds all of it.
+    large one is found by numbering ranges of ranks, so no task holds all of it.
     """
     if limit < 1:
         raise ValueError(f"the cap must be at least 1, got {limit}")
     if limit <= DIRECT_LIMIT:
         first = results.orderBy(rank).limit(limit)
         return first.withColumn(name, F.row_number().over(Window.orderBy(rank)).cast("long") - 1)
-    return with_position(results, [], rank, name).filter(F.col(name) < limit)
+    return dense_row_index(results, [rank], [], name).filter(F.col(name) < limit)
 
 
 def preview(results: DataFrame, limit: int, order: Sequence[str | Column]) -> DataFrame:

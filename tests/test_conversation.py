@@ -10,15 +10,15 @@ def chats(spark):
     return spark.createDataFrame(
         [
             (1, 0, "system", "thredds and erddap are known"),
-            (1, 1, "user", "find data on https://gliders.ioos.us/erddap/index.html"),
+            (1, 1, "user", "what is on https://a.example.org/erddap/index.html ?"),
             (1, 2, "assistant", "thredds?"),
-            (1, 3, "user", "sea_water_practical_salinity"),
-            (1, 4, "user", "actually use https://gliders.ioos.us/thredds/catalog.html"),
-            (1, 5, "user", "compare https://x/erddap/index.html and https://y/thredds/catalog.html"),
+            (1, 3, "user", "the practical one please"),
+            (1, 4, "user", "go over to https://b.example.org/thredds/catalog.html"),
+            (1, 5, "user", "which is newer, a.example.org/erddap or b.example.org/thredds?"),
             (1, 6, "user", "thredds again"),
-            (2, 0, "user", "find me some data"),
-            (2, 1, "user", "Search THREDDS for glider data near Rutgers."),
-            (3, 0, "user", "compare https://x/erddap/index.html and https://y/thredds/catalog.html"),
+            (2, 0, "user", "any floats around here?"),
+            (2, 1, "user", "Look for floats in THREDDS, near the coast."),
+            (3, 0, "user", "which is newer, a.example.org/erddap or b.example.org/thredds?"),
             (3, 1, "user", "myerddaps éerddap erddap_x"),
             (4, 0, "assistant", "hello"),
         ],

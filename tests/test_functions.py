@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 
 from fathomix.functions import numbers, text, times
 
-HOST = "https://gliders.ioos.us"
+HOST = "https://data.example.org"
 
 
 def test_table_server_base(evaluate):
     cases = {
         f"{HOST}/erddap/search?q=temp#frag": f"{HOST}/erddap",
-        f"{HOST}/erddap/tabledap/whoi_406.html": f"{HOST}/erddap",
+        f"{HOST}/erddap/tabledap/float_7.html": f"{HOST}/erddap",
         f"{HOST}/erddap/index.html": f"{HOST}/erddap",
         f"{HOST}/erddap/": f"{HOST}/erddap",
         f"{HOST}/ERDDAP/index.html": f"{HOST}/ERDDAP",

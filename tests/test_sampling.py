@@ -68,6 +68,18 @@ def test_last_known_before_equals_one_window(skewed, rows_of, block_rows):
     assert rows_of(got, "dataset_id", "row_idx", "v", "before") == rows_of(expected)
 
 
+def test_sparse_row_numbers_are_made_dense_first(skewed, rows_of, monkeypatch):
+    monkeypatch.setattr(sampling, "MAX_BLOCKS", 3)
+    assert sampling._too_sparse(skewed.withColumn("_block", sampling._block("row_idx", 2)).dropDuplicates(["dataset_id", "_block"]), ["dataset_id"])
+    got = sampling.with_position(skewed, block_rows=2)
+    assert rows_of(got, "dataset_id", "row_idx", "position") == rows_of(by_window(skewed))
+    marked = skewed.withColumn("v", F.when(F.col("row_idx") % 7 == 0, F.col("row_idx").cast("string")))
+    monkeypatch.setattr(sampling, "MAX_BLOCKS", 30)
+    got = sampling.last_known_before(marked, "v", ["dataset_id"], "row_idx", "before", 40)
+    w = Window.partitionBy("dataset_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
+    assert rows_of(got, "dataset_id", "row_idx", "v", "before") == rows_of(marked.withColumn("before", F.last("v", ignorenulls=True).over(w)))
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(spark, skewed, rows_of, how):
     dim = spark.createDataFrame([("hot", 1), ("d3", 2), ("d3", 3), ("none", 4)], "dataset_id string, v int")
