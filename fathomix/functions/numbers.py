@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from fathomix.functions.times import short_time
+from fathomix.functions.times import clock_text, microseconds, short_time
 
 
 def null_if_nan(column: Column) -> Column:
@@ -55,12 +55,10 @@ def hover_text(
     )
     parts = [where]
     if time is not None:
+        fraction = microseconds(time)
         stamp = F.concat(
-            F.date_format(time, "yyyy-MM-dd HH:mm:ss"),
-            F.when(
-                F.date_format(time, "SSSSSS") != "000000",
-                F.concat(F.lit("."), F.date_format(time, "SSSSSS")),
-            ).otherwise(F.lit("")),
+            clock_text(time),
+            F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(F.lit("")),
             F.lit("+00:00"),
         )
         parts.append(F.coalesce(stamp, F.lit("NaT")))

@@ -24,9 +24,19 @@ def as_utc(text: Column) -> Column:
     return F.when(text.rlike(_OTHER_ZONE), zoned).otherwise(text.try_cast("timestamp_ntz"))
 
 
+def microseconds(time: Column) -> Column:
+    """The six digits after the second."""
+    return F.rpad(F.regexp_extract(time.cast("string"), r"\.(\d+)$", 1), 6, "0")
+
+
+def clock_text(time: Column, separator: str = " ") -> Column:
+    """Date and clock to the second. Read off the value itself, so no zone can shift it."""
+    return F.replace(F.substring(time.cast("string"), 1, 19), F.lit(" "), F.lit(separator))
+
+
 def iso_text(time: Column) -> Column:
     """ISO-8601 text that ``as_utc`` reads back to the same microsecond."""
-    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return F.concat(clock_text(time, "T"), F.lit("."), microseconds(time), F.lit("Z"))
 
 
 def zoneless_time(column: Column, data_type: T.DataType) -> Column:

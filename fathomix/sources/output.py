@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from fathomix.functions.times import iso_text, zoneless_time
 from fathomix.operators.columns import add_units
 
 # Format names; a trailing 0 means no header, p means units in the header.
@@ -36,7 +37,7 @@ def write_subset(
     separator, header, with_units = TEXT_FORMATS[fmt]
     text = rows.select(
         *(
-            F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(f.name)
+            iso_text(zoneless_time(F.col(f.name), f.dataType)).alias(f.name)
             if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType))
             else F.col(f.name)
             for f in rows.schema

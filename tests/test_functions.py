@@ -95,6 +95,19 @@ def test_as_utc_ignores_the_session_zone(spark, evaluate):
             spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_iso_text_reads_back_in_any_session_zone(spark, evaluate):
+    # The second time does not exist on New York clocks.
+    values = [datetime(2024, 1, 1, 0, 0, 7, 179500), datetime(2024, 3, 10, 2, 30), datetime(2024, 7, 1, 23, 59, 59, 1)]
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            texts = evaluate(times.iso_text, values, "timestamp_ntz")
+            assert texts[0] == "2024-01-01T00:00:07.179500Z"
+            assert evaluate(lambda c: times.as_utc(times.iso_text(c)), values, "timestamp_ntz") == values
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_pad_bare_date(evaluate):
     values = ["2016-09-24", "2016-09-24T01:00:00Z", "now-7days", "", None]
     end = evaluate(lambda c: times.pad_bare_date(c, True), values)
