@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomix.functions.numbers import fixed_hover_text, hover_text
 from fathomix.functions.text import color_label
@@ -77,7 +77,8 @@ def _titled(summary: DataFrame, title: str, attributes: DataFrame | None) -> Dat
     named = summary.withColumn("title", F.lit(title))
     if attributes is None:
         return named
-    return lookup_join(named, info_box(label_records(attributes)), ["dataset_id"], "left")
+    labels = materialize(info_box(label_records(attributes)))
+    return lookup_join(named, labels, ["dataset_id"], "left")
 
 
 def _scatter_job(
@@ -132,8 +133,9 @@ def trajectory_map(rows: DataFrame, color: str | None = None, step: int = 1,
 def _with_color_label(points: DataFrame, color: str, attributes: DataFrame | None) -> DataFrame:
     if attributes is None:
         return points.withColumn("color_label", F.lit(color))
-    units = variable_units(attributes.filter(F.col("variable_name") == color))
-    labelled = lookup_join(points, units.select("dataset_id", "units"), ["dataset_id"], "left",
+    declared = variable_units(attributes.filter(F.col("variable_name") == color))
+    units = materialize(declared.select("dataset_id", "units"))
+    labelled = lookup_join(points, units, ["dataset_id"], "left",
                            salt_by=["dataset_id", "row_idx"])
     return labelled.withColumn("color_label", color_label(F.lit(color), F.col("units"))).drop("units")
 
