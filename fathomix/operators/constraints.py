@@ -239,8 +239,7 @@ def rows_in_bounds(
     if widest["n"] <= PUSHED_IDS:
         ids = [row["dataset_id"] for row in ends.select("dataset_id").collect()]
         near = near.filter(F.col("dataset_id").isin(ids))
-    joined = lookup_join(near, ends, ["dataset_id"], lookup_rows=widest["n"],
-                         salt_by=["dataset_id", "row_idx"])
+    joined = lookup_join(near, ends, ["dataset_id"], salt_by=["dataset_id", "row_idx"])
     return joined.filter(_inside()).drop(*RESOLVED_COLUMNS)
 
 

@@ -14,15 +14,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fathomix.operators.skew import lookup_join
 from fathomix.session import materialize, materialize_counted
 
-# Row numbers covered by one block; a block never holds more rows than this because row
+# Row numbers covered by one block; a block never holds more rows than this when row
 # numbers are unique within a dataset.
 BLOCK_ROWS = 1 << 18
 
-
 # One task adds up the blocks of a dataset; row numbers so sparse that a dataset has more
 # blocks than this are replaced by dense ones first.
 MAX_BLOCKS = 1 << 20
 
+# Blocks with fewer rows than this on average cost more than they save, once there are many.
+MIN_BLOCK_ROWS = 64
+MANY_BLOCKS = 100_000
+
 # Up to this many results a cap sorts directly; each task then sends on at most that many.
 DIRECT_LIMIT = 10_000
 
@@ -34,19 +37,33 @@ def _block(order: str, block_rows: int) -> Column:
     return F.expr(f"`{order}` div {block_rows}L")
 
 
-def _rows_before(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the keys as one value, which joins and groups nulls like any other."""
+    return rows.withColumn("_keys", F.struct(F.lit(0).alias("_"), *[F.col(f"`{k}`") for k in keys]))
+
+
+def _rows_before(counts: DataFrame) -> DataFrame:
     earlier = (
-        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_keys").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
     return counts.select(
-        *keys, "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
+        "_keys", "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
     )
 
 
-def _too_sparse(blocks: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether some dataset has more blocks than one task should add up."""
-    per_key = blocks.groupBy(*keys).agg(F.count("*").alias("n"))
-    return not per_key.filter(F.col("n") > MAX_BLOCKS).isEmpty()
+def _poor_blocks(blocks: DataFrame, block_rows: int) -> bool:
+    """Whether a dataset has too many blocks, a block too many rows, or blocks too few rows.
+
+    ``blocks`` has ``_keys``, ``_block`` and ``_rows``.
+    """
+    per_key = blocks.groupBy("_keys").agg(
+        F.count("*").alias("n"), F.sum("_rows").alias("rows"), F.max("_rows").alias("most")
+    )
+    seen = per_key.agg(F.max("n"), F.sum("n"), F.sum("rows"), F.max("most")).first()
+    if not seen[1]:
+        return False
+    thin_blocks = seen[1] > MANY_BLOCKS and seen[2] < MIN_BLOCK_ROWS * seen[1]
+    return seen[0] > MAX_BLOCKS or thin_blocks or seen[3] > max(block_rows, DIRECT_LIMIT)
 
 
 def with_position(
@@ -59,21 +76,21 @@ def with_position(
     """Add the 0-based position of each row within its keys, by ``order``.
 
     ``order`` is a whole number that is unique within the keys; gaps, such as those left by
-    a filter, are fine. Only the per-block counts cross datasets, so a dataset of any
-    length is numbered in parallel. Counting runs when this is called.
+    a filter, are fine. Rows with a null ``order`` come first, in any order among
+    themselves, and null keys are keys like others: no row is lost on any path. Only the
+    per-block counts cross datasets, so a dataset of any length is numbered in parallel.
+    Counting runs when this is called.
     """
     keys = list(keys)
-    blocked = rows.withColumn("_block", _block(order, block_rows))
-    counts = materialize(blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_rows")))
-    if _too_sparse(counts, keys):
+    blocked = _keyed(rows, keys).withColumn("_block", F.struct(_block(order, block_rows).alias("b")))
+    counts = materialize(blocked.groupBy("_keys", "_block").agg(F.count("*").alias("_rows")))
+    if _poor_blocks(counts, block_rows):
         return dense_row_index(rows, [order], keys, name)
-    local = Window.partitionBy(*keys, "_block").orderBy(order)
+    local = Window.partitionBy("_keys", "_block").orderBy(order)
     numbered = blocked.withColumn("_local", F.row_number().over(local) - 1)
     # The large side is already partitioned by keys and block, so this join moves none of it.
-    joined = numbered.join(_rows_before(counts, keys), [*keys, "_block"])
-    return joined.withColumn(name, F.col("_before") + F.col("_local")).drop(
-        "_block", "_local", "_before"
-    )
+    joined = numbered.join(_rows_before(counts), ["_keys", "_block"])
+    return joined.select(*rows.columns, (F.col("_before") + F.col("_local")).alias(name))
 
 
 def thin(
@@ -100,33 +117,36 @@ def dense_row_index(
 ) -> DataFrame:
     """Number the rows of each dataset 0, 1, 2 … by ``order``, for data without an index.
 
-    ``order`` must be total within a dataset (end it with a tie-break). Rows are range
-    partitioned and sorted on keys and order, so a long dataset spans many partitions, and
-    written once with their place in the partition; the rows that come before a dataset's
-    part of a partition are then a lookup. Rows move once.
+    Rows that ``order`` does not tell apart are ordered by a hash of the whole row; nulls
+    come first and null keys are keys like others. Rows are range partitioned and sorted on
+    keys and order, so a long dataset spans many partitions, and written once with their
+    place in the partition; the rows that come before a dataset's part of a partition are
+    then a lookup. Rows move once.
     """
     keys = list(keys)
-    ranged = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema if f.dataType.typeName() != "map"]
+    tied = rows.withColumn("_tie", F.xxhash64(*hashed))
+    by = [*[F.col(f"`{c}`") for c in (*keys, *order)], F.col("_tie")]
+    ranged = tied.repartitionByRange(*by).sortWithinPartitions(*by)
     row_id = F.monotonically_increasing_id()
     placed = materialize(
-        ranged.withColumn("_id", row_id).select(
+        _keyed(ranged, keys).withColumn("_id", row_id).select(
             *rows.columns,
+            "_keys",
             F.shiftright("_id", _ROW_BITS).alias("_block"),
             F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1).alias("_at"),
         )
     )
-    counts = placed.groupBy(*keys, "_block").agg(
+    counts = placed.groupBy("_keys", "_block").agg(
         F.count("*").alias("_rows"), F.min("_at").alias("_first")
     )
-    shift, parts = materialize_counted(
-        counts.join(_rows_before(counts, keys), [*keys, "_block"]).select(
-            *keys, "_block", (F.col("_before") - F.col("_first")).alias("_shift")
+    shift = materialize(
+        counts.join(_rows_before(counts), ["_keys", "_block"]).select(
+            "_keys", "_block", (F.col("_before") - F.col("_first")).alias("_shift")
         )
     )
-    joined = lookup_join(
-        placed, shift, [*keys, "_block"], lookup_rows=parts, salt_by=["_block", "_at"]
-    )
-    return joined.withColumn(name, F.col("_at") + F.col("_shift")).drop("_block", "_at", "_shift")
+    joined = lookup_join(placed, shift, ["_keys", "_block"], salt_by=["_block", "_at"])
+    return joined.select(*rows.columns, (F.col("_at") + F.col("_shift")).alias(name))
 
 
 def last_known_before(
@@ -137,32 +157,35 @@ def last_known_before(
     name: str,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add the latest non-null ``value`` among the earlier rows of the same keys."""
+    """Add the latest non-null ``value`` among the earlier rows of the same keys.
+
+    Null keys are keys like others; rows with a null ``order`` count as the earliest.
+    """
     keys = list(keys)
-    blocked = rows.withColumn("_block", _block(order, block_rows))
+    blocked = _keyed(rows, keys).withColumn("_block", F.struct(_block(order, block_rows).alias("b")))
     latest = F.max(
         F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("at"), F.col(value).alias("v")))
     )
-    per_block = materialize(blocked.groupBy(*keys, "_block").agg(latest.alias("_last")))
-    if _too_sparse(per_block, keys):
+    per_block = materialize(
+        blocked.groupBy("_keys", "_block").agg(latest.alias("_last"), F.count("*").alias("_rows"))
+    )
+    if _poor_blocks(per_block, block_rows):
         dense = dense_row_index(rows, [order], keys, "_dense")
         return last_known_before(dense, value, keys, "_dense", name, block_rows).drop("_dense")
     earlier = (
-        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_keys").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = per_block.select(
-        *keys, "_block", F.last("_last.v", ignorenulls=True).over(earlier).alias("_carried")
+        "_keys", "_block", F.last("_last.v", ignorenulls=True).over(earlier).alias("_carried")
     )
     local = (
-        Window.partitionBy(*keys, "_block")
+        Window.partitionBy("_keys", "_block")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     looked = blocked.withColumn("_here", F.last(value, ignorenulls=True).over(local))
-    joined = looked.join(carried, [*keys, "_block"])
-    return joined.withColumn(name, F.coalesce("_here", "_carried")).drop(
-        "_block", "_here", "_carried"
-    )
+    joined = looked.join(carried, ["_keys", "_block"])
+    return joined.select(*rows.columns, F.coalesce("_here", "_carried").alias(name))
 
 
 def unique_results(results: DataFrame, keys: Sequence[str], rank: str = "rank") -> DataFrame:

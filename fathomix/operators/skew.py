@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 # A lookup side within both limits is sent to every task.
 BROADCAST_ROWS = 200_000
-BROADCAST_TEXT_BYTES = 64 << 20
-SALTS = 32
+BROADCAST_BYTES = 64 << 20
+# A key with more rows than this is spread over several tasks …
+KEY_ROWS = 1_000_000
+# … and at most so many keys are: a key must also hold this fraction of all rows.
+HOT_KEYS = 10_000
 
 
 def lookup_join(
@@ -18,18 +22,17 @@ def lookup_join(
     on: Sequence[str],
     how: str = "inner",
     broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-    lookup_rows: int | None = None,
+    key_rows: int = KEY_ROWS,
     salt_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join many ``rows`` per key to the few ``lookup`` rows of that key.
 
-    The lookup side's rows and text are measured (up to the row limit) and it is broadcast
-    only when both fit; ``lookup_rows`` gives the count of a side known to be narrow. Beyond
-    that each key is spread over ``salts`` shuffle partitions and the lookup copied to all
-    of them, so one key holding a third of the rows never lands in one task. ``how`` is
-    ``inner``, ``left``, ``left_semi`` or ``left_anti``; ``lookup`` should be stored or
-    checkpointed when it is costly to compute, because counting reads it once more.
+    The lookup side's rows and bytes are measured, whatever its column types, and it is
+    broadcast only when both fit. Beyond that the rows per key are counted and every key
+    with more than ``key_rows`` gets a salt for each ``key_rows`` of them, so a key with a
+    third of all rows is dealt to as many tasks as it needs; other keys are not copied.
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``; both sides are read twice,
+    so store what is costly to compute.
 
     ``salt_by`` names the columns that tell the rows of one key apart (all, if unset). Rows
     that are complete copies share a salt, so aggregate copies away before joining.
@@ -37,26 +40,44 @@ def lookup_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join keeps the left rows; {how!r} is not supported")
     keys = list(on)
-    if lookup_rows is None:
-        fits = _fits(lookup, broadcast_rows)
-    else:
-        fits = lookup_rows <= broadcast_rows
-    if fits:
+    if fits_broadcast(lookup, broadcast_rows):
         return rows.join(F.broadcast(lookup), keys, how)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.filter(F.col("_n") > max(key_rows, total // HOT_KEYS)).select(
+        *keys, F.ceil(F.col("_n") / key_rows).cast("long").alias("_salts")
+    )
+    if hot.isEmpty():
+        return rows.join(lookup, keys, how)
     hashed = salt_by or [f.name for f in rows.schema if f.dataType.typeName() != "map"]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
-    copies = lookup.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    # At most HOT_KEYS keys can hold that fraction of the rows each.
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*hashed), salts)
     )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
-def _fits(lookup: DataFrame, broadcast_rows: int) -> bool:
-    texts = [f.name for f in lookup.schema if f.dataType.typeName() == "string"]
-    size = F.lit(0)
-    for name in texts:
-        size = size + F.coalesce(F.octet_length(name), F.lit(0))
-    measured = lookup.limit(broadcast_rows + 1).agg(
-        F.count("*").alias("rows"), F.sum(size.cast("long")).alias("bytes")
-    ).first()
-    return measured["rows"] <= broadcast_rows and (measured["bytes"] or 0) <= BROADCAST_TEXT_BYTES
+    copies = lookup.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))
+    )
+    return salted.drop("_salts").join(copies.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
+
+
+def _bytes(name: str, kind) -> Column | None:
+    if isinstance(kind, (StringType, BinaryType)):
+        size = F.octet_length(F.col(f"`{name}`"))
+    elif isinstance(kind, (ArrayType, MapType, StructType)):
+        size = F.octet_length(F.to_json(F.struct(F.col(f"`{name}`"))))
+    else:
+        return None
+    return F.coalesce(size, F.lit(0)).cast("long")
+
+
+def fits_broadcast(
+    lookup: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
+) -> bool:
+    """Whether a side has at most ``rows`` rows and ``size`` bytes; one distributed count."""
+    variable = [b for f in lookup.schema if (b := _bytes(f.name, f.dataType)) is not None]
+    width = F.lit(8 * len(lookup.columns)).cast("long")
+    for part in variable:
+        width = width + part
+    measured = lookup.agg(F.count("*").alias("rows"), F.sum(width).alias("bytes")).first()
+    return measured["rows"] <= rows and (measured["bytes"] or 0) <= size

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomix.functions.text import contains_text, path_text
 from fathomix.operators.sampling import preview
-from fathomix.operators.skew import BROADCAST_ROWS, lookup_join
+from fathomix.operators.skew import lookup_join
 from fathomix.session import materialize, materialize_counted
 
 MAX_DEPTH = 8
@@ -40,7 +40,6 @@ def walk_catalogs(
             known.distinct().withColumn("reachable", F.lit(True)),
             ["child_url"],
             "left",
-            lookup_rows=known.limit(BROADCAST_ROWS + 1).count(),
         ).withColumn("reachable", F.coalesce("reachable", F.lit(False)))
     )
     level = catalogs.filter(F.col("catalog_url") == root_url).select(
@@ -49,13 +48,13 @@ def walk_catalogs(
         F.lit(0).alias("depth"),
         F.lit(True).alias("reachable"),
     )
-    levels, visits = [level], 1
+    levels = [level]
     for depth in range(1, max_depth + 1):
         parents = level.filter("reachable").select(
             F.col("catalog_url").alias("parent_url"), F.col("path").alias("parent_path")
         )
         level, visits = materialize_counted(
-            lookup_join(refs, parents, ["parent_url"], lookup_rows=visits).select(
+            lookup_join(refs, parents, ["parent_url"]).select(
                 F.col("child_url").alias("catalog_url"),
                 F.concat("parent_path", F.array("ref_name")).alias("path"),
                 F.lit(depth).alias("depth"),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: set[str] = set()
+_SCOPES: list[list[DataFrame]] = []
+
 
 def build_session(
     master: str | None = None,
@@ -34,14 +38,25 @@ def build_session(
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``."""
+    """This application's folder below ``spark.checkpoint.dir``, or below the warehouse.
+
+    Both are shared by the executors. The folder is deleted when the application ends.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fathomix-checkpoint-"))
-    return context.getCheckpointDir()
+        context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate")
+    folder = context.getCheckpointDir()
+    if folder not in _FOLDERS:
+        fs, path = _file_system(spark, folder)
+        fs.deleteOnExit(path)
+        _FOLDERS.add(folder)
+    return folder
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -49,15 +64,41 @@ def materialize(df: DataFrame) -> DataFrame:
 
     The copy outlives lost executors, and everything derived from it sees the same rows
     however often a stage is retried. It is columnar, so later steps read only the columns
-    they use, and its size is known to the optimizer.
+    they use, and its size is known to the optimizer. ``release`` deletes it early, a
+    surrounding ``intermediates`` block deletes it at its end, and the end of the
+    application deletes whatever is left.
     """
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    if _SCOPES:
+        _SCOPES[-1].append(stored)
+    return stored
 
 
 def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``materialize`` and the number of rows, which the written files already state."""
     stored = materialize(df)
     return stored, stored.count()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` made and nothing reads any more."""
+    for table in tables:
+        fs, path = _file_system(table.sparkSession, table._stored_at)
+        fs.delete(path, True)
+
+
+@contextmanager
+def intermediates() -> Iterator[None]:
+    """Delete the tables that ``materialize`` makes inside the block when the block ends.
+
+    Run the actions on a job's results inside the block.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        release(*_SCOPES.pop())

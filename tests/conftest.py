@@ -10,10 +10,11 @@ from fathomix.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "local[4]", 4,
         **{"spark.sql.maxMetadataStringLength": "2000"},
+        **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
         **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"},
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -70,7 +70,10 @@ def test_last_known_before_equals_one_window(skewed, rows_of, block_rows):
 
 def test_sparse_row_numbers_are_made_dense_first(skewed, rows_of, monkeypatch):
     monkeypatch.setattr(sampling, "MAX_BLOCKS", 3)
-    assert sampling._too_sparse(skewed.withColumn("_block", sampling._block("row_idx", 2)).dropDuplicates(["dataset_id", "_block"]), ["dataset_id"])
+    blocks = sampling._keyed(skewed, ["dataset_id"]).groupBy(
+        "_keys", sampling._block("row_idx", 2).alias("_block")
+    ).agg(F.count("*").alias("_rows"))
+    assert sampling._poor_blocks(blocks, 2)
     got = sampling.with_position(skewed, block_rows=2)
     assert rows_of(got, "dataset_id", "row_idx", "position") == rows_of(by_window(skewed))
     marked = skewed.withColumn("v", F.when(F.col("row_idx") % 7 == 0, F.col("row_idx").cast("string")))
@@ -83,7 +86,7 @@ def test_sparse_row_numbers_are_made_dense_first(skewed, rows_of, monkeypatch):
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(spark, skewed, rows_of, how):
     dim = spark.createDataFrame([("hot", 1), ("d3", 2), ("d3", 3), ("none", 4)], "dataset_id string, v int")
-    salted = lookup_join(skewed, dim, ["dataset_id"], how, broadcast_rows=2, salts=8)
+    salted = lookup_join(skewed, dim, ["dataset_id"], how, broadcast_rows=2, key_rows=20)
     assert rows_of(salted) == rows_of(skewed.join(dim, "dataset_id", how))
     plan = salted._jdf.queryExecution().executedPlan().toString()
     assert "_salt" in plan
@@ -114,3 +117,38 @@ def test_unique_cap_and_preview(spark, rows_of, monkeypatch):
     assert rows_of(shown) == [("b", 1, 3, 1), ("c", 3, 3, 1)]
     with pytest.raises(ValueError, match="cap"):
         sampling.first_ranked(unique, 0)
+
+
+@pytest.fixture
+def with_nulls(spark):
+    rows = [("a", 0), ("a", 1), ("a", 5), (None, 0), (None, 1), (None, 3), ("b", None), ("b", 2), ("c", None)]
+    return spark.createDataFrame(rows, "dataset_id string, row_idx long").repartition(3)
+
+
+def test_null_keys_and_numbers_are_kept_on_every_path(with_nulls, rows_of, monkeypatch):
+    blocks = rows_of(sampling.with_position(with_nulls, block_rows=2))
+    monkeypatch.setattr(sampling, "MAX_BLOCKS", 0)
+    dense = rows_of(sampling.with_position(with_nulls, block_rows=2))
+    assert blocks == dense and len(blocks) == 9
+    assert (None, 3, 2) in blocks and ("b", None, 0) in blocks and ("b", 2, 1) in blocks
+
+
+@pytest.mark.parametrize("step, kept", [(1, 9), (2, 6), (100, 4)])
+def test_thin_counts_null_keys_as_a_dataset(with_nulls, step, kept):
+    assert sampling.thin(with_nulls, step).count() == kept
+
+
+def test_last_known_keeps_null_keys(spark, rows_of):
+    rows = spark.createDataFrame([(None, 0, "x"), (None, 1, None), (None, 2, None), ("k", 0, None)],
+                                 "c string, t long, v string")
+    got = sampling.last_known_before(rows, "v", ["c"], "t", "before", block_rows=2)
+    assert rows_of(got, "c", "t", "before") == sorted(
+        [(None, 0, None), (None, 1, "x"), (None, 2, "x"), ("k", 0, None)], key=repr)
+
+
+def test_wide_lookups_are_not_broadcast(spark):
+    from fathomix.operators.skew import fits_broadcast
+
+    paths = spark.range(1000).select("id", F.array_repeat(F.repeat(F.lit("x"), 1000), 100).alias("path"))
+    assert not fits_broadcast(paths)
+    assert fits_broadcast(paths.select("id"))
