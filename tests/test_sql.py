@@ -5,6 +5,8 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as contract
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 from tools import check_sql
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,10 +19,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     assert check_sql.differences(spark, con, FOLDER, name) in (None, "both are empty")
 
