@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable
+from types import ModuleType
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,6 +21,14 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def per_worker(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once per worker process and name."""
+    kept = sys.modules.setdefault("fathomix_worker_values", ModuleType("fathomix_worker_values")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def text_bytes(column: str = "text") -> Column:
     """The text's UTF-8 bytes; a null text is empty."""
     return F.coalesce(F.col(f"`{column}`"), F.lit("")).cast("binary")

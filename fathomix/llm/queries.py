@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomix.llm import simhash
+from fathomix.llm import decontaminate, packing, quality, shards, simhash, surrogates, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,4 +15,31 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=3, shingle=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup,)}
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(_table(spark, sf_dir, "documents"), "op5").select("doc_id", "text", "replaced")
+
+
+def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokens.DEFAULT, length=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
+def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = shards.even_tree(8)
+    placed = shards.shard_rows(_table(spark, sf_dir, "documents"), tree, shards.grown(tree, 8))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_simhash_near_dedup, op3_benchmark_decontamination, op4_quality_classifier, op5_pii_surrogates, op7_mixture_packing,
+    op10_hash_tree_sharding,
+)}
