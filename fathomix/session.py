@@ -37,7 +37,7 @@ def build_session(
     return builder.getOrCreate()
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``, or below the warehouse.
 
     Both are shared by the executors. The folder is deleted when the application ends.
@@ -69,7 +69,7 @@ def materialize(df: DataFrame) -> DataFrame:
     application deletes whatever is left.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._stored_at = path
