@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomix.llm import decontaminate, packing, quality, shards, simhash, surrogates, tokens
+from fathomix.llm import decontaminate, kneser_ney, packing, quality, shards, simhash, surrogates, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,13 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=3, shingle=3)
 
 
+def op2_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality.fold(folds=5) == 1
+    scored = kneser_ney.scores(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +47,6 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op3_benchmark_decontamination, op4_quality_classifier, op5_pii_surrogates, op7_mixture_packing,
+    op1_simhash_near_dedup, op2_kneser_ney_scores, op3_benchmark_decontamination, op4_quality_classifier, op5_pii_surrogates, op7_mixture_packing,
     op10_hash_tree_sharding,
 )}
