@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomix.llm import decontaminate, kneser_ney, packing, quality, shards, simhash, surrogates, tokens
+from fathomix.llm import (
+    decontaminate, edit_counts, kneser_ney, packing, paragraphs, quality, shards, simhash, surrogates, tokens, vamana,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +38,39 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_entities(_table(spark, sf_dir, "documents"), "op5").select("doc_id", "text", "replaced")
 
 
+def op6_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), tokens.DEFAULT, length=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
 
 
+def house_edits(text: str) -> list[tuple[int, int, str]]:
+    """Edits as a cleaning step makes them: repeated long lines go, long numbers are masked."""
+    edits, seen, at = [], set(), 0
+    for line in text.split("\n"):
+        end = at + len(line)
+        if len(line) >= 20 and line in seen:
+            edits.append((at, min(end + 1, len(text)), ""))
+        else:
+            seen.add(line)
+            edits += [(at + m.start(), at + m.end(), "<number>") for m in re.finditer(r"[0-9][0-9 ().-]{4,}[0-9]", line)]
+        at = end + 1
+    return edits
+
+
+def op8_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = edit_counts.with_trees(_table(spark, sf_dir, "documents"), tokens.DEFAULT)
+    return edit_counts.apply_edits(counted, tokens.DEFAULT, house_edits)
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = shards.even_tree(8)
     placed = shards.shard_rows(_table(spark, sf_dir, "documents"), tree, shards.grown(tree, 8))
@@ -47,6 +78,7 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_kneser_ney_scores, op3_benchmark_decontamination, op4_quality_classifier, op5_pii_surrogates, op7_mixture_packing,
+    op1_simhash_near_dedup, op2_kneser_ney_scores, op3_benchmark_decontamination, op4_quality_classifier,
+    op5_pii_surrogates, op6_graph_neighbours, op7_mixture_packing, op8_edit_aware_counts, op9_repeated_passages,
     op10_hash_tree_sharding,
 )}
