@@ -1,6 +1,6 @@
 """An interpolated modified Kneser-Ney bigram model, counted in Spark and scored in Spark.
 
-Documents are cut into blocks of about two million tokens, each stored as sorted word codes
+Documents are cut into blocks of about a million tokens, each stored as sorted word codes
 (64-bit hashes) and token positions in them. A block sends every distinct bigram once, with
 its count in training texts, to the shard that owns the bigram's range of hashes. A shard
 merges its blocks' arrays into the model's sorted hash array, stores it, memory-maps it and
@@ -38,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from fathomix.llm.common import shuffle_partitions, text_bytes, words
 from fathomix.session import materialize, shared_folder
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 # Distinct bigrams that a shard merges, about.
 SHARD_BIGRAMS = 1 << 21
 # Codes of the marks; words have larger ones.
@@ -97,7 +97,7 @@ class Block:
         self.lengths = np.array(row["lengths"], np.int64)
         self.trained = np.repeat(np.array(row["trained"], bool), self.lengths)
         self.words = np.concatenate([np.array([BEGIN], np.uint64), unpack_sorted(row["vocab"])])
-        self.tokens = unpack_numbers(row["tokens"]) + 1
+        self.tokens = (unpack_numbers(row["tokens"]) + 1).astype(np.int32)
         self.starts = self.lengths.cumsum() - self.lengths
         self.before = np.empty_like(self.tokens)
         self.before[1:] = self.tokens[:-1]
