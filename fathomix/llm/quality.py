@@ -178,8 +178,8 @@ def learn(measured: DataFrame, labels: DataFrame, learns: Column, label: str = "
     near = known.filter(draw.bitwiseAND((1 << 30) - 1) < int(share * (1 << 30)))
     # Bounded by sample_rows, so it may be sent to every task and, with the statistics, to the driver.
     chosen = near.orderBy(draw, "doc_id").limit(sample_rows)
-    rows = measured.select("doc_id", "statistics").join(F.broadcast(chosen), "doc_id").orderBy(
-        "doc_id", "statistics").limit(sample_rows).toPandas()
+    rows = measured.select("doc_id", "statistics").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(
+        F.min("statistics").alias("statistics")).orderBy("doc_id").toPandas()
     x = np.array(rows["statistics"].tolist(), float).reshape(len(rows), len(NAMES))
     return fit(x, rows["y"].to_numpy(float))
 

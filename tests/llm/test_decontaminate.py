@@ -44,7 +44,7 @@ def test_contiguous_copies_are_all_found(spark, documents, bench):
         words = random.choices(vocabulary(3000), k=random.randint(0, 300))
         item = random.choice(bench)[1].split()
         shingles = len(item) - 4
-        lost = random.randint(0, shingles - int(np.ceil(0.8 * shingles)))
+        lost = random.randint(0, shingles // 9)
         cut = random.randint(0, lost)
         place = random.randint(0, len(words))
         if n % 3:
@@ -52,7 +52,8 @@ def test_contiguous_copies_are_all_found(spark, documents, bench):
         docs.append((n, " ".join(words)))
     got = {(r.doc_id, r.item_id): r.similarity for r in dc.matches(documents(docs), items_of(spark, bench)).collect()}
     expected = plain_matches(docs, bench)
-    assert set(got) == set(expected) and len(got) >= 35
+    assert set(got) == set(expected), (set(got) ^ set(expected), [expected.get(k) for k in set(got) ^ set(expected)])
+    assert len(got) >= 35
 
 
 def test_one_changed_word_stays_within_the_radius(spark, documents, bench):
@@ -97,9 +98,8 @@ def test_chunks_and_item_blocks_do_not_matter(spark, documents, bench, monkeypat
 def test_odd_rows(spark, odd, empty, documents):
     items = spark.createDataFrame([(5, "a b c d e"), (3, "A b c  d e"), (1, None), (2, " "), (9, "one")],
                                   "item_id long, text string")
-    got = sorted((r.doc_id, r.item_id, r.similarity, r.first_word) for r in dc.matches(odd, items).collect())
-    assert got == [(3, 9, 1.0, 0), (5, 9, 1.0, 0), (7, 3, 1.0, 0), (7, 3, 1.0, 0)] or {
-        (g[0], g[1]) for g in got} == {(3, 9), (5, 9), (7, 3)} | {(None, 9)}
+    got = sorted(((r.doc_id, r.item_id, r.similarity, r.first_word) for r in dc.matches(odd, items).collect()), key=repr)
+    assert got == [(3, 9, 1.0, 0), (5, 9, 1.0, 0), (7, 3, 1.0, 0), (7, 3, 1.0, 0), (None, 9, 1.0, 0), (None, 9, 1.0, 0)]
     assert dc.matches(odd, items.limit(0)).count() == 0
     assert dc.matches(empty, items).count() == 0
     kept = dc.clean(odd, items)
