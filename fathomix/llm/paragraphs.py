@@ -135,8 +135,8 @@ def units(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                some = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, 64):
+                some = batch.slice(low, 64)
                 found = [units_of(t.as_py()) for t in some.column(1)]
                 counts = np.array([len(f[0]) for f in found])
                 owner = np.repeat(np.arange(len(found)), counts)
@@ -210,16 +210,20 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            held = []
-            for text in batch.column(0):
-                held += [line for line in text.as_py().lower().split(b"\n") if len(line) >= 2 * MIN_WORDS - 1]
-            split = [line.split() for line in held]
-            long = [i for i, s in enumerate(split) if len(s) >= MIN_WORDS]
-            sizes = np.array([len(split[i]) for i in long], np.int64)
-            codes = np.array([digest(w, SEED) for i in long for w in split[i]], np.uint64)
-            hashes = _unit_hashes(codes, sizes.cumsum() - sizes, sizes.cumsum(), 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.astype(np.int64)), pa.array([held[i] for i in long], pa.binary())], schema=line_schema)
+            for low in range(0, batch.num_rows, 64):
+                held, sizes, codes = [], [], []
+                for text in batch.column(0).slice(low, 64):
+                    for line in text.as_py().lower().split(b"\n"):
+                        parts = line.split()
+                        if len(parts) >= MIN_WORDS:
+                            held.append(line)
+                            sizes.append(len(parts))
+                            codes.append(np.array([digest(w, SEED) for w in parts], np.uint64))
+                if held:
+                    ends = np.cumsum(sizes)
+                    hashes = _unit_hashes(np.concatenate(codes), ends - np.array(sizes), ends, 2)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(hashes.astype(np.int64)), pa.array(held, pa.binary())], schema=line_schema)
 
     every = read.mapInArrow(lines, "hash long, line binary")
     texts = materialize(lookup_join(every, members, ["hash"], "left_semi", broadcast_rows=MEMBER_ROWS).groupBy(
@@ -263,23 +267,22 @@ def repeated_spans(docs: DataFrame, least: float = 0.8, min_words: int = MIN_WOR
     ``removed`` says whether this occurrence goes; where it does not, it is the one kept.
     """
     stored = materialize(units(docs))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
-    copies = materialize(stored.groupBy("hash").agg(
-        F.count("*").alias("n"), F.min(place).alias("first"), F.min("words").alias("words"), F.min("bands").alias("bands"),
-        F.min("row").alias("low"), F.max("row").alias("high"),
-    ).filter((F.col("n") > 1) | (F.size("bands") > 0)))
-    paragraphs = copies.filter(F.size("bands") > 0).select("hash", "words", "bands")
+    repeated = materialize(stored.groupBy("hash").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter(
+        "low < high").select("hash"))
+    paragraphs = stored.filter(F.size("bands") > 0).groupBy("hash").agg(
+        F.min("words").alias("words"), F.min("bands").alias("bands"))
     pairs = materialize(colliding(paragraphs))
-    linked = components(verified(pairs, docs, least)).withColumnRenamed("node", "hash")
-    release(pairs)
-    classed = materialize(copies.select("hash", "n", "first", "low", "high").join(linked, "hash", "left").filter(
-        F.col("root").isNotNull() | (F.col("n") > 1)).withColumn("root", F.coalesce("root", "hash")))
-    firsts = classed.groupBy("root").agg(
-        F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")
-    ).filter("low < high").select("root", "first")
-    known = materialize(classed.select("hash", "root").join(firsts, "root").select("hash", "first"))
-    marked = lookup_join(stored.select("row", "doc_id", "start", "words", "hash"), known, ["hash"],
-                         salt_by=["row", "start"]).select(
+    linked = materialize(components(verified(pairs, docs, least)).withColumnRenamed("node", "hash"))
+    alone = repeated.join(linked, "hash", "left_anti").select("hash", F.col("hash").alias("root"))
+    classed = materialize(linked.select("hash", "root").unionByName(alone))
+    held = materialize(lookup_join(stored.select("row", "doc_id", "start", "words", "hash"), classed, ["hash"],
+                                   broadcast_rows=MEMBER_ROWS, salt_by=["row", "start"]).drop("hash"))
+    release(pairs, linked, repeated)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
+    firsts = materialize(held.groupBy("root").agg(
+        F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")
+    ).filter("low < high").select("root", "first"))
+    marked = lookup_join(held, firsts, ["root"], broadcast_rows=MEMBER_ROWS, salt_by=["row", "start"]).select(
         "row", "doc_id", F.struct(
             "start", "words", F.col("first.doc_id").cast("long").alias("class_id"),
             ((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))).alias("removed"),
