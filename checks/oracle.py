@@ -122,6 +122,13 @@ _oracle("row_index_dense", """SELECT dataset_id, time, event_id, temperature,
   row_number() OVER (PARTITION BY dataset_id ORDER BY time, event_id) - 1 AS row_idx FROM raw""", RAW)
 _oracle("position_in_blocks", """SELECT dataset_id, row_idx,
   row_number() OVER (PARTITION BY dataset_id ORDER BY row_idx) - 1 AS position FROM obs""", OBS)
+_NULL_KEYS = """holed AS (SELECT CASE WHEN row_idx % 7 <> 0 THEN dataset_id END AS dataset_id,
+    CASE WHEN row_idx % 11 <> 0 THEN row_idx END AS row_idx, row_idx AS event_id FROM obs)"""
+_oracle("thin_null_keys", f"SELECT * FROM {_thinned('(SELECT * FROM holed WHERE row_idx IS NOT NULL)', 3)}", OBS, _NULL_KEYS)
+_oracle("position_null_order", """SELECT dataset_id, row_idx,
+  row_number() OVER (PARTITION BY dataset_id ORDER BY row_idx NULLS FIRST) - 1 AS position FROM holed""", OBS, _NULL_KEYS)
+_oracle("read_back", """SELECT format, dataset_id, row_idx, time, lat, temperature FROM obs,
+  unnest(['csv', 'csv0', 'csvp', 'tsv', 'tsv0', 'tsvp', 'json', 'jsonlKVP', 'parquet', 'orc']) f(format)""", OBS)
 _oracle("subset_export", "SELECT dataset_id, time, lat, lon, temperature FROM inside", INSIDE)
 _oracle("subset_distinct", "SELECT DISTINCT dataset_id, depth, temperature_qc FROM inside", INSIDE)
 _oracle("subset_unconstrained", """SELECT o.* FROM obs o JOIN ranges r USING (dataset_id)
@@ -205,6 +212,18 @@ _oracle("catalog_leaf_single", """SELECT c.catalog_url,
   CASE WHEN count(l.name) = 0 THEN 'no_datasets' WHEN count(DISTINCT l.name) = 1 THEN 'ok' ELSE 'ambiguous' END AS status,
   CASE WHEN count(DISTINCT l.name) = 1 THEN min(l.name) END AS chosen, count(l.name) AS n_matches
   FROM catalogs c LEFT JOIN leaves l USING (catalog_url) GROUP BY c.catalog_url""", TREE)
+_CHOICES = """SELECT c.catalog_url, c.status, 'dataset' AS kind, l.name FROM decided c JOIN meant l USING (catalog_url)
+    WHERE c.status = 'ambiguous'
+  UNION ALL SELECT c.catalog_url, c.status, 'sub_catalog', e.ref_name FROM decided c JOIN edges e ON e.parent_url = c.catalog_url
+    WHERE c.status = 'no_datasets'"""
+_oracle("catalog_choices", _CHOICES, TREE, "meant AS (SELECT * FROM leaves)", """decided AS (
+  SELECT c.catalog_url, CASE WHEN count(l.name) = 0 THEN 'no_datasets' WHEN count(DISTINCT l.name) > 1 THEN 'ambiguous' END AS status
+  FROM catalogs c LEFT JOIN leaves l USING (catalog_url) GROUP BY c.catalog_url)""")
+_oracle("catalog_choices_named", _CHOICES, TREE, "meant AS (SELECT * FROM leaves WHERE contains(lower(name), 'order-7'))", """decided AS (
+  SELECT c.catalog_url, CASE WHEN count(l.name) = 0 THEN 'no_datasets'
+    WHEN count(DISTINCT m.name) > 1 AND count(*) FILTER (l.name = 'order-7') = 0 THEN 'ambiguous' END AS status
+  FROM catalogs c LEFT JOIN leaves l USING (catalog_url) LEFT JOIN meant m ON m.catalog_url = l.catalog_url AND m.name = l.name
+  GROUP BY c.catalog_url)""")
 _SERVICES = """services AS (
   SELECT DISTINCT catalog_url, unnest(['HTTPServer', 'OpenDAP', 'WMS']) AS service, unnest([http, dap, wms]) AS url FROM leaves)"""
 _oracle("catalog_services", "SELECT DISTINCT catalog_url, service FROM services WHERE url IS NOT NULL", TREE, _SERVICES)
@@ -241,8 +260,11 @@ _oracle("flatten_profiles", "SELECT trajectory, profile, time, lat, lon FROM pro
 _oracle("flatten_in_bounds", """SELECT trajectory, profile, obs_no, time, depth, salinity FROM measured
   WHERE time BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2024-01-01 12:00:00'
     AND lat BETWEEN -20 AND 30 AND lon <= -60""", NESTED)
-_oracle("flatten_bare_end_date", """SELECT trajectory, profile, time, lat FROM profiles
-  WHERE time <= TIMESTAMP '2024-01-01 00:00:00'""", NESTED)
+_oracle("flatten_bare_end_date", """SELECT * FROM (SELECT trajectory, profile,
+    time + to_days(CAST((length(trajectory) + ascii(right(trajectory, 1))) % 5 AS INTEGER)) AS time, lat FROM profiles)
+  WHERE time <= TIMESTAMP '2024-01-03 00:00:00'""", NESTED)
+_oracle("flatten_nan_bounds", """SELECT trajectory, profile, obs_no, lat, CASE WHEN obs_no % 4 <> 2 THEN temperature END AS temperature
+  FROM measured WHERE lat >= 0 AND profile % 3 <> 1""", NESTED)
 _oracle("mixed_trajectories", """SELECT CAST(label AS VARCHAR) AS dataset_id FROM embeddings
   GROUP BY label HAVING count(*) > 1""")
 _oracle("nested_timeseries", f"""SELECT trajectory AS dataset_id, profile * 2147483648 + obs_no AS row_idx, time AS x, temperature AS y
@@ -358,20 +380,30 @@ def _moment(column: str) -> str:
 
 _oracle("bounds_as_times", f"""SELECT request_id, {_moment('low')} AS from_time, {_moment('high')} AS to_time FROM (
   SELECT request_id, {_padded('min_time', 'T00:00:00Z')} AS low, {_padded('max_time', 'T23:59:59Z')} AS high FROM requests)""", REQUESTS)
+_RELATIVE_DAYS = "to_days(CAST(regexp_extract({0}, '[0-9]+') AS INTEGER))"
+
+
+def _whole(column: str, clock: str) -> str:
+    """A bound with its clock; a relative one as the instant it means."""
+    return f"""CASE WHEN {column} = 'now' THEN strftime({AS_OF}, {_ISO})
+    WHEN starts_with({column}, 'now-') THEN strftime({AS_OF} - {_RELATIVE_DAYS.format(column)}, {_ISO})
+    WHEN contains({column}, 'T') OR NOT regexp_matches({column}, '^[0-9]') THEN {column} ELSE {column} || '{clock}' END"""
+
+
 _oracle("clamped_requests", """SELECT request_id, dataset_id,
-  CASE WHEN inv OR CAST(first AS TIMESTAMP) < CAST(time_start AS TIMESTAMP) THEN time_start ELSE first END AS from_time,
-  CASE WHEN inv OR CAST(last AS TIMESTAMP) > CAST(time_end AS TIMESTAMP) THEN time_end ELSE last END AS to_time,
+  CASE WHEN inv OR coalesce(f < CAST(time_start AS TIMESTAMP), false) THEN time_start ELSE first END AS from_time,
+  CASE WHEN inv OR coalesce(l > CAST(time_end AS TIMESTAMP), false) THEN time_end ELSE last END AS to_time,
   greatest(least(la, lb), lat_min) AS from_lat, least(greatest(la, lb), lat_max) AS to_lat,
   greatest(least(oa, ob), lon_min) AS from_lon, least(greatest(oa, ob), lon_max) AS to_lon, inv AS time_reset
-  FROM (SELECT *, CAST(first AS TIMESTAMP) > CAST(last AS TIMESTAMP) AS inv FROM full_bounds)""",
-        COVERAGE, REQUESTS, """usable AS (SELECT * REPLACE (
-    CASE WHEN relative THEN NULL ELSE min_time END AS min_time, CASE WHEN relative THEN NULL ELSE max_time END AS max_time)
-  FROM (SELECT *, coalesce(starts_with(min_time, 'now'), false) OR coalesce(max_time IN ('now', 'soon'), false) AS relative FROM requests)),
+  FROM (SELECT *, coalesce(f > l, false) AS inv FROM (
+    SELECT *, try_cast(first AS TIMESTAMP) AS f, try_cast(last AS TIMESTAMP) AS l FROM full_bounds))""",
+        COVERAGE, REQUESTS, f"""
 merged AS (SELECT *, coalesce(nullif(min_time, ''), time_start) AS low, coalesce(nullif(max_time, ''), time_end) AS high,
     coalesce(min_lat, lat_min) AS la, coalesce(max_lat, lat_max) AS lb, coalesce(min_lon, lon_min) AS oa, coalesce(max_lon, lon_max) AS ob
-  FROM usable JOIN coverage USING (dataset_id)),
-full_bounds AS (SELECT *, CASE WHEN contains(low, 'T') THEN low ELSE low || 'T00:00:00Z' END AS first,
-    CASE WHEN contains(high, 'T') THEN high ELSE high || 'T23:59:59Z' END AS last FROM merged)""")
+  FROM requests JOIN coverage USING (dataset_id)),
+full_bounds AS (SELECT *, {_whole('low', 'T00:00:00Z')} AS first, {_whole('high', 'T23:59:59Z')} AS last FROM merged)""")
+_oracle("skipped_requests", """SELECT dataset_id, 'to_time soon cannot be read' AS reason FROM requests JOIN coverage USING (dataset_id)
+  WHERE max_time = 'soon'""", COVERAGE, REQUESTS)
 _oracle("incomplete_boxes", """SELECT request_id, concat_ws(', ', CASE WHEN min_lat IS NULL THEN 'min_lat' END,
   CASE WHEN max_lat IS NULL THEN 'max_lat' END, CASE WHEN min_lon IS NULL THEN 'min_lon' END,
   CASE WHEN max_lon IS NULL THEN 'max_lon' END) AS missing FROM requests
@@ -437,10 +469,12 @@ _oracle("facet_institutions", """SELECT DISTINCT institution AS value FROM idx
 _oracle("facet_standard_names", """SELECT DISTINCT value FROM (SELECT unnest(standard_names) AS value FROM idx)
   WHERE NOT (contains(lower(value), 'qc') OR contains(lower(value), 'qartod') OR lower(value) LIKE '%flag')""", INDEX)
 _oracle("facet_keywords", "SELECT DISTINCT unnest(keywords) AS value FROM idx", INDEX)
+_oracle("facet_listed", """SELECT value, row_number() OVER (ORDER BY value) - 1 AS place
+  FROM (SELECT DISTINCT unnest(keywords) AS value FROM idx)""", INDEX)
 _oracle("facet_checks", """SELECT a.facet, a.value, k.value IS NOT NULL AS valid FROM (
     SELECT 'institution' AS facet, '_' || source || '_' || lang || '_lab ' AS value FROM documents
     UNION SELECT 'ioos_category', upper(lang) FROM documents
-    UNION SELECT 'keywords', regexp_split_to_array(text, '\\s+')[1] FROM documents) a
+    UNION SELECT 'keywords', unnest(regexp_split_to_array(text, '\\s+')) FROM documents) a
   LEFT JOIN (SELECT 'institution' AS facet, institution AS value FROM idx UNION SELECT 'ioos_category', ioos_category FROM idx
     UNION SELECT 'keywords', unnest(keywords) FROM idx) k ON k.facet = a.facet AND k.value = a.value""", INDEX)
 
@@ -488,9 +522,25 @@ _oracle("attribute_numbers", """SELECT dataset_id, variable_name, attribute_name
   contains(lower(variable_name), 'qc') OR contains(lower(variable_name), 'qartod') OR lower(variable_name) LIKE '%flag' AS qc_variable,
   contains(lower(value), 'qc') OR contains(lower(value), 'qartod') AS qc_keyword FROM attrs""", ATTRIBUTES)
 
+_oracle("read_tables", """SELECT 'attributes' AS source, count(*) AS n_rows, count(DISTINCT dataset_id) AS n_keys FROM attrs
+  UNION ALL SELECT 'index', count(*), count(DISTINCT rank) FROM idx
+  UNION ALL SELECT 'catalogs', count(*), count(DISTINCT catalog_url) FROM catalogs
+  UNION ALL SELECT 'edges', count(*), count(DISTINCT child_url) FROM edges
+  UNION ALL SELECT 'leaves', count(*), count(DISTINCT name) FROM leaves""", INDEX, ATTRIBUTES, TREE)
+_oracle("declared_subset", "SELECT dataset_id, row_idx, time, lat, lon, temperature FROM inside", OBS, ATTRIBUTES, DECLARED,
+        f"asked AS (SELECT declared.*, {_bounds(None, '2024-01-15', -50.0)} FROM declared)", _resolved("asked"), _inside("obs", "resolved"))
+_oracle("declared_dataset", "SELECT dataset_id, row_idx, lat FROM inside WHERE dataset_id = '4'", OBS, ATTRIBUTES, DECLARED,
+        f"asked AS (SELECT declared.*, {_bounds(None, None, -90.0, 90.0, -180.0, 180.0)} FROM declared)", _resolved("asked"),
+        _inside("obs", "resolved"))
+
 # --- coverage, thinning, views ----------------------------------------------------------
 
 _oracle("observed_coverage", "SELECT * FROM coverage", COVERAGE)
+_oracle("coverage_with_nan", f"""SELECT dataset_id, coalesce(strftime(min(time), {_ISO}), '') AS time_start,
+    coalesce(strftime(max(time), {_ISO}), '') AS time_end,
+    coalesce(min(lat) FILTER (row_idx % 5 <> 0), -90.0::DOUBLE) AS lat_min, coalesce(max(lat) FILTER (row_idx % 5 <> 0), 90.0::DOUBLE) AS lat_max,
+    coalesce(min(lon) FILTER (row_idx % 6 <> 1), -180.0::DOUBLE) AS lon_min, coalesce(max(lon) FILTER (row_idx % 6 <> 1), 180.0::DOUBLE) AS lon_max
+  FROM obs GROUP BY dataset_id""", OBS)
 _oracle("dataset_profiles", """SELECT dataset_id, count(*) AS total_rows, count(*) FILTER (ok) AS valid_rows,
   min(time) FILTER (ok) AS time_min, max(time) FILTER (ok) AS time_max, min(lat) FILTER (ok) AS lat_min, max(lat) FILTER (ok) AS lat_max,
   min(lon) FILTER (ok) AS lon_min, max(lon) FILTER (ok) AS lon_max
@@ -531,10 +581,10 @@ _oracle("trajectory_summary", """SELECT dataset_id, round(avg(lat), 6) AS center
   count(*) AS n_points, 5 AS zoom, 'Flight path: ' || dataset_id AS title FROM track GROUP BY dataset_id""", INSIDE, _TRACK)
 
 
-def _region(cap: int, step: int) -> tuple[str, ...]:
-    bounds = _bounds("2024-01-05", "2024-01-25", -30.0, 35.0, -120.0, 100.0)
+def _region(cap: int, step: int, test: str = _REGION_TEST, times=("2024-01-05", "2024-01-25")) -> tuple[str, ...]:
+    bounds = _bounds(*times, -30.0, 35.0, -120.0, 100.0)
     return (INDEX, COVERAGE.split(RANGES + ",")[1].strip(), f"""found AS (
-  SELECT dataset_id, min(rank) AS rank FROM idx WHERE {_REGION_TEST} GROUP BY dataset_id),
+  SELECT dataset_id, min(rank) AS rank FROM idx WHERE {test} GROUP BY dataset_id),
 capped AS (SELECT *, row_number() OVER (ORDER BY rank) - 1 AS slot_order FROM found ORDER BY rank LIMIT {cap}),
 asked AS (SELECT coverage.*, {bounds} FROM coverage JOIN capped USING (dataset_id)),
 {_resolved('asked')},
@@ -561,6 +611,10 @@ for _name, _cap, _step in (("region", 10, 25), ("region_all", 1_000_000, 2)):
   (SELECT count(*) - count(slot) FROM tracks) AS skipped, (SELECT count(*) FROM found) > {_cap} AS capped,
   CASE WHEN (SELECT count(slot) FROM tracks) = 0 THEN 'none of the datasets could be plotted'
     WHEN n_points = 0 THEN 'no dataset has a position to plot' END AS error FROM ({_view('region_pts')}) v""", *_region(_cap, _step))
+_oracle("region_searched", "SELECT * FROM region_pts", *_region(
+    50, 3, f"""time_max >= TIMESTAMP '2024-01-05 12:00:00' AND time_min <= TIMESTAMP '2024-01-19 12:00:00'
+  AND lat_max >= -30 AND lat_min <= 35 AND lon_max >= -120 AND lon_min <= 100 AND {_has('record')} AND {_has('src1')}""",
+    ("2024-01-05T12:00:00Z", "2024-01-19T12:00:00Z")))
 _oracle("region_tracks", "SELECT dataset_id, rank, slot_order, n_rows, slot FROM tracks", *_region(10, 25))
 _oracle("pooled_view", _view(f"(SELECT * FROM {_thinned('obs', 25)} WHERE lat IS NOT NULL AND lon IS NOT NULL)"), OBS)
 _oracle("colored_depth", f"""SELECT dataset_id, row_idx, time AS x, depth AS y, temperature AS color
@@ -622,4 +676,4 @@ _oracle("last_user_texts", """SELECT conv_id, coalesce(arg_max(text, turn) FILTE
 _oracle("registry_latest", """SELECT conv_id, role, turn, text FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1""")
 _oracle("artifacts_appended", """SELECT conv_id, turn, text FROM conversations
-  UNION ALL SELECT conv_id, turn, text FROM conversations WHERE turn > 2""")
+  UNION ALL SELECT doc_id, length(text), text FROM documents""")

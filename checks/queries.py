@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,8 +23,10 @@ from fathomix.operators import (
     tree,
 )
 from fathomix.operators.constraints import Bounds
+from fathomix.operators.skew import lookup_join
 from fathomix.plans import export, plotdata
-from fathomix.session import materialize
+from fathomix.session import materialize, shared_folder
+from fathomix.sources import output, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,6 +62,69 @@ def position_in_blocks(spark, d):
     return sampling.with_position(rows, block_rows=1024)
 
 
+def _with_null_keys(spark, d):
+    e = F.col("row_idx")
+    return adapters.observations(spark, d).select(
+        F.when(e % 7 != 0, F.col("dataset_id")).alias("dataset_id"), F.when(e % 11 != 0, e).alias("row_idx"),
+        e.alias("event_id"),
+    )
+
+
+@query
+def thin_null_keys(spark, d):
+    rows = _with_null_keys(spark, d).filter("row_idx IS NOT NULL")
+    return sampling.thin(rows, 3, block_rows=1024)
+
+
+@query
+def position_null_order(spark, d):
+    """Rows without a number come first, in no set order: their positions are compared sorted."""
+    placed = sampling.with_position(_with_null_keys(spark, d), block_rows=1024)
+    return placed.select("dataset_id", "row_idx", "position")
+
+
+@query
+def read_back(spark, d):
+    """The subset in every format, written and read again."""
+    rows = materialize(adapters.observations(spark, d).select("dataset_id", "row_idx", "time", "lat", "temperature"))
+    folder = f"{shared_folder(spark)}/formats-{uuid.uuid4().hex}"
+    found = None
+    for name in (*output.TEXT_FORMATS, *output.PLAIN_FORMATS):
+        output.write_subset(rows, f"{folder}/{name}", name, {"lat": "degrees_north"})
+        if name in output.PLAIN_FORMATS:
+            again = tables.read_observations(spark, f"{folder}/{name}", output.PLAIN_FORMATS[name])
+        else:
+            separator, header, _ = output.TEXT_FORMATS[name]
+            again = spark.read.option("sep", separator).option("header", str(header).lower()).csv(f"{folder}/{name}")
+            again = tables.normalize_observations(again if header else again.toDF(*rows.columns))
+        part = again.select(F.lit(name).alias("format"), "dataset_id", F.col("row_idx").cast("long").alias("row_idx"),
+                            "time", "lat", "temperature")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query
+def read_tables(spark, d):
+    """Attributes, index and catalog tree through their readers, as counts per table."""
+    folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    catalogs, edges, leaves = adapters.tree(spark, d)
+    index = adapters.index(spark, d).drop("summary", "keywords").withColumns(
+        {"summary": F.lit(""), "keywords": F.array(F.lit("k"))})
+    parts = {"attributes": adapters.attributes(spark, d), "index": index, "catalogs": catalogs, "edges": edges, "leaves": leaves}
+    for name, rows in parts.items():
+        rows.write.parquet(f"{folder}/{name}")
+    read = {
+        "attributes": tables.read_attributes(spark, f"{folder}/attributes"),
+        "index": tables.read_index(spark, f"{folder}/index"),
+        **dict(zip(("catalogs", "edges", "leaves"),
+                   tables.read_tree(spark, *(f"{folder}/{n}" for n in ("catalogs", "edges", "leaves"))))),
+    }
+    keys = {"attributes": "dataset_id", "index": "rank", "catalogs": "catalog_url", "edges": "child_url", "leaves": "name"}
+    counted = [rows.agg(F.count("*").alias("n_rows"), F.count_distinct(keys[name]).alias("n_keys")).select(
+        F.lit(name).alias("source"), "n_rows", "n_keys") for name, rows in read.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query
 def subset_export(spark, d):
     return export.export_subset(
@@ -130,9 +197,19 @@ def flatten_in_bounds(spark, d):
 
 @query
 def flatten_bare_end_date(spark, d):
-    return nested.flatten(
-        adapters.nested(spark, d), ["time", "latitude"], Bounds(max_time="2024-01-01")
-    )
+    days = F.make_interval(days=(F.length("trajectory") + F.ascii(F.substring("trajectory", -1, 1))) % 5)
+    moved = adapters.nested(spark, d).withColumn(
+        "profiles", F.transform("profiles", lambda p: p.withField("time", p["time"] + days)))
+    return nested.flatten(moved, ["time", "latitude"], Bounds(max_time="2024-01-03"))
+
+
+@query
+def flatten_nan_bounds(spark, d):
+    nan = F.lit(float("nan"))
+    holed = adapters.nested(spark, d).withColumn("profiles", F.transform("profiles", lambda p, i: p.withField(
+        "latitude", F.when(i % 3 == 1, nan).otherwise(p["latitude"])).withField("obs", F.transform(
+            p["obs"], lambda o, k: o.withField("temperature", F.when(k % 4 == 2, nan).otherwise(o["temperature"]))))))
+    return nested.flatten(holed, ["latitude", "temperature"], Bounds(min_lat=0.0))
 
 
 @query
@@ -199,16 +276,34 @@ def bounds_as_times(spark, d):
 
 @query
 def clamped_requests(spark, d):
-    relative = F.col("min_time").startswith("now") | F.col("max_time").rlike("^(now|soon)")
-    asked = adapters.requests(spark, d).withColumns({
-        c: F.when(~F.coalesce(relative, F.lit(False)), F.col(c)) for c in ("min_time", "max_time")
-    })
-    joined = asked.join(adapters.coverage(spark, d), "dataset_id")
-    return constraints.clamp_bounds(joined).select(
+    joined = lookup_join(adapters.requests(spark, d), adapters.coverage(spark, d), ["dataset_id"])
+    return constraints.clamp_bounds(joined, as_of=as_of()).select(
         "request_id", "dataset_id", *constraints.RESOLVED_COLUMNS, "time_reset"
     )
 
 
+@query
+def skipped_requests(spark, d):
+    resolved = constraints.bound_requests(adapters.requests(spark, d), adapters.coverage(spark, d))
+    return constraints.unreadable_bounds(resolved)
+
+
+@query
+def declared_subset(spark, d):
+    """Observations inside the coverage that their own attributes declare, and the user's bounds."""
+    declared = materialize(describe.describe_bounds(adapters.attributes(spark, d)))
+    rows = adapters.observations(spark, d).select("dataset_id", "row_idx", "time", "lat", "lon", "temperature")
+    return constraints.rows_in_bounds(rows, constraints.resolve_bounds(declared, Bounds(min_lat=-50.0, max_time="2024-01-15")))
+
+
+@query
+def declared_dataset(spark, d):
+    """The same for one dataset, with its bounds pushed to the scan."""
+    declared = materialize(describe.describe_bounds(adapters.attributes(spark, d)))
+    rows = adapters.observations(spark, d).select("dataset_id", "row_idx", "lat")
+    return constraints.dataset_in_bounds(rows, declared, "4", Bounds(min_lat=-90.0, max_lat=90.0, min_lon=-180.0, max_lon=180.0))
+
+
 @query
 def incomplete_boxes(spark, d):
     return constraints.incomplete_boxes(adapters.requests(spark, d)).select("request_id", "missing")
@@ -297,13 +392,18 @@ def facet_keywords(spark, d):
     return discovery.facet_values(adapters.index(spark, d), "keywords")
 
 
+@query
+def facet_listed(spark, d):
+    return discovery.listed(discovery.facet_values(adapters.index(spark, d), "keywords"))
+
+
 @query
 def facet_checks(spark, d):
     docs = adapters.table(spark, d, "documents")
     asked = docs.select(F.lit("institution").alias("facet"), F.concat(F.lit("_"), "source", F.lit("_"), "lang", F.lit("_lab ")).alias("value")).unionByName(
         docs.select(F.lit("ioos_category").alias("facet"), F.upper("lang").alias("value"))
     ).unionByName(
-        docs.select(F.lit("keywords").alias("facet"), F.split("text", r"\s+")[0].alias("value"))
+        docs.select(F.lit("keywords").alias("facet"), F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("value"))
     )
     return discovery.check_facets(asked, adapters.index(spark, d))
 
@@ -421,6 +521,16 @@ def catalog_leaf_named(spark, d):
     return tree.resolve_leaf(catalogs, leaves, "order-7")
 
 
+@query
+def catalog_choices(spark, d):
+    return tree.leaf_choices(*adapters.tree(spark, d))
+
+
+@query
+def catalog_choices_named(spark, d):
+    return tree.leaf_choices(*adapters.tree(spark, d), "order-7")
+
+
 @query
 def catalog_levels(spark, d):
     return tree.level_summary(*adapters.tree(spark, d))
@@ -439,6 +549,14 @@ def observed_coverage(spark, d):
     return profiling.observed_coverage(adapters.observations(spark, d))
 
 
+@query
+def coverage_with_nan(spark, d):
+    nan, e = F.lit(float("nan")), F.col("row_idx")
+    holed = adapters.observations(spark, d).withColumns({
+        "lat": F.when(e % 5 == 0, nan).otherwise(F.col("lat")), "lon": F.when(e % 6 == 1, nan).otherwise(F.col("lon"))})
+    return profiling.observed_coverage(holed)
+
+
 @query
 def dataset_profiles(spark, d):
     return profiling.profile_datasets(adapters.observations(spark, d))
@@ -553,6 +671,16 @@ def region_points(spark, d):
     return _region(spark, d).points
 
 
+@query
+def region_searched(spark, d):
+    """A search text and relative times instead of everything at all times."""
+    return plotdata.region_map(
+        materialize(adapters.index(spark, d).drop("keywords")), adapters.coverage(spark, d), adapters.observations(spark, d),
+        Bounds(min_time="now-15days", max_time="now-1days", min_lat=-30.0, max_lat=35.0, min_lon=-120.0, max_lon=100.0),
+        query="record src1", max_datasets=50, step=3, as_of=as_of(),
+    ).points
+
+
 @query
 def region_tracks(spark, d):
     return _region(spark, d).tracks
@@ -671,4 +799,6 @@ def registry_latest(spark, d):
 @query
 def artifacts_appended(spark, d):
     rows = adapters.table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return conversation.append_entries(rows, rows.filter("turn > 2"))
+    more = adapters.table(spark, d, "documents").select(
+        F.col("doc_id").alias("conv_id"), F.length("text").cast("long").alias("turn"), "text")
+    return conversation.append_entries(rows, more)

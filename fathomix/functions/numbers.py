@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomix.functions.times import clock_text, microseconds, short_time
 
@@ -12,6 +12,13 @@ def null_if_nan(column: Column) -> Column:
     return F.nanvl(column, F.lit(None).cast("double"))
 
 
+def without_nan(rows: DataFrame, *columns: str) -> DataFrame:
+    """NaN as null in those of ``columns`` that hold floating-point numbers."""
+    kinds = {f.name: f.dataType.typeName() for f in rows.schema}
+    numbers = [c for c in columns if kinds.get(c) in ("double", "float")]
+    return rows.withColumns({c: null_if_nan(F.col(f"`{c}`").cast("double")) for c in numbers}) if numbers else rows
+
+
 def rounded(column: Column, places: int) -> Column:
     """Round half to even after scaling, staying in double arithmetic."""
     scale = float(10**places)

@@ -11,6 +11,7 @@ QC_SUFFIX = "flag"
 # Fixed value: the sentence on a table server's front page that states its size.
 LISTED_COUNT_PATTERN = r"View a List of All ([\d,]+) Datasets"
 
+# Fixed value.
 LABEL_WIDTH = 35
 
 
@@ -26,6 +27,7 @@ def _without_query_and_fragment(url: Column) -> Column:
 def table_server_base(url: Column) -> Column:
     """Base address of a table server, whichever of its pages ``url`` points at."""
     plain = _without_query_and_fragment(url)
+    # Fixed value: the server's address pattern.
     base = F.regexp_extract(plain, r"(?i)(https?://[^/]+/erddap)", 1)
     other = F.regexp_replace(F.rtrim(plain, F.lit("/")), r"/index\.html\z", "")
     return F.when(base != "", base).otherwise(other)
@@ -42,7 +44,7 @@ def catalog_address(url: Column) -> Column:
 
 
 def clean_title(raw: Column) -> Column:
-    """``rutgers_university`` -> ``Rutgers University``; null -> empty text.
+    """``invented_seas_bureau`` -> ``Invented Seas Bureau``; null -> empty text.
 
     Every run of cased letters starts with a capital, so ``o'neil 3d`` becomes
     ``O'Neil 3D``, which plain ``initcap`` would not do.

@@ -20,6 +20,7 @@ from fathomix.functions.text import (
 )
 from fathomix.operators.constraints import DEFAULT_LAT, DEFAULT_LON
 from fathomix.operators.skew import lookup_join
+from fathomix.session import materialize
 
 GLOBAL = "NC_GLOBAL"
 
@@ -162,7 +163,8 @@ def variable_units(attributes: DataFrame) -> DataFrame:
 
 def with_units(rows: DataFrame, units: DataFrame) -> DataFrame:
     """Add ``units`` to rows that carry ``dataset_id`` and ``variable_name``."""
-    return lookup_join(rows, units, ["dataset_id", "variable_name"], "left")
+    stored = materialize(units)
+    return lookup_join(rows, stored, ["dataset_id", "variable_name"], "left")
 
 
 def reject_grids(attributes: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ VARIABLE_ALIASES = {
     "turb": "turbidity",
 }
 
+# Fixed value.
 AVAILABLE_SHOWN = 30
 
 
@@ -33,6 +34,7 @@ def _relabel(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def strip_units(df: DataFrame) -> DataFrame:
     """Rename ``temperature (Celsius)`` to ``temperature`` in every header."""
+    # Fixed value: the units pattern.
     return _relabel(df, [re.sub(r"\s*\([^)]*\)$", "", name) for name in df.columns])
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 from fathomix.functions.times import (
     absolute_time,
     as_utc,
+    iso_text,
     pad_bare_date,
     readable_time,
     resolve_time,
@@ -128,16 +129,23 @@ def bound_requests(requests: DataFrame, coverage: DataFrame) -> DataFrame:
     return resolve_bounds(lookup_join(requests, cover, ["dataset_id"]))
 
 
-def clamp_bounds(coverage: DataFrame, request: Bounds | None = None) -> DataFrame:
+def clamp_bounds(
+    coverage: DataFrame, request: Bounds | None = None, as_of: Column | None = None
+) -> DataFrame:
     """The older rule: bounds never reach outside the coverage.
 
     Inverted times leave the coverage as it is; inverted coordinates swap and then clamp.
+    Relative times become the instant they mean at ``as_of``. A time that cannot be read
+    stays as it is, and ``unreadable_bounds`` names its dataset.
     """
+    moment = as_of if as_of is not None else F.localtimestamp()
     asked = request.columns() if request else {c: F.col(c) for c in REQUEST_COLUMNS}
     start, end = F.col("time_start"), F.col("time_end")
 
     def full(text: Column, clock: str) -> Column:
-        return F.when(text.contains("T"), text).otherwise(F.concat(text, F.lit(clock)))
+        relative = iso_text(resolve_time(text, moment))
+        dated = F.when(text.contains("T") | ~text.rlike("^[0-9]"), text).otherwise(F.concat(text, F.lit(clock)))
+        return F.when(text.startswith("now"), F.coalesce(relative, text)).otherwise(dated)
 
     dated = coverage.withColumns({
         "_low": _filled(asked["min_time"], start), "_high": _filled(asked["max_time"], end),
@@ -185,6 +193,17 @@ def typed_bounds(resolved: DataFrame, as_of: Column | None = None) -> DataFrame:
     )
 
 
+def unreadable_bounds(resolved: DataFrame) -> DataFrame:
+    """Datasets that give no rows because a time bound cannot be read: ``dataset_id, reason``."""
+    reasons = [
+        F.when((F.col(name) != "") & ~F.coalesce(readable_time(F.col(name)), F.lit(False)),
+               F.concat(F.lit(f"{name} "), F.col(name), F.lit(" cannot be read")))
+        for name in ("from_time", "to_time")
+    ]
+    stored = materialize(resolved.select("dataset_id", "from_time", "to_time"))
+    return stored.select("dataset_id", F.concat_ws("; ", *reasons).alias("reason")).filter("reason <> ''")
+
+
 def _constant(value: object, kind: str) -> Column:
     return F.lit(str(value)).cast(kind)
 

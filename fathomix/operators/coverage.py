@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from fathomix.functions.numbers import without_nan
 from fathomix.functions.times import iso_text
 from fathomix.operators.columns import any_present, value_columns
 
@@ -11,8 +12,8 @@ PROFILE_WORDS = ("temperature", "salinity")
 
 
 def observed_coverage(observations: DataFrame) -> DataFrame:
-    """Time and coordinate ranges of each dataset, in the form constraints expect."""
-    ranges = observations.groupBy("dataset_id").agg(
+    """Time and coordinate ranges of each dataset, in the form constraints expect; NaN is missing."""
+    ranges = without_nan(observations, "lat", "lon").groupBy("dataset_id").agg(
         F.min("time").alias("first"),
         F.max("time").alias("last"),
         *(
@@ -35,11 +36,12 @@ def observed_coverage(observations: DataFrame) -> DataFrame:
 def profile_datasets(observations: DataFrame) -> DataFrame:
     """Row counts and the ranges of the rows that hold any temperature or salinity.
 
-    All temperature and salinity columns count, quality flags included.
+    All temperature and salinity columns count, quality flags included; NaN is missing.
     """
     targets = value_columns(observations.columns, *PROFILE_WORDS)
     if not targets:
         raise ValueError("the table has no temperature or salinity column")
+    observations = without_nan(observations, "lat", "lon", *targets)
     valid = any_present(targets)
 
     def of_valid(end, column: str):

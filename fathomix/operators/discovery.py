@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from fathomix.functions.text import clean_title, contains_text, is_qc_keyword, is_qc_variable
 from fathomix.functions.times import resolve_time
 from fathomix.operators.constraints import Bounds
-from fathomix.operators.sampling import first_ranked
+from fathomix.operators.sampling import dense_row_index, first_page
+from fathomix.session import materialize
 
 # The pseudo-dataset that lists all others, the protocols and the facets.
 ALL_DATASETS = "allDatasets"
@@ -29,6 +30,7 @@ FACETS = {
     "keywords": "keywords",
 }
 
+# Fixed value.
 VALUES_SHOWN = 20
 
 # Plain words and the standard names they stand for in the older search.
@@ -129,7 +131,7 @@ def search_index(
     if bounds is not None:
         found = found.filter(overlaps(bounds, as_of))
     if items_per_page is not None:
-        found = first_ranked(found, items_per_page).drop("place")
+        found = first_page(found, items_per_page)
     return found
 
 
@@ -164,11 +166,12 @@ def search_any(
 def facet_values(index: DataFrame, facet: str, query: str | None = None) -> DataFrame:
     """Distinct values of a facet, without nulls and, for standard names, without flags.
 
-    Sort by ``value`` to list them.
+    ``listed`` gives their place in a sorted list.
     """
     column = FACETS[facet]
     is_list = isinstance(index.schema[column].dataType, T.ArrayType)
-    value = F.explode(column) if is_list else F.col(column)
+    # explode_outer: explode would have the list computed again to filter by its size.
+    value = F.explode_outer(column) if is_list else F.col(column)
     values = index.select(value.alias("value")).filter("value IS NOT NULL")
     if query:
         values = values.filter(contains_text(F.col("value"), query))
@@ -177,6 +180,11 @@ def facet_values(index: DataFrame, facet: str, query: str | None = None) -> Data
     return values.distinct()
 
 
+def listed(values: DataFrame, column: str = "value") -> DataFrame:
+    """Values with their 0-based ``place`` in a sorted list; no task holds the whole list."""
+    return dense_row_index(values, [column], [], "place")
+
+
 def check_facet(index: DataFrame, facet: str, value: str) -> None:
     """Raise when ``value`` is not one of the facet's values, listing the first of those."""
     if index.filter(_facet_test(index, facet, value)).isEmpty():
@@ -191,7 +199,7 @@ def check_facets(requests: DataFrame, index: DataFrame) -> DataFrame:
         if column not in index.columns:
             continue
         is_list = isinstance(index.schema[column].dataType, T.ArrayType)
-        value = F.explode(column) if is_list else F.col(column)
+        value = F.explode_outer(column) if is_list else F.col(column)
         values = index.select(F.lit(facet).alias("facet"), value.alias("value")).filter(
             "value IS NOT NULL"
         )
@@ -219,24 +227,28 @@ def server_summary(index: DataFrame) -> DataFrame:
     names are cleaned, blank and quality-control entries left out, each name once. Rows
     rather than lists, because a server may have any number of keywords.
     """
-    real = _real_datasets(index)
-    count = real.agg(F.count_distinct("dataset_id").cast("string").alias("value")).select(
+    entries = F.concat(
+        F.array(
+            *(F.struct(F.lit(section).alias("section"), value.alias("value")) for section, value in (
+                ("dataset_count", F.col("dataset_id")),
+                ("institution", F.col("institution")),
+                *(("protocol", F.when(F.col(p).isNotNull(), F.lit(p))) for p in PROTOCOLS),
+            ))
+        ),
+        F.coalesce(
+            F.transform("keywords", lambda k: F.struct(F.lit("keyword").alias("section"), k.alias("value"))), F.array()
+        ),
+    )
+    # One pass over the index; raw values are made distinct first, so each is cleaned once.
+    raw = materialize(
+        _real_datasets(index).select(F.explode_outer(entries).alias("e")).select("e.*").filter("value IS NOT NULL").distinct()
+    )
+    count = raw.filter("section = 'dataset_count'").agg(F.count("*").cast("string").alias("value")).select(
         F.lit("dataset_count").alias("section"), "value"
     )
-    offered = real.select(
-        F.explode(F.array(*(F.when(F.col(p).isNotNull(), F.lit(p)) for p in PROTOCOLS))).alias("value")
-    ).filter("value IS NOT NULL")
-    institutions = real.select(F.col("institution").alias("value"))
-    keywords = real.select(F.explode("keywords").alias("value")).distinct().filter(
-        ~is_qc_keyword(F.col("value"))
+    protocols = raw.filter("section = 'protocol'")
+    names = raw.filter("section IN ('institution', 'keyword')").filter(
+        (F.trim("value") != "") & ~((F.col("section") == "keyword") & is_qc_keyword(F.col("value")))
     )
-    # Raw values are made distinct first, so each is cleaned once and not once per dataset.
-    names = [
-        rows.distinct().filter(F.trim("value") != "").select(
-            F.lit(section).alias("section"), clean_title(F.col("value")).alias("value")
-        )
-        for section, rows in (("institution", institutions), ("keyword", keywords))
-    ]
-    protocols = offered.select(F.lit("protocol").alias("section"), "value")
-    listed = protocols.unionByName(names[0]).unionByName(names[1]).distinct()
-    return count.unionByName(listed)
+    cleaned = names.select("section", clean_title(F.col("value")).alias("value")).distinct()
+    return count.unionByName(protocols).unionByName(cleaned)

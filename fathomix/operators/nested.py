@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from fathomix.functions.numbers import null_if_nan, without_nan
 from fathomix.functions.times import zoneless_time
 from fathomix.operators.columns import check_columns
 from fathomix.operators.constraints import Bounds, mask_rows
@@ -55,8 +56,8 @@ def flatten(
     """Rows of the chosen ``variables`` inside ``bounds``, with short coordinate names.
 
     Profile variables alone give one row per profile; any observation variable gives one
-    row per observation with the profile's values repeated. Bounds act on whole profiles,
-    before observations are unpacked. ``strict`` refuses more than one trajectory.
+    row per observation with the profile's values repeated. NaN is missing and so outside
+    every bound. Bounds act on whole profiles, before observations are unpacked. ``strict`` refuses more than one trajectory.
     """
     per_obs = observed_fields(nested)
     check_columns([*PROFILE_FIELDS, *per_obs], variables)
@@ -68,8 +69,8 @@ def flatten(
             *keys,
             "profile",
             zoneless_time(F.col("time"), profiles.schema["time"].dataType).alias("time"),
-            F.col("latitude").alias("lat"),
-            F.col("longitude").alias("lon"),
+            null_if_nan(F.col("latitude").cast("double")).alias("lat"),
+            null_if_nan(F.col("longitude").cast("double")).alias("lon"),
             "obs",
         ),
         bounds,
@@ -79,12 +80,13 @@ def flatten(
     if not any(v in per_obs for v in chosen):
         return kept.select(*keys, "profile", *(short.get(v, v) for v in chosen))
     rows = kept.select(*keys, "profile", "time", "lat", "lon", F.posexplode("obs").alias("obs_no", "_o"))
-    return rows.select(
+    picked = rows.select(
         *keys,
         "profile",
         "obs_no",
         *(F.col(f"_o.{v}").alias(v) if v in per_obs else F.col(short.get(v, v)) for v in chosen),
     )
+    return without_nan(picked, *(v for v in chosen if v in per_obs))
 
 
 def with_row_order(rows: DataFrame, name: str = "row_idx") -> DataFrame:

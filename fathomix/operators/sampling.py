@@ -66,12 +66,24 @@ def _poor_blocks(blocks: DataFrame, block_rows: int) -> bool:
     return seen[0] > MAX_BLOCKS or thin_blocks or seen[3] > max(block_rows, DIRECT_LIMIT)
 
 
+def block_counts(
+    rows: DataFrame,
+    keys: Sequence[str] = ("dataset_id",),
+    order: str = "row_idx",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Stored ``_keys, _block, _rows``: how many rows each block of each key holds."""
+    blocked = _keyed(rows, keys).withColumn("_block", F.struct(_block(order, block_rows).alias("b")))
+    return materialize(blocked.groupBy("_keys", "_block").agg(F.count("*").alias("_rows")))
+
+
 def with_position(
     rows: DataFrame,
     keys: Sequence[str] = ("dataset_id",),
     order: str = "row_idx",
     name: str = "position",
     block_rows: int = BLOCK_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row within its keys, by ``order``.
 
@@ -79,11 +91,11 @@ def with_position(
     a filter, are fine. Rows with a null ``order`` come first, in any order among
     themselves, and null keys are keys like others: no row is lost on any path. Only the
     per-block counts cross datasets, so a dataset of any length is numbered in parallel.
-    Counting runs when this is called.
+    Counting runs when this is called, unless ``block_counts`` of the same rows are given.
     """
     keys = list(keys)
     blocked = _keyed(rows, keys).withColumn("_block", F.struct(_block(order, block_rows).alias("b")))
-    counts = materialize(blocked.groupBy("_keys", "_block").agg(F.count("*").alias("_rows")))
+    counts = block_counts(rows, keys, order, block_rows) if counts is None else counts
     if _poor_blocks(counts, block_rows):
         return dense_row_index(rows, [order], keys, name)
     local = Window.partitionBy("_keys", "_block").orderBy(order)
@@ -99,13 +111,14 @@ def thin(
     keys: Sequence[str] = ("dataset_id",),
     order: str = "row_idx",
     block_rows: int = BLOCK_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Keep every ``step``-th row of each dataset, starting with its first."""
     if step < 1:
         raise ValueError(f"step must be at least 1, got {step}")
     if step == 1:
         return rows
-    placed = with_position(rows, keys, order, "_position", block_rows)
+    placed = with_position(rows, keys, order, "_position", block_rows, counts)
     return placed.filter(F.col("_position") % step == 0).drop("_position")
 
 
@@ -209,12 +222,28 @@ def first_ranked(
     return dense_row_index(results, [rank], [], name).filter(F.col(name) < limit)
 
 
+def first_page(results: DataFrame, limit: int, rank: str = "rank") -> DataFrame:
+    """The first ``limit`` results by a unique rank, unsorted and with all their columns.
+
+    A large page is cut at the rank that closes it, so only ranks are sorted and stored.
+    """
+    if limit <= DIRECT_LIMIT:
+        return first_ranked(results, limit, rank).drop("place")
+    ranks = materialize(results.select(rank))
+    if ranks.count() <= limit:
+        return results
+    last = dense_row_index(ranks, [rank], [], "place").filter(F.col("place") == limit - 1).first()[rank]
+    return results.filter(F.col(rank).isNull() | (F.col(rank) <= F.lit(last)))
+
+
 def preview(results: DataFrame, limit: int, order: Sequence[str | Column]) -> DataFrame:
     """The first ``limit`` results, each with the ``total`` and how many ``more`` there are.
 
     Pass only the columns to show: the results are written once, so that counting them does
     not search a second time.
     """
+    if limit > DIRECT_LIMIT:
+        raise ValueError(f"a preview shows at most {DIRECT_LIMIT} results; take a page for {limit}")
     kept, total = materialize_counted(results)
     return kept.orderBy(*order).limit(limit).withColumns(
         {"total": F.lit(total).cast("long"), "more": F.lit(max(total - limit, 0)).cast("long")}

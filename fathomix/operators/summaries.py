@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fathomix.functions.numbers import without_nan
+
 # Fixed values of the map view.
 SINGLE_TRACK_ZOOM = 5
 SMALLEST_SPAN = 0.01
@@ -13,14 +15,14 @@ ZOOM_RANGE = (1.0, 12.0)
 
 def extents(points: DataFrame, x: str = "x", keys: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
     """Lowest and highest ``x`` and the number of points, per key."""
-    return points.groupBy(*keys).agg(
+    return without_nan(points, x).groupBy(*keys).agg(
         F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.count("*").alias("n_points")
     )
 
 
 def track_centers(points: DataFrame) -> DataFrame:
     """Centre of each dataset's own map."""
-    return points.groupBy("dataset_id").agg(
+    return without_nan(points, "lat", "lon").groupBy("dataset_id").agg(
         F.avg("lat").alias("center_lat"),
         F.avg("lon").alias("center_lon"),
         F.count("*").alias("n_points"),
@@ -38,7 +40,7 @@ def pooled_view(points: DataFrame) -> DataFrame:
 
     The centre weighs every point alike; it is not a mean of track means.
     """
-    pooled = points.agg(
+    pooled = without_nan(points, "lat", "lon").agg(
         F.avg("lat").alias("center_lat"),
         F.avg("lon").alias("center_lon"),
         (F.max("lat") - F.min("lat")).alias("lat_span"),

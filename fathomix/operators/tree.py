@@ -17,6 +17,7 @@ from fathomix.operators.sampling import preview
 from fathomix.operators.skew import lookup_join
 from fathomix.session import materialize, materialize_counted
 
+# Fixed value.
 MAX_DEPTH = 8
 
 # Services that serve a whole file, best first.
@@ -132,7 +133,7 @@ def _matched(name: Column, query: str) -> dict[str, Column]:
 def descend(catalogs: DataFrame, edges: DataFrame, query: str) -> DataFrame:
     """For every catalog, the sub-catalog that ``query`` names, or why there is none.
 
-    Status is ``ok``, ``not_found`` or ``ambiguous``; ``candidates`` lists the choices.
+    Status is ``ok``, ``not_found`` or ``ambiguous``; ``candidates`` gives the choices as rows.
     """
     decided = edges.groupBy("parent_url").agg(
         *(column.alias(name) for name, column in _matched(F.col("ref_name"), query).items())
@@ -178,6 +179,29 @@ def resolve_leaf(catalogs: DataFrame, leaves: DataFrame, query: str | None = Non
     )
 
 
+def leaf_choices(
+    catalogs: DataFrame, edges: DataFrame, leaves: DataFrame, query: str | None = None
+) -> DataFrame:
+    """What a user can choose from where ``resolve_leaf`` finds no single leaf.
+
+    Rows ``catalog_url, status, kind, name``: the matching datasets of an ambiguous catalog,
+    and the sub-catalogs of one without datasets.
+    """
+    open_ends = materialize(
+        resolve_leaf(catalogs, leaves, query).filter(F.col("status").isin("ambiguous", "no_datasets")).select(
+            "catalog_url", "status")
+    )
+    meant = leaves if query is None else candidates(leaves, "name", query)
+    datasets = lookup_join(
+        meant.select("catalog_url", "name"), open_ends.filter("status = 'ambiguous'"), ["catalog_url"]
+    ).select("catalog_url", "status", F.lit("dataset").alias("kind"), "name")
+    below = lookup_join(
+        edges.select(F.col("parent_url").alias("catalog_url"), F.col("ref_name").alias("name")),
+        open_ends.filter("status = 'no_datasets'"), ["catalog_url"],
+    ).select("catalog_url", "status", F.lit("sub_catalog").alias("kind"), "name")
+    return datasets.unionByName(below)
+
+
 def level_summary(catalogs: DataFrame, edges: DataFrame, leaves: DataFrame) -> DataFrame:
     """Sub-catalog, dataset and service counts of every catalog level."""
     subs = edges.groupBy(F.col("parent_url").alias("catalog_url")).agg(

@@ -22,7 +22,7 @@ from fathomix.operators.constraints import (
 )
 from fathomix.operators.discovery import search_index
 from fathomix.operators.nested import flatten, with_row_order
-from fathomix.operators.sampling import BLOCK_ROWS, first_ranked, palette_slot, thin, unique_results
+from fathomix.operators.sampling import BLOCK_ROWS, block_counts, first_ranked, palette_slot, thin, unique_results
 from fathomix.operators.skew import lookup_join
 from fathomix.operators.summaries import extents, pooled_view, track_centers
 from fathomix.session import materialize, materialize_counted
@@ -172,13 +172,14 @@ def region_map(
 
     rows = observations.select("dataset_id", "row_idx", "time", "lat", "lon")
     covered = lookup_join(coverage, capped.select("dataset_id"), ["dataset_id"], "left_semi")
-    inside = materialize(rows_in_bounds(rows, resolve_bounds(covered, bounds), as_of))
-    loaded = inside.groupBy("dataset_id").agg(F.count("*").alias("n_rows"))
+    inside = rows_in_bounds(rows, resolve_bounds(covered, bounds), as_of)
+    counts = block_counts(inside, block_rows=block_rows)
+    loaded = counts.groupBy(F.col("_keys.dataset_id").alias("dataset_id")).agg(F.sum("_rows").alias("n_rows"))
     placed = first_ranked(capped.join(loaded, "dataset_id"), max_datasets, "slot_order")
     slots = placed.select("dataset_id", "n_rows", palette_slot(F.col("place")).alias("slot"))
     tracks = materialize(capped.join(slots, "dataset_id", "left"))
     points = lookup_join(
-        drop_missing(thin(inside, step, block_rows=block_rows), "lat", "lon"),
+        drop_missing(thin(inside, step, block_rows=block_rows, counts=counts), "lat", "lon"),
         tracks.select("dataset_id", "slot"), ["dataset_id"],
         salt_by=["dataset_id", "row_idx"],
     ).select("dataset_id", "row_idx", "lat", "lon", "slot")

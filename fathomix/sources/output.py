@@ -29,12 +29,12 @@ def write_subset(
     mode: str = "errorifexists",
 ) -> None:
     """Write ``rows`` as one of the supported formats, one file per task."""
-    if fmt in PLAIN_FORMATS:
+    if fmt not in TEXT_FORMATS and fmt not in PLAIN_FORMATS:
+        raise ValueError(f"format {fmt!r} is not supported; use {sorted([*TEXT_FORMATS, *PLAIN_FORMATS])}")
+    if PLAIN_FORMATS.get(fmt) in ("parquet", "orc"):
         rows.write.mode(mode).format(PLAIN_FORMATS[fmt]).save(path)
         return
-    if fmt not in TEXT_FORMATS:
-        raise ValueError(f"format {fmt!r} is not supported; use {sorted([*TEXT_FORMATS, *PLAIN_FORMATS])}")
-    separator, header, with_units = TEXT_FORMATS[fmt]
+    # Text keeps microseconds only where times are written as such.
     text = rows.select(
         *(
             iso_text(zoneless_time(F.col(f.name), f.dataType)).alias(f.name)
@@ -43,6 +43,10 @@ def write_subset(
             for f in rows.schema
         )
     )
+    if fmt in PLAIN_FORMATS:
+        text.write.mode(mode).json(path)
+        return
+    separator, header, with_units = TEXT_FORMATS[fmt]
     named = add_units(text, dict(units or {})) if with_units else text
     named.write.mode(mode).option("sep", separator).option("header", str(header).lower()).csv(path)
 

@@ -37,10 +37,14 @@ def store_arrivals(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 
 def follow_coverage(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the coverage table at ``path`` up to date; its state is one row per dataset."""
+    """Write the coverage after every batch as a version of its own below ``path``.
 
-    def replace(batch: DataFrame, _number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    ``latest_coverage`` reads the last complete version, so readers never meet a half-written
+    table and a failed write loses nothing. A repeated batch writes its version again.
+    """
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return (
         observed_coverage(rows)
@@ -50,3 +54,14 @@ def follow_coverage(rows: DataFrame, path: str, checkpoint: str) -> StreamingQue
         .trigger(availableNow=True)
         .start()
     )
+
+
+def latest_coverage(spark: SparkSession, path: str) -> DataFrame:
+    """The last version that ``follow_coverage`` completed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    done = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "version=*/_SUCCESS"))
+    versions = [int(s.getPath().getParent().getName().partition("=")[2]) for s in done or ()]
+    if not versions:
+        raise ValueError(f"no coverage has been completed below {path}")
+    return spark.read.parquet(f"{path}/version={max(versions)}")

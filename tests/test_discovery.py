@@ -17,11 +17,11 @@ def row(dataset_id, title, rank, **more):
 def index(spark):
     return spark.createDataFrame(
         [
-            row("whoi_406-2016", "WHOI Glider 406", 1, institution="rutgers_university", ioos_category="Temperature",
+            row("station_9", "Station 9 glider", 1, institution="invented_seas_bureau", ioos_category="Temperature",
                 cdm_data_type="TrajectoryProfile", standard_names=["sea_water_temperature", "temperature_status_flag"],
                 variable_names=["temperature", "temperature_qc"], keywords=["glider", "qartod_flags"], tabledap="url",
                 time_min=datetime(2016, 9, 1), time_max=datetime(2016, 9, 30), lat_min=38.0, lat_max=41.0, lon_min=-72.0, lon_max=-69.0),
-            row("ru28", "Delayed sea water survey", 2, institution="noaa", cdm_data_type="Grid",
+            row("drift-3", "Delayed sea water survey", 2, institution="seas", cdm_data_type="Grid",
                 standard_names=["sea_water_salinity"], variable_names=["salinity"], keywords=["glider", " "], griddap="",
                 time_min=datetime(2020, 1, 1), time_max=datetime(2020, 2, 1), lat_min=-10.0, lat_max=-5.0, lon_min=10.0, lon_max=20.0),
             row("odd", "100% sea_water", 3, keywords=[]),
@@ -44,65 +44,65 @@ def test_search_terms():
 
 def test_keyword_search(index):
     assert len(ids(discovery.search_index(index))) == 4
-    assert ids(discovery.search_index(index, "GLIDER -delayed")) == ["whoi_406-2016"]
-    assert ids(discovery.search_index(index, '"sea water"')) == ["ru28"]
+    assert ids(discovery.search_index(index, "GLIDER -delayed")) == ["station_9"]
+    assert ids(discovery.search_index(index, '"sea water"')) == ["drift-3"]
     assert ids(discovery.search_index(index, "100%")) == ["odd"]
 
 
 def test_variable_search(index):
-    assert ids(discovery.search_index(index, variables=["temperature"])) == ["whoi_406-2016"]
+    assert ids(discovery.search_index(index, variables=["temperature"])) == ["station_9"]
     assert ids(discovery.search_index(index, variables=["Temperature"])) == []
-    assert ids(discovery.search_index(index, "whoi", variables=["TEMPERATURE", "temperature_qc"])) == ["whoi_406-2016"]
+    assert ids(discovery.search_index(index, "station", variables=["TEMPERATURE", "temperature_qc"])) == ["station_9"]
 
 
 def test_facets_match_exactly(index):
-    assert ids(discovery.search_index(index, institution="noaa", cdm_data_type="Grid")) == ["ru28"]
-    assert ids(discovery.search_index(index, institution="NOAA")) == []
-    assert ids(discovery.search_index(index, standard_name="sea_water_salinity")) == ["ru28"]
+    assert ids(discovery.search_index(index, institution="seas", cdm_data_type="Grid")) == ["drift-3"]
+    assert ids(discovery.search_index(index, institution="SEAS")) == []
+    assert ids(discovery.search_index(index, standard_name="sea_water_salinity")) == ["drift-3"]
     with pytest.raises(ValueError, match="color"):
         discovery.search_index(index, color="red")
 
 
 def test_region_and_time_overlap(index):
     touching = Bounds(min_lat=41.0, max_lat=45.0)
-    assert ids(discovery.search_index(index, bounds=touching)) == ["whoi_406-2016"]
-    assert ids(discovery.search_index(index, bounds=Bounds(min_time="2016-09-30"))) == ["ru28", "whoi_406-2016"]
+    assert ids(discovery.search_index(index, bounds=touching)) == ["station_9"]
+    assert ids(discovery.search_index(index, bounds=Bounds(min_time="2016-09-30"))) == ["drift-3", "station_9"]
     assert ids(discovery.search_index(index, bounds=Bounds(min_time="2016-10-01", max_time="2019-01-01"))) == []
 
 
 def test_page_size_keeps_the_first_by_rank(index):
-    assert ids(discovery.search_index(index, items_per_page=2)) == ["allDatasets", "whoi_406-2016"]
+    assert ids(discovery.search_index(index, items_per_page=2)) == ["allDatasets", "station_9"]
 
 
 def test_search_any_unions_and_filters_titles(index):
-    assert ids(discovery.search_any(index, ["glider", "whoi"])) == ["ru28", "whoi_406-2016"]
-    assert ids(discovery.search_any(index, ["glider", "whoi"], title_pattern="DELAYED|nothing")) == ["ru28"]
-    assert ids(discovery.search_any(index, ["all"], variable=" Temp ")) == ["whoi_406-2016"]
-    got = discovery.search_any(index, ["ru28", "glider"])
-    assert {r["dataset_id"]: r["query_no"] for r in got.collect()} == {"ru28": 0, "whoi_406-2016": 1}
+    assert ids(discovery.search_any(index, ["glider", "station"])) == ["drift-3", "station_9"]
+    assert ids(discovery.search_any(index, ["glider", "station"], title_pattern="DELAYED|nothing")) == ["drift-3"]
+    assert ids(discovery.search_any(index, ["all"], variable=" Temp ")) == ["station_9"]
+    got = discovery.search_any(index, ["drift-3", "glider"])
+    assert {r["dataset_id"]: r["query_no"] for r in got.collect()} == {"drift-3": 0, "station_9": 1}
 
 
 def test_facet_values(index):
     values = lambda *a: sorted(r["value"] for r in discovery.facet_values(index, *a).collect())
-    assert values("institution") == ["hidden_one", "noaa", "rutgers_university"]
-    assert values("institution", "RUTGERS") == ["rutgers_university"]
+    assert values("institution") == ["hidden_one", "invented_seas_bureau", "seas"]
+    assert values("institution", "INVENTED") == ["invented_seas_bureau"]
     assert values("standard_name") == ["sea_water_salinity", "sea_water_temperature"]
     assert values("cdm_data_type", "zzz") == []
 
 
 def test_facet_checks(spark, index, rows_of):
-    discovery.check_facet(index, "institution", "noaa")
-    with pytest.raises(ValueError, match="Noaa.*rutgers_university"):
-        discovery.check_facet(index, "institution", "Noaa")
+    discovery.check_facet(index, "institution", "seas")
+    with pytest.raises(ValueError, match="Seas.*invented_seas_bureau"):
+        discovery.check_facet(index, "institution", "Seas")
     asked = spark.createDataFrame(
-        [("institution", "noaa"), ("institution", "noaa"), ("institution", "Noaa"), ("keywords", "glider")], "facet string, value string")
+        [("institution", "seas"), ("institution", "seas"), ("institution", "Seas"), ("keywords", "glider")], "facet string, value string")
     assert rows_of(discovery.check_facets(asked, index), "facet", "value", "valid") == [
-        ("institution", "Noaa", False), ("institution", "noaa", True), ("keywords", "glider", True)]
+        ("institution", "Seas", False), ("institution", "seas", True), ("keywords", "glider", True)]
 
 
 def test_server_summary(index, rows_of):
     assert rows_of(discovery.server_summary(index)) == [
-        ("dataset_count", "3"), ("institution", "Noaa"), ("institution", "Rutgers University"),
+        ("dataset_count", "3"), ("institution", "Invented Seas Bureau"), ("institution", "Seas"),
         ("keyword", "Glider"), ("protocol", "griddap"), ("protocol", "tabledap"),
     ]
     assert tuple(discovery.protocol_flags(index).first()) == (True, True, False)

@@ -98,4 +98,4 @@ def test_arriving_files(spark, csv_rows, rows_of, tmp_path):
     arrivals.store_arrivals(stream(), store, str(tmp_path / "c1")).awaitTermination()
     assert rows_of(spark.read.parquet(store)) == rows_of(csv_rows)
     arrivals.follow_coverage(stream(), kept, str(tmp_path / "c2")).awaitTermination()
-    assert rows_of(spark.read.parquet(kept)) == rows_of(observed_coverage(csv_rows))
+    assert rows_of(arrivals.latest_coverage(spark, kept)) == rows_of(observed_coverage(csv_rows))

@@ -65,12 +65,12 @@ def test_browse_and_levels(small, rows_of):
 def test_descend(spark, rows_of):
     catalogs, edges, _ = build(
         spark, ["root", "x", "y", "z"],
-        [("root", "OOI-CE", "c1"), ("root", "OOI-CGSN", "c2"), ("x", "Deployments", "c3"), ("y", "OOI", "c4"), ("y", "OOI-CE", "c5"), ("y", "ooi", "c6")], [("x", "l")],
+        [("root", "North-1", "c1"), ("root", "North-2", "c2"), ("x", "Deployments", "c3"), ("y", "North", "c4"), ("y", "North-1", "c5"), ("y", "north", "c6")], [("x", "l")],
     )
-    got = rows_of(tree.descend(catalogs, edges, "OOI"), "parent_url", "status", "chosen", "n_matches")
-    assert got == [("root", "ambiguous", None, 2), ("x", "not_found", None, 0), ("y", "ok", "OOI", 3), ("z", "not_found", None, 0)]
+    got = rows_of(tree.descend(catalogs, edges, "North"), "parent_url", "status", "chosen", "n_matches")
+    assert got == [("root", "ambiguous", None, 2), ("x", "not_found", None, 0), ("y", "ok", "North", 3), ("z", "not_found", None, 0)]
     assert ("x", "ok", "Deployments") in rows_of(tree.descend(catalogs, edges, "deploy"), "parent_url", "status", "chosen")
-    assert tree.candidates(edges.filter("parent_url = 'root'"), "ref_name", "ooi").count() == 2
+    assert tree.candidates(edges.filter("parent_url = 'root'"), "ref_name", "north").count() == 2
 
 
 def test_resolve_leaf(small, rows_of):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from collections import Counter
 from datetime import datetime
@@ -65,7 +66,8 @@ def differences(spark, con, folder: str, name: str) -> str | None:
 def main() -> None:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(QUERIES)
-    spark = build_session("local[8]", 8, **{"spark.ui.enabled": "false", "spark.driver.memory": "12g",
+    shared = tempfile.mkdtemp(prefix="fathomix-check-")
+    spark = build_session("local[4]", 4, **{"spark.checkpoint.dir": shared, "spark.ui.enabled": "false", "spark.driver.memory": "12g",
                                             "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
