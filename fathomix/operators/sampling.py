@@ -29,6 +29,9 @@ MANY_BLOCKS = 100_000
 # Up to this many results a cap sorts directly; each task then sends on at most that many.
 DIRECT_LIMIT = 10_000
 
+# A preview is sorted directly, so it shows no more than this.
+PREVIEW_LIMIT = 10_000
+
 # Low bits of Spark's increasing row id count the rows of a partition, high bits name it.
 _ROW_BITS = 33
 
@@ -242,8 +245,8 @@ def preview(results: DataFrame, limit: int, order: Sequence[str | Column]) -> Da
     Pass only the columns to show: the results are written once, so that counting them does
     not search a second time.
     """
-    if limit > DIRECT_LIMIT:
-        raise ValueError(f"a preview shows at most {DIRECT_LIMIT} results; take a page for {limit}")
+    if limit > PREVIEW_LIMIT:
+        raise ValueError(f"a preview shows at most {PREVIEW_LIMIT} results; take a page for {limit}")
     kept, total = materialize_counted(results)
     return kept.orderBy(*order).limit(limit).withColumns(
         {"total": F.lit(total).cast("long"), "more": F.lit(max(total - limit, 0)).cast("long")}

@@ -152,3 +152,28 @@ def test_wide_lookups_are_not_broadcast(spark):
     paths = spark.range(1000).select("id", F.array_repeat(F.repeat(F.lit("x"), 1000), 100).alias("path"))
     assert not fits_broadcast(paths)
     assert fits_broadcast(paths.select("id"))
+
+
+def test_numbering_moves_the_rows_once(skewed):
+    """One exchange for the rows and one for the counts; the small counts are then broadcast."""
+    plan = sampling.with_position(skewed, block_rows=64)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Exchange SinglePartition" not in plan
+
+
+def test_pages_are_cut_by_rank(spark, rows_of, monkeypatch):
+    found = spark.createDataFrame([("b", 2), ("a", 5), ("c", 3), ("d", 9)], "dataset_id string, rank int")
+    for direct in (10_000, 0):
+        monkeypatch.setattr(sampling, "DIRECT_LIMIT", direct)
+        assert rows_of(sampling.first_page(found, 2)) == [("b", 2), ("c", 3)]
+        assert rows_of(sampling.first_page(found, 9)) == rows_of(found)
+    with pytest.raises(ValueError, match="preview"):
+        sampling.preview(found, 1_000_000, ["rank"])
+
+
+def test_many_thin_blocks_are_made_dense(skewed, rows_of, monkeypatch):
+    monkeypatch.setattr(sampling, "MANY_BLOCKS", 10)
+    called = []
+    plain = sampling.dense_row_index
+    monkeypatch.setattr(sampling, "dense_row_index", lambda *a: called.append(1) or plain(*a))
+    assert rows_of(sampling.with_position(skewed, block_rows=2), "dataset_id", "row_idx", "position") == rows_of(by_window(skewed))
+    assert called
