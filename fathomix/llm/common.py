@@ -29,6 +29,16 @@ def per_worker(name: str, make: Callable[[], Any]) -> Any:
     return kept[name]
 
 
+def small_batches(rows: DataFrame) -> None:
+    """Hand texts to Python 500 rows at a time, unless the session has a size of its own.
+
+    Spark's default of 10,000 rows holds some hundred megabytes of long texts per task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if rows.sparkSession.conf.get(name) == "10000":
+        rows.sparkSession.conf.set(name, "500")
+
+
 def text_bytes(column: str = "text") -> Column:
     """The text's UTF-8 bytes; a null text is empty."""
     return F.coalesce(F.col(f"`{column}`"), F.lit("")).cast("binary")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fathomix.llm.common import ROW_KEYS, text_bytes, with_row_keys, without_rows, words
+from fathomix.llm.common import ROW_KEYS, small_batches, text_bytes, with_row_keys, without_rows, words
 from fathomix.operators.sampling import dense_row_index
 from fathomix.session import materialize
 
@@ -233,6 +233,7 @@ def matches(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id"
     One row per document row and item with a copy of similarity ``least`` or more: the most
     similar copy, the first of equals. Lists the items when called.
     """
+    small_batches(docs)
     read = docs.select(*[F.col(f"`{c}`") for c in keep], text_bytes().alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema[:-1])
     id_kind = items.schema["item_id"].dataType.simpleString()

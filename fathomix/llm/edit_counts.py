@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fathomix.llm.common import small_batches
 from fathomix.llm.tokens import encoder
 
 LEAF_CHARS = 400
@@ -172,6 +173,7 @@ def _reaches(edits: Sequence[Edit], place: int) -> bool:
 
 def with_trees(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``docs`` and ``leaf_chars, leaf_tokens, n_tokens``: the tree's leaves and its root."""
+    small_batches(docs)
     kept = [c for c in docs.columns if c not in ("leaf_chars", "leaf_tokens", "n_tokens")]
     read = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_counted"))
 

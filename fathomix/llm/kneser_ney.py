@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fathomix.llm.common import shuffle_partitions, text_bytes, words
+from fathomix.llm.common import shuffle_partitions, small_batches, text_bytes, words
 from fathomix.session import materialize, shared_folder
 
 BLOCK_TOKENS = 1 << 20
@@ -124,6 +124,7 @@ def store_blocks(docs: DataFrame, train: Column) -> DataFrame:
 
     ``train`` says which rows the model may count. Joins by block then move the other side only.
     """
+    small_batches(docs)
     read = docs.select("doc_id", F.coalesce(train, F.lit(True)).alias("trained"), text_bytes().alias("text"))
     kind = read.schema["doc_id"].dataType
     schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(to_arrow_type(kind))), ("trained", pa.list_(pa.bool_())),

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from fathomix.llm.common import small_batches
 from fathomix.llm.tokens import encoder
 from fathomix.operators.skew import lookup_join
 from fathomix.session import materialize
@@ -119,6 +120,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, merged: bool = Fa
                 [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], names=names
             )
 
+    small_batches(docs)
     source = F.col("source").cast("string")
     queue = F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES))) if merged else F.coalesce(
         F.concat(F.lit("="), source), F.lit("null"))

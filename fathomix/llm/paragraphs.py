@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fathomix.llm.common import components, text_bytes
+from fathomix.llm.common import components, small_batches, text_bytes
 from fathomix.operators.skew import lookup_join
 from fathomix.session import materialize, release
 
@@ -127,6 +127,7 @@ def units_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 def units(docs: DataFrame) -> DataFrame:
     """``row, doc_id, start, words, hash, bands``: the units of all rows; bands of paragraphs only."""
+    small_batches(docs)
     read = docs.select("doc_id", text_bytes().alias("text"))
     kind = read.schema["doc_id"].dataType
     schema = pa.schema([("row", pa.int64()), ("doc_id", to_arrow_type(kind)), ("start", pa.int32()), ("words", pa.int32()),

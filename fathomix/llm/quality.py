@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fathomix.llm.common import ROW_KEYS, text_bytes, with_row_keys, without_rows
+from fathomix.llm.common import ROW_KEYS, small_batches, text_bytes, with_row_keys, without_rows
 from fathomix.session import materialize
 
 # Labelled rows that the trees learn from at most.
@@ -78,6 +78,7 @@ def with_statistics(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(found, pa.list_(pa.float64()))], names=[*keep, "statistics"])
 
+    small_batches(docs)
     read = docs.select(*[F.col(f"`{c}`") for c in keep], text_bytes().alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema[:-1])
     return read.mapInArrow(run, f"{schema}, statistics array<double>")

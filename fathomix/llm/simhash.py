@@ -26,7 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fathomix.llm.common import ROW_KEYS, components, text_bytes, with_row_keys, without_rows, words
+from fathomix.llm.common import (
+    ROW_KEYS, components, small_batches, text_bytes, with_row_keys, without_rows, words,
+)
 from fathomix.operators.skew import lookup_join
 from fathomix.session import materialize, release
 
@@ -70,6 +72,7 @@ def fingerprints(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             columns = [*batch.columns[:-1], pa.array(found, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "fingerprint"])
 
+    small_batches(rows)
     read = rows.select(*[F.col(f"`{c}`") for c in keep], text_bytes(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema[:-1])
     return read.mapInArrow(run, f"{schema}, fingerprint long")
