@@ -52,6 +52,14 @@ def test_nothing_real_is_left_and_the_rest_is_untouched(replaced):
     assert replaced[5].text == TEXT[5]
 
 
+def test_phones_are_found_through_noise(documents):
+    texts = [(1, "a### +1### (407)### 555-7710### b"), (2, "+1 (407) 555-7710"), (3, "C!! +1!! (407)!! 555-7710!! D")]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(documents(texts), "key").collect()}
+    digits = {i: re.sub(r"[^0-9]", "", t) for i, t in got.items()}
+    assert digits[1] == digits[2] == digits[3] != "14075557710" and got[2].startswith("+1 (")
+    assert re.fullmatch(r"a### \+1### \(\d{3}\)### \d{3}-\d{4}### b", got[1])
+
+
 def test_the_key_decides(documents):
     docs = documents(list(TEXT.items()))
     runs = [{r.doc_id: r.text for r in surrogates.replace_entities(docs, k).collect()} for k in ("key", "key", "other")]
