@@ -48,8 +48,8 @@ SEED = 9
 # Odd multipliers of the minima's hash functions and of the words in a unit.
 _FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, 2 * BANDS * ROWS, np.int64).astype(np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-# Members whose texts are looked up by a broadcast of their hashes alone.
-MEMBER_ROWS = 2_000_000
+# Units looked up by a broadcast of their hashes alone, some 50 bytes each; beyond, by a join.
+MEMBER_ROWS = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -283,7 +283,7 @@ def repeated_spans(docs: DataFrame, least: float = 0.8, min_words: int = MIN_WOR
     firsts = materialize(held.groupBy("root").agg(
         F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")
     ).filter("low < high").select("root", "first"))
-    marked = lookup_join(held, firsts, ["root"], broadcast_rows=MEMBER_ROWS, salt_by=["row", "start"]).select(
+    marked = lookup_join(held, firsts, ["root"], salt_by=["row", "start"]).select(
         "row", "doc_id", F.struct(
             "start", "words", F.col("first.doc_id").cast("long").alias("class_id"),
             ((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))).alias("removed"),
