@@ -103,10 +103,16 @@ class Block:
         self.before[1:] = self.tokens[:-1]
         self.before[self.starts] = 0
 
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes ascending, a position of each, and each position's place in them."""
-        return np.unique(pair_hashes(self.words[self.before], self.words[self.tokens]),
-                         return_index=True, return_inverse=True)
+    def _pairs(self) -> np.ndarray:
+        return pair_hashes(self.words[self.before], self.words[self.tokens])
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes ascending, and each position's place in them."""
+        return np.unique(self._pairs(), return_inverse=True)
+
+    def first_positions(self) -> np.ndarray:
+        """A position of each distinct bigram, in the order of ``bigrams``."""
+        return np.unique(self._pairs(), return_index=True)[1]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -244,7 +250,7 @@ def count_bigrams(blocks: DataFrame, shards: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = Block(row)
-            hashes, _, places = block.bigrams()
+            hashes, places = block.bigrams()
             counts = np.bincount(places, block.trained, len(hashes)).astype(np.int64)
             yield _requests(block.block, hashes, counts[None, :], shards)
 
@@ -261,7 +267,7 @@ def count_words(blocks: DataFrame, bigrams: DataFrame, shards: int) -> DataFrame
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = Block(row)
-            _, first, _ = block.bigrams()
+            first = block.first_positions()
             counts = _answer(row["bigrams"], 1)[0]
             owned = np.concatenate([
                 np.unpackbits(np.frombuffer(r["owned"], np.uint8), count=unpack_numbers(r["reply"]).size)
@@ -340,23 +346,24 @@ def score_blocks(blocks: DataFrame, bigrams: DataFrame, of_words: DataFrame, fig
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = Block(row)
-            _, _, places = block.bigrams()
-            pair = _answer(row["bigrams"], 1)[0][places]
-            count, once, twice, more, left = _answer(row["words"], FIELDS)
-            share = figures.word_share(left)[block.tokens]
-            total = np.maximum(count[block.before], 1)
+            answers = _answer(row["bigrams"], 1)[0]
             d1, d2, d3 = figures.bigram
-            mass = ((d1 * once + d2 * twice + d3 * more)[block.before]) / total
-            off = np.array([0.0, d1, d2, d3])[np.minimum(pair, 3)]
-            seen = np.maximum(pair - off, 0) / total + mass * share
-            p = np.where(count[block.before] > 0, seen, share)
-            own = count[block.tokens]
-            base = (own + 0.5) / (figures.tokens + 0.5 * (figures.vocabulary + 1))
+            # Per distinct bigram and word first, so that few arrays are as long as the block.
+            rest = np.maximum(answers - np.array([0.0, d1, d2, d3])[np.minimum(answers, 3)], 0)
+            p = rest[block.bigrams()[1]]
+            count, once, twice, more, left = _answer(row["words"], FIELDS)
+            total = np.maximum(count, 1)
+            freed = np.where(count > 0, (d1 * once + d2 * twice + d3 * more) / total, 1.0)
+            p /= total[block.before]
+            p += freed[block.before] * figures.word_share(left)[block.tokens]
+            np.log10(p, out=p)
+            known = (count > 0)[block.tokens]
+            base = np.log10((count + 0.5) / (figures.tokens + 0.5 * (figures.vocabulary + 1)))[block.tokens]
             yield pa.RecordBatch.from_arrays([
                 pa.array(row["ids"], schema.field(0).type), pa.array(row["trained"]), pa.array(block.lengths),
-                pa.array(np.add.reduceat((own > 0).astype(np.int64), block.starts)),
-                pa.array(np.add.reduceat(np.log10(base), block.starts)),
-                pa.array(np.add.reduceat(np.log10(p), block.starts)),
+                pa.array(np.add.reduceat(known, block.starts, dtype=np.int64)),
+                pa.array(np.add.reduceat(base, block.starts)),
+                pa.array(np.add.reduceat(p, block.starts)),
             ], schema=schema)
 
     joined = _with_replies(blocks, bigrams=bigrams.select("shard", "block", "reply", "owned"),
