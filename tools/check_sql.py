@@ -67,7 +67,7 @@ def main() -> None:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(QUERIES)
     shared = tempfile.mkdtemp(prefix="fathomix-check-")
-    spark = build_session("local[4]", 4, **{"spark.checkpoint.dir": shared, "spark.ui.enabled": "false", "spark.driver.memory": "12g",
+    spark = build_session("local[8]", 8, **{"spark.checkpoint.dir": shared, "spark.ui.enabled": "false", "spark.driver.memory": "12g",
                                             "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
