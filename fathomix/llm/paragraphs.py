@@ -276,14 +276,15 @@ def repeated_spans(docs: DataFrame, least: float = 0.8, min_words: int = MIN_WOR
     linked = materialize(components(verified(pairs, docs, least)).withColumnRenamed("node", "hash"))
     alone = repeated.join(linked, "hash", "left_anti").select("hash", F.col("hash").alias("root"))
     classed = materialize(linked.select("hash", "root").unionByName(alone))
+    # Classes grow with the table, so both joins move rows by key at every size.
     held = materialize(lookup_join(stored.select("row", "doc_id", "start", "words", "hash"), classed, ["hash"],
-                                   broadcast_rows=MEMBER_ROWS, salt_by=["row", "start"]).drop("hash"))
+                                   broadcast_rows=0, salt_by=["row", "start"]).drop("hash"))
     release(pairs, linked, repeated)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
     firsts = materialize(held.groupBy("root").agg(
         F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")
     ).filter("low < high").select("root", "first"))
-    marked = lookup_join(held, firsts, ["root"], salt_by=["row", "start"]).select(
+    marked = lookup_join(held, firsts, ["root"], broadcast_rows=0, salt_by=["row", "start"]).select(
         "row", "doc_id", F.struct(
             "start", "words", F.col("first.doc_id").cast("long").alias("class_id"),
             ((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))).alias("removed"),
