@@ -8,8 +8,8 @@ themselves instead of the lines: a piece starts where the hash of two neighbouri
 the least among nine places. So a passage that sits inside another line falls into the same
 pieces wherever it stands, and equal pieces (edit distance 0) mark it.
 
-Copies of a unit are folded before any comparison. In a band value's bucket the rows are
-sorted by their next band, and each is compared with the ``NEIGHBOURS`` before it and with the
+Copies of a unit are folded before any comparison. In a band value's bucket (one of over
+``BUCKET_ROWS`` rows is cut by the next band first) the rows are sorted by their next band, and each is compared with the ``NEIGHBOURS`` before it and with the
 first of its run, so the work grows with the bucket and not with its square; buckets of up to
 ``NEIGHBOURS + 1`` are compared in full. In larger ones, links that the sorting keeps apart
 are left to the other bands and to the components, which join whatever is linked in any way.
@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from fathomix.llm.common import components, small_batches, text_bytes
-from fathomix.operators.skew import lookup_join
+from fathomix.operators.skew import HOT_KEYS, lookup_join
 from fathomix.session import materialize, release
 
 MIN_WORDS = 15
 SHINGLE = 5
 BANDS, ROWS = 5, 2
 NEIGHBOURS = 4
+# A band value with more rows than this is cut by the rows' next band.
+BUCKET_ROWS = 100_000
 # Places on each side that a piece's start is compared with.
 REACH = 4
 SEED = 9
@@ -156,9 +158,19 @@ def units(docs: DataFrame) -> DataFrame:
 
 def colliding(paragraphs: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of distinct paragraphs (``hash, words, bands``) that a band brings together."""
-    banded = paragraphs.select("hash", "words", "bands", F.posexplode("bands").alias("at", "band")).select(
+    banded = paragraphs.select("hash", "words", F.posexplode("bands").alias("at", "band"), "bands").select(
         "band", F.element_at("bands", (F.col("at") + 1) % BANDS + 1).alias("next"), "hash", "words")
-    sorted_rows = banded.repartitionByRange("band", "next", "hash").sortWithinPartitions("band", "next", "hash")
+    counts = banded.groupBy("band").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # At most HOT_KEYS bands can hold that fraction of the rows each.
+    hot = materialize(counts.filter(F.col("n") > max(BUCKET_ROWS, total // HOT_KEYS)))
+    part = F.lit(0).cast("long")
+    if not hot.isEmpty():
+        banded = banded.join(F.broadcast(hot), "band", "left")
+        part = F.coalesce(F.pmod("next", F.ceil(F.col("n") / BUCKET_ROWS)), part)
+    # Whole parts of buckets go to one task, so no neighbours are torn apart.
+    sorted_rows = banded.select(F.xxhash64("band", part).alias("band"), "next", "hash", "words").repartitionByRange(
+        "band").sortWithinPartitions("band", "next", "hash")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +282,8 @@ def repeated_spans(docs: DataFrame, least: float = 0.8, min_words: int = MIN_WOR
     stored = materialize(units(docs))
     repeated = materialize(stored.groupBy("hash").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter(
         "low < high").select("hash"))
-    paragraphs = stored.filter(F.size("bands") > 0).groupBy("hash").agg(
-        F.min("words").alias("words"), F.min("bands").alias("bands"))
+    paragraphs = materialize(stored.filter(F.size("bands") > 0).groupBy("hash").agg(
+        F.min("words").alias("words"), F.min("bands").alias("bands")))
     pairs = materialize(colliding(paragraphs))
     linked = materialize(components(verified(pairs, docs, least)).withColumnRenamed("node", "hash"))
     alone = repeated.join(linked, "hash", "left_anti").select("hash", F.col("hash").alias("root"))
@@ -279,7 +291,7 @@ def repeated_spans(docs: DataFrame, least: float = 0.8, min_words: int = MIN_WOR
     # Classes grow with the table, so both joins move rows by key at every size.
     held = materialize(lookup_join(stored.select("row", "doc_id", "start", "words", "hash"), classed, ["hash"],
                                    broadcast_rows=0, salt_by=["row", "start"]).drop("hash"))
-    release(pairs, linked, repeated)
+    release(pairs, linked, repeated, paragraphs)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
     firsts = materialize(held.groupBy("root").agg(
         F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")

@@ -80,6 +80,23 @@ def test_large_buckets_are_joined_without_all_pairs(spark):
     assert joined.select("root").distinct().count() == 1 and joined.count() == 500
 
 
+def test_hot_buckets_are_cut_by_the_next_band(spark, monkeypatch):
+    monkeypatch.setattr(paragraphs, "BUCKET_ROWS", 50)
+    rows = [(i, 60, [7, 1000 + i % 8, 10**6 + i, 2 * 10**6 + i, 3 * 10**6 + i]) for i in range(400)]
+    pairs = paragraphs.colliding(spark.createDataFrame(rows, "hash long, words int, bands array<long>")).collect()
+    assert pairs and all(r.a % 8 == r.b % 8 for r in pairs if r.b - r.a > 8)
+    linked = {r.a for r in pairs} | {r.b for r in pairs}
+    assert linked == set(range(400))
+
+
+def test_the_layout_does_not_change_the_pairs(spark):
+    rng = random.Random(8)
+    rows = [(i, 60, [rng.randrange(5), rng.randrange(20), i, -i, i]) for i in range(800)]
+    frame = spark.createDataFrame(rows, "hash long, words int, bands array<long>")
+    found = [{(r.a, r.b) for r in paragraphs.colliding(frame.repartition(n)).collect()} for n in (1, 7)]
+    assert found[0] == found[1]
+
+
 def test_small_buckets_are_compared_in_full(spark):
     rows = [(i, 60, [3, i, -i - 1, 100 + i, 200 + i]) for i in range(paragraphs.NEIGHBOURS + 1)]
     pairs = paragraphs.colliding(spark.createDataFrame(rows, "hash long, words int, bands array<long>")).collect()
