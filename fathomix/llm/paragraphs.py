@@ -11,8 +11,9 @@ pieces wherever it stands, and equal pieces (edit distance 0) mark it.
 Copies of a unit are folded before any comparison. In a band value's bucket (one of over
 ``BUCKET_ROWS`` rows is cut by the next band first) the rows are sorted by their next band, and each is compared with the ``NEIGHBOURS`` before it and with the
 first of its run, so the work grows with the bucket and not with its square; buckets of up to
-``NEIGHBOURS + 1`` are compared in full. In larger ones, links that the sorting keeps apart
-are left to the other bands and to the components, which join whatever is linked in any way.
+``NEIGHBOURS + 1`` are compared in full. For larger ones this only forms first clusters: their
+paragraphs then meet through their rarest shingles (two at the least similarity always share
+one of the first few), and every pair of different clusters that can be similar is verified.
 
 A component counts when it appears in two or more rows. It keeps its first unit (smallest
 document, then place) and the others, also those in the same row, are marked for removal. Marked words of a document are merged into spans, and spans of fewer than
@@ -50,6 +51,10 @@ SEED = 9
 # Odd multipliers of the minima's hash functions and of the words in a unit.
 _FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, 2 * BANDS * ROWS, np.int64).astype(np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+# Counters of shingles by hash; they order shingles from rare to common, and any order is exact.
+SLOTS = 1 << 18
+# Postings up to this many rows are compared together, longer ones one by one.
+SHORT = 16
 # Units looked up by a broadcast of their hashes alone, some 50 bytes each; beyond, by a join.
 MEMBER_ROWS = 1_000_000
 
@@ -214,9 +219,159 @@ def shingle_set(line: bytes) -> set[tuple[bytes, ...]]:
     return set(zip(*(parts[i:] for i in range(SHINGLE)))) if len(parts) >= SHINGLE else {tuple(parts)}
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs whose paragraphs' shingles have a Jaccard similarity of ``least`` or more."""
-    members = materialize(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct())
+def crowded(paragraphs: DataFrame) -> DataFrame:
+    """``hash`` of the paragraphs with a band value that more rows have than are compared in full."""
+    banded = paragraphs.select("hash", F.explode("bands").alias("band"))
+    large = banded.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > NEIGHBOURS + 1).select("band")
+    return lookup_join(banded, materialize(large), ["band"], "left_semi", salt_by=["hash"]).select("hash").distinct()
+
+
+def _line_shingles(line: bytes) -> np.ndarray:
+    """The distinct hashes of a line's shingles."""
+    codes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in line.lower().split()], np.uint64)
+    return np.unique(_windows(codes, SHINGLE)).astype(np.int64)
+
+
+def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
+    """``key, hash, size, at``: of each paragraph's ``size`` shingles, rarest first, those that count.
+
+    Two paragraphs with a similarity of ``least`` share one of these, whatever the order.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for line in batch.column(0):
+                np.add.at(held, _line_shingles(line.as_py()) & (SLOTS - 1), 1)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["slot", "n"])
+
+    counts = np.zeros(SLOTS, np.int64)
+    for r in texts.select("line").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        counts[r.slot] = r.n
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    schema = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("size", pa.int32()), ("at", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes = [], []
+            for line in batch.column(1):
+                found = _line_shingles(line.as_py())
+                found = found[np.lexsort((found, shared.value[found & (SLOTS - 1)]))]
+                sizes.append(len(found))
+                keys.append(found[:len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1])
+            taken = np.fromiter(map(len, keys), np.int64, len(keys))
+            at = np.arange(taken.sum()) - np.repeat(taken.cumsum() - taken, taken)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([np.zeros(0, np.int64), *keys])),
+                pa.array(np.repeat(batch.column(0).to_numpy(), taken)),
+                pa.array(np.repeat(np.array(sizes, np.int32), taken)), pa.array(at.astype(np.int32)),
+            ], schema=schema)
+
+    return texts.select("hash", "line").mapInArrow(run, "key long, hash long, size int, at int")
+
+
+def crossing(postings: DataFrame, roots: DataFrame, least: float, leaders: bool) -> DataFrame:
+    """Pairs ``a, b`` of paragraphs of different clusters that can have a similarity of ``least``.
+
+    ``postings`` are ``rare_shingles`` and ``roots`` (``node, root``) the clusters so far. With
+    ``leaders``, a long posting's rows meet only the first row of each cluster in it.
+    """
+    named = lookup_join(postings, roots.select(F.col("node").alias("hash"), "root"), ["hash"], "left", salt_by=["key"])
+    rows = named.select("key", F.coalesce("root", "hash").alias("root"), "hash", "size", "at").repartition(
+        "key").sortWithinPartitions("key", "root", "hash")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def needed(sizes: np.ndarray) -> np.ndarray:
+        """Shared shingles that two sizes with this sum need."""
+        return np.ceil(least / (1 + least) * sizes - 1e-9)
+
+    def near(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, root, code, size, at = rows
+        # No earlier shingle is shared where this is the first, so all shared ones are from here on.
+        rest = np.minimum(size[a] - at[a], size[b] - at[b])
+        good = (root[a] != root[b]) & (rest >= needed(size[a] + size[b]))
+        good &= np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9
+        x, y = code[a[good]], code[b[good]]
+        return np.minimum(x, y), np.maximum(x, y)
+
+    def pairs_of(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key, root, _, size, at = rows
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = np.append(starts[1:], len(key))
+        mixed = root[starts] != root[ends - 1]
+        for low, high in zip(starts[mixed & (ends - starts > SHORT)], ends[mixed & (ends - starts > SHORT)]):
+            here = np.arange(low, high)
+            if leaders:
+                chosen = here[np.concatenate([[True], root[low + 1:high] != root[low:high - 1]])]
+            else:
+                # The smaller of two similar paragraphs has the shared shingle this early.
+                chosen = here[size[here] - at[here] >= needed(2 * size[here])]
+            step = max(1, (1 << 20) // len(here))
+            for i in range(0, len(chosen), step):
+                some = chosen[i:i + step]
+                yield near(rows, np.repeat(some, len(here)), np.tile(here, len(some)))
+        few = np.repeat(mixed & (ends - starts <= SHORT), ends - starts)
+        for back in range(1, SHORT if few.any() else 1):
+            later = np.flatnonzero(few[back:] & (key[back:] == key[:-back])) + back
+            if not len(later):
+                break
+            yield near(rows, later - back, later)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def flushed(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for a, b in pairs_of(rows) if len(rows[0]) else ():
+                found = np.unique(np.stack([a, b]), axis=1)
+                if found.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], schema=schema)
+
+        for batch in batches:
+            rows = [c.to_numpy() for c in batch.columns]
+            change = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
+            if not len(rows[0]):
+                continue
+            if held and held[-1][0][-1] != rows[0][0]:
+                cut = 0
+            elif len(change):
+                cut = int(change[-1])
+            else:
+                held.append(rows)
+                continue
+            if len(change):
+                cut = int(change[-1])
+            held.append([c[:cut] for c in rows])
+            yield from flushed([np.concatenate(c) for c in zip(*held)])
+            held = [[c[cut:] for c in rows]]
+        if held:
+            yield from flushed([np.concatenate(c) for c in zip(*held)])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def linked_paragraphs(paragraphs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """``node, root``: the components of paragraphs (``hash, words, bands``) that are similar."""
+    pairs = materialize(colliding(paragraphs))
+    dense = materialize(crowded(paragraphs))
+    members = materialize(pairs.select(F.explode(F.array("a", "b")).alias("hash")).unionByName(dense).distinct())
+    texts = materialize(lines_of(docs, members))
+    roots = materialize(components(verified(pairs, texts, least)))
+    postings = materialize(rare_shingles(
+        lookup_join(texts, dense, ["hash"], "left_semi", broadcast_rows=MEMBER_ROWS), least))
+    asked = pairs
+    for leaders in (True, False):
+        # The first round joins what belongs to large clusters, so the second one asks for few pairs.
+        found = materialize(crossing(postings, roots, least, leaders).join(asked, ["a", "b"], "left_anti"))
+        more = materialize(verified(found, texts, least))
+        if not more.isEmpty():
+            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = materialize(components(known.unionByName(more)))
+        asked = asked.unionByName(found)
+    return roots
+
+
+def lines_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``hash, line`` of the paragraphs in ``members`` (``hash``), each once."""
     read = docs.select(text_bytes().alias("text"))
     line_schema = pa.schema([("hash", pa.int64()), ("line", pa.binary())])
 
@@ -239,8 +394,12 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
                         [pa.array(hashes.astype(np.int64)), pa.array(held, pa.binary())], schema=line_schema)
 
     every = read.mapInArrow(lines, "hash long, line binary")
-    texts = materialize(lookup_join(every, members, ["hash"], "left_semi", broadcast_rows=MEMBER_ROWS).groupBy(
-        "hash").agg(F.min("line").alias("line")))
+    return lookup_join(every, members, ["hash"], "left_semi", broadcast_rows=MEMBER_ROWS).groupBy(
+        "hash").agg(F.min("line").alias("line"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs whose paragraphs' shingles have a Jaccard similarity of ``least`` or more."""
     asked = pairs.join(texts.select(F.col("hash").alias("a"), F.col("line").alias("left")), "a").join(
         texts.select(F.col("hash").alias("b"), F.col("line").alias("right")), "b").select("a", "b", "left", "right")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -284,14 +443,13 @@ def repeated_spans(docs: DataFrame, least: float = 0.8, min_words: int = MIN_WOR
         "low < high").select("hash"))
     paragraphs = materialize(stored.filter(F.size("bands") > 0).groupBy("hash").agg(
         F.min("words").alias("words"), F.min("bands").alias("bands")))
-    pairs = materialize(colliding(paragraphs))
-    linked = materialize(components(verified(pairs, docs, least)).withColumnRenamed("node", "hash"))
+    linked = linked_paragraphs(paragraphs, docs, least).withColumnRenamed("node", "hash")
     alone = repeated.join(linked, "hash", "left_anti").select("hash", F.col("hash").alias("root"))
     classed = materialize(linked.select("hash", "root").unionByName(alone))
     # Classes grow with the table, so both joins move rows by key at every size.
     held = materialize(lookup_join(stored.select("row", "doc_id", "start", "words", "hash"), classed, ["hash"],
                                    broadcast_rows=0, salt_by=["row", "start"]).drop("hash"))
-    release(pairs, linked, repeated, paragraphs)
+    release(repeated, paragraphs)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
     firsts = materialize(held.groupBy("root").agg(
         F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")

@@ -116,3 +116,38 @@ def test_odd_rows(odd, empty, documents):
 def test_repeats_within_one_row_are_left_alone(documents):
     line = " ".join(f"w{j}" for j in range(40))
     assert paragraphs.repeated_spans(documents([(1, f"{line}\n{line}"), (2, "other words")])).count() == 0
+
+
+def crowd(rng, n=3000, true=60, common=40, words=84):
+    """Lines that share their first 40 words; ``true`` pairs of them are at 0.8 or more."""
+    head = passage(rng, common, "head").split()
+    rows, pairs = [], []
+    for i in range(n):
+        own = [f"o{i}x{j}" for j in range(words - common)]
+        if 2 * i < 2 * true:
+            edited = list(own)
+            edited[rng.randrange(5, len(own) - 5)] = f"edit{i}"
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [" ".join(head + own), " ".join(head + edited)]
+        else:
+            rows.append(" ".join(head + own))
+    return rows, pairs
+
+
+def test_true_pairs_among_thousands_of_others_in_a_bucket_are_all_linked(spark, documents):
+    rng = random.Random(12)
+    rows, pairs = crowd(rng)
+    # Every line shares its first band, so all are in one bucket; the other bands tell nothing.
+    frame = spark.createDataFrame(
+        [(r.hash, r.words, [7, r.hash, r.hash + 1, r.hash + 2, r.hash + 3])
+         for r in paragraphs.units(documents(list(enumerate(rows)))).filter("size(bands) > 0").collect()],
+        "hash long, words int, bands array<long>")
+    docs = documents(list(enumerate(rows)))
+    roots = {r.node: r.root for r in paragraphs.linked_paragraphs(frame, docs, 0.8).collect()}
+    neighbours = {(r.a, r.b) for r in paragraphs.colliding(frame).collect()}
+    names = {r.doc_id: r.hash for r in paragraphs.units(docs).filter("size(bands) > 0").collect()}
+    sets = [paragraphs.shingle_set(t.encode()) for t in rows]
+    assert all(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in pairs)
+    met = [names[i] in roots and roots[names[i]] == roots.get(names[j]) for i, j in pairs]
+    assert sum(met) == len(pairs) == 60 and len(roots) == 120
+    assert sum(tuple(sorted((names[i], names[j]))) in neighbours for i, j in pairs) < 60
