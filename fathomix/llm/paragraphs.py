@@ -14,6 +14,7 @@ first of its run, so the work grows with the bucket and not with its square; buc
 ``NEIGHBOURS + 1`` are compared in full. For larger ones this only forms first clusters: their
 paragraphs then meet through their rarest shingles (two at the least similarity always share
 one of the first few), and every pair of different clusters that can be similar is verified.
+Where more than ``BUCKET_ROWS`` share a shingle, they are cut into parts and each two parts meet.
 
 A component counts when it appears in two or more rows. It keeps its first unit (smallest
 document, then place) and the others, also those in the same row, are marked for removal. Marked words of a document are merged into spans, and spans of fewer than
@@ -277,8 +278,18 @@ def crossing(postings: DataFrame, roots: DataFrame, least: float, leaders: bool)
     ``leaders``, a long posting's rows meet only the first row of each cluster in it.
     """
     named = lookup_join(postings, roots.select(F.col("node").alias("hash"), "root"), ["hash"], "left", salt_by=["key"])
-    rows = named.select("key", F.coalesce("root", "hash").alias("root"), "hash", "size", "at").repartition(
-        "key").sortWithinPartitions("key", "root", "hash")
+    rows = named.select("key", F.coalesce("root", "hash").alias("root"), "hash", "size", "at")
+    counts = materialize(rows.groupBy("key").agg(
+        F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("mixed")).filter(F.col("n") > BUCKET_ROWS))
+    if not counts.isEmpty():
+        # Each part of a long posting meets each part in a task of its own; one cluster alone needs none.
+        parts = F.coalesce(F.ceil(F.col("n") / BUCKET_ROWS), F.lit(1)).cast("long")
+        part = F.pmod(F.xxhash64("hash", F.lit("part")), parts)
+        rows = rows.join(F.broadcast(counts), "key", "left").filter(F.coalesce("mixed", F.lit(True))).withColumns(
+            {"part": part, "parts": parts}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        split = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+        rows = rows.select(F.when(F.col("parts") > 1, split).otherwise(F.col("key")).alias("key"), "root", "hash", "size", "at")
+    rows = rows.repartition("key").sortWithinPartitions("key", "root", "hash")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def needed(sizes: np.ndarray) -> np.ndarray:

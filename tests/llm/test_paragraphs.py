@@ -151,3 +151,28 @@ def test_true_pairs_among_thousands_of_others_in_a_bucket_are_all_linked(spark,
     met = [names[i] in roots and roots[names[i]] == roots.get(names[j]) for i, j in pairs]
     assert sum(met) == len(pairs) == 60 and len(roots) == 120
     assert sum(tuple(sorted((names[i], names[j]))) in neighbours for i, j in pairs) < 60
+
+
+def test_parts_of_a_cut_bucket_still_meet(spark, documents, monkeypatch):
+    monkeypatch.setattr(paragraphs, "BUCKET_ROWS", 50)
+    rows, pairs = crowd(random.Random(13), n=300, true=40)
+    docs = documents(list(enumerate(rows)))
+    found = paragraphs.units(docs).filter("size(bands) > 0").select("doc_id", "hash", "words").collect()
+    # The two of a pair differ in their next band's part.
+    frame = spark.createDataFrame(
+        [(r.hash, r.words, [7, 1000 + r.doc_id % 2, 10**6 + r.doc_id, 2 * 10**6 + r.doc_id, 3 * 10**6 + r.doc_id]) for r in found],
+        "hash long, words int, bands array<long>")
+    names = {r.doc_id: r.hash for r in found}
+    roots = {r.node: r.root for r in paragraphs.linked_paragraphs(frame, docs, 0.8).collect()}
+    assert all(names[i] in roots and roots[names[i]] == roots.get(names[j]) for i, j in pairs) and len(pairs) == 40
+
+
+@pytest.mark.parametrize("leaders", [True, False])
+def test_every_two_rows_of_a_long_posting_meet(spark, monkeypatch, leaders):
+    monkeypatch.setattr(paragraphs, "BUCKET_ROWS", 50)
+    postings = spark.createDataFrame([(7, i, 80, 0) for i in range(220)], "key long, hash long, size int, at int")
+    none = spark.createDataFrame([], "node long, root long")
+    got = {(r.a, r.b) for r in paragraphs.crossing(postings, none, 0.8, leaders).collect()}
+    assert got == {(i, j) for i in range(220) for j in range(i + 1, 220)}
+    one = spark.createDataFrame([(i, 0) for i in range(220)], "node long, root long")
+    assert paragraphs.crossing(postings, one, 0.8, leaders).isEmpty()
