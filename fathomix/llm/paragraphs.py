@@ -100,8 +100,11 @@ def piece_starts(codes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([[0], np.flatnonzero(lowest) + 1]))
 
 
-def units_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``start, words, hash, is paragraph`` of a text's units, and the paragraphs' bands."""
+def units_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``start, words, hash, is paragraph, distinct shingles`` of a text's units, and the paragraphs' bands.
+
+    Pieces have no shingles.
+    """
     lines = [line.split() for line in text.lower().split(b"\n")]
     parts = [w for line in lines for w in line]
     digest = xxhash.xxh64_intdigest
@@ -115,6 +118,7 @@ def units_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     whole = ends - starts > SHINGLE
     starts, ends = starts[whole], ends[whole]
     bands = np.zeros((len(first), BANDS), np.uint64)
+    distinct = np.zeros(len(starts) + len(first), np.int64)
     if len(first):
         shingles = _windows(codes, SHINGLE)
         spans = np.stack([first, last - SHINGLE + 1], axis=1).ravel()
@@ -127,19 +131,21 @@ def units_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
             for r in range(ROWS):
                 value = _mix(value * _STEP + minima[b * ROWS + r])
             bands[:, b] = value
+        distinct[len(starts):] = [
+            len(np.unique(shingles[a:z])) for a, z in zip(first.tolist(), (last - SHINGLE + 1).tolist())]
     hashes = np.concatenate([_unit_hashes(codes, starts, ends, 1), _unit_hashes(codes, first, last, 2)])
     kind = np.concatenate([np.zeros(len(starts), bool), np.ones(len(first), bool)])
     begin, size = np.concatenate([starts, first]), np.concatenate([ends - starts, last - first])
-    return begin, size, hashes, kind, bands
+    return begin, size, hashes, kind, distinct, bands
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, start, words, hash, bands``: the units of all rows; bands of paragraphs only."""
+    """``row, doc_id, start, words, hash, shingles, bands``: the units of all rows; bands of paragraphs only."""
     small_batches(docs)
     read = docs.select("doc_id", text_bytes().alias("text"))
     kind = read.schema["doc_id"].dataType
     schema = pa.schema([("row", pa.int64()), ("doc_id", to_arrow_type(kind)), ("start", pa.int32()), ("words", pa.int32()),
-                        ("hash", pa.int64()), ("bands", pa.list_(pa.int64()))])
+                        ("hash", pa.int64()), ("shingles", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -149,21 +155,25 @@ def units(docs: DataFrame) -> DataFrame:
                 found = [units_of(t.as_py()) for t in some.column(1)]
                 counts = np.array([len(f[0]) for f in found])
                 owner = np.repeat(np.arange(len(found)), counts)
-                begin, size, hashes, para = (np.concatenate([f[i] for f in found]) for i in range(4))
-                bands = np.concatenate([f[4] for f in found]).astype(np.int64).ravel()
+                begin, size, hashes, para, distinct = (np.concatenate([f[i] for f in found]) for i in range(5))
+                bands = np.concatenate([f[5] for f in found]).astype(np.int64).ravel()
                 offsets = np.concatenate([[0], (para * BANDS).cumsum()]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands, pa.int64()))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row + owner, pa.int64()), some.column(0).take(pa.array(owner)),
-                    pa.array(begin, pa.int32()), pa.array(size, pa.int32()), pa.array(hashes.astype(np.int64)), listed,
+                    pa.array(begin, pa.int32()), pa.array(size, pa.int32()), pa.array(hashes.astype(np.int64)),
+                    pa.array(distinct, pa.int32()), listed,
                 ], schema=schema)
                 row += len(found)
 
-    return read.mapInArrow(run, f"row long, doc_id {kind.simpleString()}, start int, words int, hash long, bands array<long>")
+    return read.mapInArrow(run, f"row long, doc_id {kind.simpleString()}, start int, words int, hash long, shingles int, bands array<long>")
 
 
 def colliding(paragraphs: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of distinct paragraphs (``hash, words, bands``) that a band brings together."""
+    """Pairs ``a, b`` of distinct paragraphs (``hash, words, bands``) that a band brings together.
+
+    ``words`` is the number of distinct shingles, which bounds the similarity of two paragraphs.
+    """
     banded = paragraphs.select("hash", "words", F.posexplode("bands").alias("at", "band"), "bands").select(
         "band", F.element_at("bands", (F.col("at") + 1) % BANDS + 1).alias("next"), "hash", "words")
     counts = banded.groupBy("band").agg(F.count("*").alias("n"))
@@ -453,7 +463,7 @@ def repeated_spans(docs: DataFrame, least: float = 0.8, min_words: int = MIN_WOR
     repeated = materialize(stored.groupBy("hash").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter(
         "low < high").select("hash"))
     paragraphs = materialize(stored.filter(F.size("bands") > 0).groupBy("hash").agg(
-        F.min("words").alias("words"), F.min("bands").alias("bands")))
+        F.min("shingles").alias("words"), F.min("bands").alias("bands")))
     linked = linked_paragraphs(paragraphs, docs, least).withColumnRenamed("node", "hash")
     alone = repeated.join(linked, "hash", "left_anti").select("hash", F.col("hash").alias("root"))
     classed = materialize(linked.select("hash", "root").unionByName(alone))

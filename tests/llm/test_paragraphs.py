@@ -176,3 +176,15 @@ def test_every_two_rows_of_a_long_posting_meet(spark, monkeypatch, leaders):
     assert got == {(i, j) for i in range(220) for j in range(i + 1, 220)}
     one = spark.createDataFrame([(i, 0) for i in range(220)], "node long, root long")
     assert paragraphs.crossing(postings, one, 0.8, leaders).isEmpty()
+
+
+def test_a_line_and_the_same_line_twice_are_linked(documents):
+    rng = random.Random(14)
+    line = passage(rng, 30)
+    one, other = line, f"{line} {line}"
+    sets = [paragraphs.shingle_set(t.encode()) for t in (one, other)]
+    assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+    docs = documents([(1, one), (2, other)])
+    got = {(r.doc_id, r.first_word, r.n_words, r.class_id, r.removed) for r in paragraphs.repeated_spans(docs).collect()}
+    # Without the paragraphs' link, equal pieces mark less than the whole lines.
+    assert got == {(1, 0, 30, 1, False), (2, 0, 60, 1, True)}
