@@ -9,7 +9,7 @@ keep gender and script.
 
 Surrogates are checked before use: one that equals another entity's surrogate, or a real
 entity, is drawn again, round by round, until all differ. Distinct entities therefore stay
-distinct, over the whole table.
+distinct, over the whole table. Where a format has no free value left, its surrogates grow.
 
 Only documents with entities move, and of their entities only the distinct ones are mapped.
 All of it is built-in functions.
@@ -30,6 +30,8 @@ from fathomix.session import materialize, release
 
 # Draws of one entity before giving up: the format then has no free value left.
 MAX_ROUNDS = 64
+# After every so many draws an entity's surrogate gets one more character.
+GROW_EVERY = 8
 
 _MALE = r"(?:Mr|Mister|Herrn?|Monsieur|Señor|Sr|господин|г-н)"
 _FEMALE = r"(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|госпожа|г-жа)"
@@ -130,11 +132,20 @@ def _luhn_total(digits: Column) -> Column:
         F.lit(0), lambda total, x: total + x)
 
 
-def _redrawn(seed: Column, name_class: Column, canonical: Column) -> Column:
-    """Each digit and ASCII letter redrawn in its own class; hex stays hex and domains keep their ending."""
+def _redrawn(seed: Column, name_class: Column, canonical: Column, attempt: Column) -> Column:
+    """Each digit and letter redrawn in its own class; hex stays hex and domains keep their ending.
+
+    Late attempts are longer: numbers at their end, the others at their start.
+    """
     hexed = (name_class == "secret") & canonical.rlike("^[0-9a-f]+$")
     kept = F.when(name_class == "email", F.length(F.regexp_extract(canonical, r"\.[^.]*$", 0))).otherwise(F.lit(0))
 
+    fixed = (name_class == "email") & ~F.left(canonical, F.length(canonical) - kept).rlike(r"[0-9\p{L}]")
+    extra = F.floor(attempt / GROW_EVERY).cast("int") + fixed.cast("int")
+    valid = (name_class == "card") & (_luhn_total(canonical) % 10 == 0)
+    canonical = F.when(name_class.isin(*_DIGITS_ONLY), F.concat(canonical, F.repeat(F.lit("0"), extra))).otherwise(
+        F.concat(F.repeat(F.lit("a"), extra), canonical))
+
     def redraw(char: Column, i: Column) -> Column:
         draw = F.xxhash64(seed, i)
         digit = F.pmod(draw, F.lit(10)).cast("string")
@@ -147,7 +158,6 @@ def _redrawn(seed: Column, name_class: Column, canonical: Column) -> Column:
         F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(F.xxhash64(seed, i), F.lit(254)) + 1).cast("string")), ".")
     base = F.concat(F.left(drawn, F.length(drawn) - 1), F.lit("0"))
     checked = F.concat(F.left(drawn, F.length(drawn) - 1), ((10 - _luhn_total(base) % 10) % 10).cast("string"))
-    valid = (name_class == "card") & (_luhn_total(canonical) % 10 == 0)
     return F.when(name_class == "ip", octets).when(valid, checked).otherwise(drawn)
 
 
@@ -156,7 +166,7 @@ def _surrogate(key: str, attempt: int) -> Column:
     seed = F.sha2(F.concat_ws("\u0001", F.lit(key), name_class, canonical, F.lit(str(attempt))), 256)
     named = (name_class == "surname") | name_class.startswith("given")
     return F.when(named, _invented_name(seed, name_class, canonical, F.lit(attempt))).otherwise(
-        _redrawn(seed, name_class, canonical))
+        _redrawn(seed, name_class, canonical, F.lit(attempt)))
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
@@ -195,18 +205,22 @@ def _written(match: Column, kind: Column, parts: Column) -> Column:
     titled = F.concat(F.regexp_extract(match, rf"^{_TITLE}", 0), F.when(upper, F.upper(names)).otherwise(names))
     whole = F.element_at(parts, 1)
     chars = F.split(match, "")
+    skipped = F.when(match.rlike(_HOME_CODE), F.lit(1)).otherwise(F.lit(0))
+    grown = F.greatest(F.length(whole) - F.length(F.lower(match)), F.lit(0))
+    tail = F.substring(whole, F.length(F.regexp_replace(match, "[^0-9]", "")) - skipped + 1, F.length(whole))
 
     def char(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(match, F.lit(1), i), "[^0-9]", ""))
         plus = F.length(F.regexp_replace(F.regexp_extract(match, r"^\+[0-9]{1,3}(?=[^0-9])", 0), "[^0-9]", ""))
-        skipped = F.when(match.rlike(_HOME_CODE), F.lit(1)).otherwise(F.lit(0))
         digits = F.when(
             c.rlike("[0-9]") & (before >= plus), F.substring(whole, before - skipped + 1, F.lit(1))).otherwise(c)
-        own = F.substring(whole, i + 1, F.lit(1))
+        own = F.substring(whole, i + grown + 1, F.lit(1))
         cased = F.when((c != F.lower(c)) & (c == F.upper(c)), F.upper(own)).otherwise(own)
         return F.when(kind.isin(*_DIGITS_ONLY), digits).otherwise(cased)
 
     formatted = F.concat_ws("", F.transform(chars, char))
+    formatted = F.when(kind.isin(*_DIGITS_ONLY), F.concat(formatted, tail)).otherwise(
+        F.concat(F.left(whole, grown), formatted))
     return F.when(kind == "person", titled).when(kind == "ip", whole).otherwise(formatted)
 
 

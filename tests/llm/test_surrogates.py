@@ -98,3 +98,23 @@ def test_odd_rows(odd, empty, documents):
 def test_only_built_in_functions(documents):
     plan = surrogates.replace_entities(documents(list(TEXT.items())), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_addresses_without_letters_and_full_formats_grow(documents):
+    """Junk addresses have nothing to redraw, and all 676 addresses of one form leave no free value."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    full = [f"{a}@{b}.co" for a in letters for b in letters]
+    rows = [(1, "x _@-.com y --@-.- z"), (2, " ".join(full)), (3, "--@-.- A@A.CO")]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(documents(rows), "k").collect()}
+    one = re.fullmatch(r"x ([a-z]+_@-\.com) y ([a-z]+--@-\.-) z", got[1])
+    assert one and got[3].split()[0] == one[2]
+    words = got[2].split(" ")
+    assert len(set(words)) == 676 and not set(words) & set(full)
+    assert got[3].split()[1].lower() == words[0]
+
+
+def test_grown_numbers_keep_their_format(spark):
+    frame = spark.createDataFrame([("407-555-7710", "phone", "12345678901"), ("+1 (407) 555-7710", "phone", "12345678901"),
+                                   ("Ab-Cd", "secret", "xyqr-st"), ("Ab-Cd", "secret", "qr-st")], "m string, k string, w string")
+    got = [r[0] for r in frame.select(surrogates._written(F.col("m"), F.col("k"), F.array("w"))).collect()]
+    assert got == ["123-456-78901", "+1 (123) 456-78901", "xyQr-St", "Qr-St"]
