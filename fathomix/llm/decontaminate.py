@@ -184,7 +184,7 @@ def scan(index: Index, texts: list[bytes]) -> list[tuple[int, int, float, int]]:
     ends = np.array(ends, np.int64)
     widest = max((c.size for c in index.classes), default=0)
     hashes = word_hashes(parts)
-    tried: set[tuple[int, int]] = set()
+    tried: set[tuple[int, int, int]] = set()
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for at in range(0, len(parts), CHUNK):
         own = hashes[at:at + CHUNK + widest - 1]
@@ -201,9 +201,9 @@ def scan(index: Index, texts: list[bytes]) -> list[tuple[int, int, float, int]]:
                 item = int(one.item[m])
                 low, high = int(ends[text - 1]) if text else 0, int(ends[text])
                 first = place - int(one.offset[m])
-                if (item, first) in tried:
+                if (text, item, first) in tried:
                     continue
-                tried.add((item, first))
+                tried.add((text, item, first))
                 start, stop = max(first, low), min(first + index.lengths[item], high)
                 like = similarity(shingles(parts[start:stop], index.shingle), index.shingles[item])
                 if like >= index.least and (like, low - start) > best.get((text, item), (0.0, 0)):

@@ -105,3 +105,14 @@ def test_odd_rows(spark, odd, empty, documents):
     kept = dc.clean(odd, items)
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} >= {1, 2, 4, 8} and {r.doc_id for r in kept.collect()}.isdisjoint({3, 5, 7})
+
+
+def test_the_text_before_does_not_change_a_copy_at_the_start_of_the_next():
+    for seed in range(40):
+        rng = random.Random(seed)
+        item = [f"i{rng.randrange(10**6)}" for _ in range(60)]
+        index = dc.build_index([(1, " ".join(item))], 5, 0.8, 7)
+        before = " ".join(f"a{rng.randrange(10**6)}" for _ in range(80)).encode()
+        copy = " ".join([*item[5:], *(f"b{rng.randrange(10**6)}" for _ in range(60))]).encode()
+        alone = [hit[1:] for hit in dc.scan(index, [copy])]
+        assert alone and alone == [hit[1:] for hit in dc.scan(index, [before, copy]) if hit[0] == 1]
