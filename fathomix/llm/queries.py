@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomix.llm import (
-    decontaminate, edit_counts, kneser_ney, packing, paragraphs, quality, shards, simhash, surrogates, tokens, vamana,
+    decontaminate, edit_counts, kneser_ney, packing, paragraphs, pieces, quality, shards, simhash, surrogates, tokens, vamana,
 )
 
 
@@ -77,8 +77,16 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encoded(_table(spark, sf_dir, "documents"), pieces.DEFAULT)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_kneser_ney_scores, op3_benchmark_decontamination, op4_quality_classifier,
     op5_pii_surrogates, op6_graph_neighbours, op7_mixture_packing, op8_edit_aware_counts, op9_repeated_passages,
-    op10_hash_tree_sharding,
+    op10_hash_tree_sharding, op11_piece_ids,
 )}
