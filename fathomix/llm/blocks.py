@@ -55,16 +55,17 @@ def unsqueeze(data: bytes) -> bytes:
 def pack(values: np.ndarray) -> bytes:
     """Whole numbers from 0 on, as compressed byte planes of the narrowest width."""
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    wide = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)
+    size = 4 if width <= 4 else 8
+    wide = np.ascontiguousarray(values, f"<u{size}").view(np.uint8).reshape(-1, size)
     return bytes([width]) + squeeze(np.ascontiguousarray(wide[:, :width].T).tobytes())
 
 
-def unpack(packed: bytes) -> np.ndarray:
+def unpack(packed: bytes, kind: type = np.int64) -> np.ndarray:
     width = packed[0]
     raw = np.frombuffer(unsqueeze(packed[1:]), np.uint8).reshape(width, -1)
-    wide = np.zeros((raw.shape[1], 8), np.uint8)
+    wide = np.zeros((raw.shape[1], 4 if width <= 4 else 8), np.uint8)
     wide[:, :width] = raw.T
-    return wide.view("<u8").ravel().astype(np.int64)
+    return wide.view("<u4" if width <= 4 else "<u8").ravel().astype(kind, copy=False)
 
 
 def pack_ascending(values: np.ndarray) -> bytes:
@@ -72,7 +73,7 @@ def pack_ascending(values: np.ndarray) -> bytes:
 
 
 def unpack_ascending(packed: bytes) -> np.ndarray:
-    return unpack(packed).astype(np.uint64).cumsum(dtype=np.uint64)
+    return unpack(packed, np.uint64).cumsum(dtype=np.uint64)
 
 
 def pack_texts(texts: Sequence[bytes]) -> bytes:

@@ -169,7 +169,7 @@ def _reply(lengths: np.ndarray, ids: np.ndarray) -> bytes:
 
 def _ids(reply: bytes) -> tuple[np.ndarray, np.ndarray]:
     size = int.from_bytes(reply[:4], "little")
-    return unpack(reply[4:4 + size]), unpack(reply[4 + size:])
+    return unpack(reply[4:4 + size]), unpack(reply[4 + size:], np.uint32)
 
 
 def chunk_requests(stored: DataFrame, shards: int) -> DataFrame:
@@ -212,7 +212,7 @@ def encoded(
 def _joined(row: dict, processor, shards: int, last: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:
     """A block's rows with the ids and decoded texts of their chunks joined by position."""
     kept, lengths = _table_of(unsqueeze(row["kept"])), unpack(row["lengths"])
-    numbers, vocab = unpack(row["numbers"]).astype(np.int32), unpack_texts(row["vocab"])
+    numbers, vocab = unpack(row["numbers"], np.uint32), unpack_texts(row["vocab"])
     sizes, ids = _by_chunk(owners_of_texts(vocab, shards), row["replies"])
     del vocab
     at = sizes.cumsum() - sizes

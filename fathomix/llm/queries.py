@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomix.llm import (
-    decontaminate, edit_counts, kneser_ney, packing, paragraphs, pieces, quality, shards, simhash, surrogates, tokens, vamana,
+    collocations, decontaminate, edit_counts, kneser_ney, packing, paragraphs, pieces, quality, shards, simhash, surrogates,
+    tokens, vamana,
 )
 
 
@@ -85,8 +86,12 @@ def op11_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_kneser_ney_scores, op3_benchmark_decontamination, op4_quality_classifier,
     op5_pii_surrogates, op6_graph_neighbours, op7_mixture_packing, op8_edit_aware_counts, op9_repeated_passages,
-    op10_hash_tree_sharding, op11_piece_ids,
+    op10_hash_tree_sharding, op11_piece_ids, op12_phrase_collocations,
 )}
