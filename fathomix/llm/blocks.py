@@ -123,6 +123,19 @@ def per_row(
     return rows.mapInArrow(run, schema)
 
 
+def table_bytes(batches: Sequence[pa.RecordBatch], schema: pa.Schema) -> bytes:
+    """Rows of any types, for a block's binary column."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as writer:
+        for batch in batches:
+            writer.write_batch(pa.RecordBatch.from_arrays(batch.columns, schema=schema))
+    return sink.getvalue().to_pybytes()
+
+
+def table_of(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
 def stored_by(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` written to the shared folder in buckets of ``key``; joins by it leave them in place.
 

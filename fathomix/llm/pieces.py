@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from fathomix.llm.blocks import (
     Numbers, by_frequency, grouped, owners_of_texts, pack, pack_texts, per_row, rows_of, squeeze, stored_by,
-    unpack, unpack_texts, unsqueeze, with_replies,
+    table_bytes, table_of, unpack, unpack_texts, unsqueeze, with_replies,
 )
 from fathomix.llm.common import per_worker, shuffle_partitions, text_bytes
 
@@ -97,7 +97,7 @@ def store_blocks(docs: DataFrame, keep: tuple[str, ...], block_chunks: int = BLO
             numbers, order, _ = by_frequency(np.concatenate(held), len(vocab))
             values = list(vocab)
             return pa.RecordBatch.from_pylist([{
-                "block": number, "kept": squeeze(_table_bytes(kept, kept_schema)), "lengths": pack(np.array(lengths)),
+                "block": number, "kept": squeeze(table_bytes(kept, kept_schema)), "lengths": pack(np.array(lengths)),
                 "vocab": pack_texts([values[i].encode() for i in order.tolist()]), "numbers": pack(numbers),
                 "size": len(vocab),
             }], out)
@@ -124,18 +124,6 @@ def store_blocks(docs: DataFrame, keep: tuple[str, ...], block_chunks: int = BLO
         run, "block long, kept binary, lengths binary, vocab binary, numbers binary, size long"), "block")
 
 
-def _table_bytes(batches: list[pa.RecordBatch], schema: pa.Schema) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, schema) as writer:
-        for batch in batches:
-            writer.write_batch(pa.RecordBatch.from_arrays(batch.columns, schema=schema))
-    return sink.getvalue().to_pybytes()
-
-
-def _table_of(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all().combine_chunks()
-
-
 def segmented(requests: DataFrame, model: str) -> DataFrame:
     """``shard, block, reply``: the ids of each request's chunks, each distinct chunk segmented once."""
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("reply", pa.binary())])
@@ -211,7 +199,7 @@ def encoded(
 
 def _joined(row: dict, processor, shards: int, last: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:
     """A block's rows with the ids and decoded texts of their chunks joined by position."""
-    kept, lengths = _table_of(unsqueeze(row["kept"])), unpack(row["lengths"])
+    kept, lengths = table_of(unsqueeze(row["kept"])), unpack(row["lengths"])
     numbers, vocab = unpack(row["numbers"], np.uint32), unpack_texts(row["vocab"])
     sizes, ids = _by_chunk(owners_of_texts(vocab, shards), row["replies"])
     del vocab

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomix.llm import (
-    collocations, decontaminate, edit_counts, kneser_ney, packing, paragraphs, pieces, quality, shards, simhash, surrogates,
-    tokens, vamana,
+    alignment, collocations, decontaminate, edit_counts, kneser_ney, packing, paragraphs, pieces, quality, shards,
+    simhash, surrogates, tokens, vamana,
 )
 
 
@@ -90,8 +90,16 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mined(_table(spark, sf_dir, "documents"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = "array_join(cast({} as array<string>), ',')"
+    spelt = f"array_join(transform(groups, g -> concat({ids.format('g.a')}, '|', {ids.format('g.b')})), ';')"
+    aligned = alignment.aligned(_table(spark, sf_dir, "documents"))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.expr(
+        f"CASE WHEN n_groups = 0 THEN '' ELSE sha2({spelt}, 256) END").alias("groups_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_kneser_ney_scores, op3_benchmark_decontamination, op4_quality_classifier,
     op5_pii_surrogates, op6_graph_neighbours, op7_mixture_packing, op8_edit_aware_counts, op9_repeated_passages,
-    op10_hash_tree_sharding, op11_piece_ids, op12_phrase_collocations,
+    op10_hash_tree_sharding, op11_piece_ids, op12_phrase_collocations, op13_tokenizer_alignment,
 )}
