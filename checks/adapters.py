@@ -238,3 +238,39 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 != 0, (k % 360 - 180).cast("double")).alias("min_lon"),
         F.when(k % 8 != 0, (k * 11 % 360 - 180).cast("double")).alias("max_lon"),
     )
+
+
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as keyword queries: phrases, words, unwanted words, short pieces and everything."""
+    d, words = F.col("doc_id"), F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+
+    def word(i: int):
+        return F.coalesce(F.try_element_at(words, F.lit(i)), F.lit("of"))
+
+    text = (
+        F.when(d % 7 == 0, F.concat(F.lit('"'), word(1), F.lit(" "), word(2), F.lit('"')))
+        .when(d % 7 == 1, F.concat(word(1), F.lit("  "), F.when(word(2).rlike("^[a-z]+$"), F.upper(word(2))).otherwise(word(2))))
+        .when(d % 7 == 2, F.concat(word(1), F.lit(" -"), word(3)))
+        .when(d % 7 == 3, F.left(word(1), F.lit(2)))
+        .when(d % 7 == 4, F.concat(F.left(word(1), F.lit(1)), F.lit(" "), word(2)))
+        .when(d % 7 == 5, F.concat(F.lit("all -"), word(1)))
+        .otherwise(F.concat(F.lit("record "), d.cast("string")))
+    )
+    return table(spark, sf_dir, "documents").select(d.alias("query_id"), text.alias("query"))
+
+
+def mixed_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations whose datasets name their columns in five ways."""
+    u, t, s = F.col("dataset_id").cast("int"), F.col("temperature"), F.col("salinity")
+
+    def named(*pairs):
+        return F.create_map(*[part for name, value in pairs for part in (F.lit(name), value)])
+
+    values = (
+        F.when(u % 5 == 0, named(("temperature (Celsius)", t), ("salinity (1)", s)))
+        .when(u % 5 == 1, named(("SALINITY", s), ("Temp", s), ("TEMP", t)))
+        .when(u % 5 == 2, named(("temp", t), ("TEMPERATURE", s)))
+        .when(u % 5 == 3, named(("water", t)))
+        .otherwise(named(("temperature (C)", t), ("temperature (F)", s)))
+    )
+    return observations(spark, sf_dir).select("dataset_id", "row_idx", "time", values.alias("values"))

@@ -134,6 +134,18 @@ _oracle("subset_distinct", "SELECT DISTINCT dataset_id, depth, temperature_qc FR
 _oracle("subset_unconstrained", """SELECT o.* FROM obs o JOIN ranges r USING (dataset_id)
   WHERE o.lat BETWEEN r.lat_min AND r.lat_max AND o.lon BETWEEN r.lon_min AND r.lon_max""", OBS, RANGES)
 
+_oracle("thin_stored", f"SELECT dataset_id, row_idx, temperature FROM {_thinned('(SELECT * FROM obs WHERE temperature IS NOT NULL AND lat IS NOT NULL)', 5)}", OBS)
+_oracle("thin_all_stored", f"SELECT dataset_id, row_idx FROM {_thinned('obs', 4)}", OBS)
+_oracle("stored_datasets", """SELECT dataset_id, row_idx, temperature FROM obs
+  WHERE dataset_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 2 = 0)""", OBS)
+_NAMED = "named AS (SELECT *, CAST(dataset_id AS INTEGER) % 5 AS kind FROM obs)"
+_oracle("mixed_timeseries", f"""SELECT dataset_id, row_idx, time AS x, temperature AS y
+  FROM {_thinned('(SELECT * FROM named WHERE kind < 3 AND temperature IS NOT NULL AND time IS NOT NULL)', 3)}""", OBS, _NAMED)
+_oracle("mixed_unresolved", """SELECT DISTINCT dataset_id, wanted, CASE
+    WHEN kind = 3 OR wanted = 'salt' THEN 'no column matches ' || wanted ELSE 'several columns are named temperature' END AS reason
+  FROM named, (VALUES ('temp'), ('salt')) w(wanted)
+  WHERE kind >= 3 OR (wanted = 'salt' AND kind = 2)""", OBS, _NAMED)
+
 # --- catalog trees (used above by the address queries too) ------------------------------
 
 _URL = "'https://files.example.org/'"
@@ -380,6 +392,27 @@ def _moment(column: str) -> str:
 
 _oracle("bounds_as_times", f"""SELECT request_id, {_moment('low')} AS from_time, {_moment('high')} AS to_time FROM (
   SELECT request_id, {_padded('min_time', 'T00:00:00Z')} AS low, {_padded('max_time', 'T23:59:59Z')} AS high FROM requests)""", REQUESTS)
+TYPED = f"""typed AS (
+  SELECT *, CASE WHEN from_time <> '' THEN {_moment('from_time')} END AS f, CASE WHEN to_time <> '' THEN {_moment('to_time')} END AS t
+  FROM resolved)"""
+_oracle("rows_for_requests", """SELECT request_id, o.dataset_id, o.row_idx, o.time, o.temperature
+  FROM obs o JOIN typed r USING (dataset_id)
+  WHERE (r.from_time = '' OR o.time >= f) AND (r.to_time = '' OR o.time <= t)
+    AND o.lat BETWEEN r.from_lat AND r.to_lat AND o.lon BETWEEN r.from_lon AND r.to_lon""", COVERAGE, REQUESTS,
+        "asked AS (SELECT * FROM requests JOIN coverage USING (dataset_id))", _resolved("asked"), TYPED)
+_oracle("requests_without_coverage", f"""SELECT request_id, dataset_id, CASE WHEN known THEN 'ok' ELSE 'no_coverage' END AS status,
+    {', '.join(f'CASE WHEN known THEN {c} END AS {c}' for c in ('from_time', 'to_time', 'from_lat', 'to_lat', 'from_lon', 'to_lon'))}
+  FROM resolved""", COVERAGE, REQUESTS, """
+asked AS (SELECT * FROM requests LEFT JOIN (
+    SELECT *, true AS known FROM coverage WHERE CAST(dataset_id AS INTEGER) % 3 <> 1) USING (dataset_id))""", _resolved("asked"))
+_oracle("bounds_null_keys", """SELECT o.dataset_id, o.row_idx, o.time, o.lat, o.lon
+  FROM holed o JOIN resolved r ON o.dataset_id IS NOT DISTINCT FROM r.dataset_id
+  WHERE (r.from_time = '' OR o.time >= CAST(r.from_time AS TIMESTAMP)) AND (r.to_time = '' OR o.time <= CAST(r.to_time AS TIMESTAMP))
+    AND o.lat BETWEEN r.from_lat AND r.to_lat AND o.lon BETWEEN r.from_lon AND r.to_lon""", f"""{RAW},
+holed AS (SELECT CASE WHEN event_id % 3 <> 0 THEN dataset_id END AS dataset_id, event_id AS row_idx, time, lat, lon FROM raw),
+{RANGES.replace('FROM obs', 'FROM holed')},
+{COVERAGE[COVERAGE.index('coverage AS ('):]},
+asked AS (SELECT coverage.*, {WINDOW} FROM coverage)""", _resolved("asked"))
 _RELATIVE_DAYS = "to_days(CAST(regexp_extract({0}, '[0-9]+') AS INTEGER))"
 
 
@@ -452,7 +485,22 @@ _oracle("search_facets", """SELECT dataset_id, title, rank FROM idx WHERE list_c
 _oracle("search_two_variables", f"SELECT dataset_id, title FROM idx WHERE {_has('temperature_qc')} AND {_has('salinity')}", INDEX)
 _REGION_TEST = """time_max >= TIMESTAMP '2024-01-05' AND time_min <= TIMESTAMP '2024-01-25'
   AND lat_max >= -30 AND lat_min <= 35 AND lon_max >= -120 AND lon_min <= 100"""
+_oracle("search_regions", f"""SELECT request_id AS region_id, idx.dataset_id, rank FROM idx, requests
+  WHERE (coalesce(min_time, '') = '' OR time_max >= {_moment('min_time')})
+    AND (coalesce(max_time, '') = '' OR time_min <= {_moment('max_time')})
+    AND (min_lat IS NULL OR lat_max >= min_lat) AND (max_lat IS NULL OR lat_min <= max_lat)
+    AND (min_lon IS NULL OR lon_max >= min_lon) AND (max_lon IS NULL OR lon_min <= max_lon)""", INDEX, REQUESTS)
 _oracle("search_region", f"SELECT dataset_id, rank FROM idx WHERE {_REGION_TEST}", INDEX)
+_oracle("search_many", """SELECT query_id, idx.dataset_id, rank FROM (
+    SELECT query_id, CASE k WHEN 0 THEN [w1 || ' ' || w2] WHEN 1 THEN [w1, w2] WHEN 2 THEN [w1] WHEN 3 THEN [w1[1:2]]
+        WHEN 4 THEN [w1[1:1], w2] WHEN 5 THEN [] ELSE ['record', CAST(query_id AS VARCHAR)] END AS wanted,
+      CASE k WHEN 2 THEN w3 WHEN 5 THEN w1 END AS unwanted
+    FROM (SELECT doc_id AS query_id, doc_id % 7 AS k, coalesce(ws[1], 'of') AS w1, coalesce(ws[2], 'of') AS w2, coalesce(ws[3], 'of') AS w3
+      FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS ws FROM documents))) q,
+    (SELECT dataset_id, rank, words || ' ' || lower(concat_ws(' ', array_to_string(standard_names, ' '), array_to_string(variable_names, ' '))) AS searched FROM idx) idx
+  WHERE len(list_filter(wanted, lambda w: NOT contains(searched, w))) = 0 AND (unwanted IS NULL OR NOT contains(searched, unwanted))""", INDEX)
+_oracle("leaves_many", """SELECT c_custkey AS query_id, name, catalog_url FROM leaves, customer
+  WHERE contains(lower(name), lower(CASE WHEN c_custkey % 3 = 0 THEN 'ORDER-1' ELSE '' END || c_custkey))""", TREE)
 _oracle("search_unique", f"""SELECT institution, ioos_category, min(rank) AS rank FROM idx WHERE {_has('record')}
   GROUP BY institution, ioos_category""", INDEX)
 _oracle("search_preview", f"""SELECT dataset_id, title, rank, count(*) OVER () AS total, greatest(count(*) OVER () - 30, 0) AS more
@@ -675,5 +723,9 @@ _oracle("last_user_texts", """SELECT conv_id, coalesce(arg_max(text, turn) FILTE
   FROM conversations GROUP BY conv_id""")
 _oracle("registry_latest", """SELECT conv_id, role, turn, text FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1""")
+_oracle("registry_null_sequence", """SELECT conv_id, role, turn, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC NULLS LAST) AS n FROM (
+    SELECT conv_id, role, CASE WHEN turn > 1 AND conv_id % 2 = 0 THEN turn END AS turn, min(text) AS text
+    FROM conversations GROUP BY ALL)) WHERE n = 1""")
 _oracle("artifacts_appended", """SELECT conv_id, turn, text FROM conversations
   UNION ALL SELECT doc_id, length(text), text FROM documents""")

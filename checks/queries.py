@@ -18,6 +18,7 @@ from fathomix.operators import (
     coverage as profiling,
     discovery,
     nested,
+    postings,
     sampling,
     summaries,
     tree,
@@ -26,7 +27,7 @@ from fathomix.operators.constraints import Bounds
 from fathomix.operators.skew import lookup_join
 from fathomix.plans import export, plotdata
 from fathomix.session import materialize, shared_folder
-from fathomix.sources import output, tables
+from fathomix.sources import numbered, output, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,6 +84,40 @@ def position_null_order(spark, d):
     return placed.select("dataset_id", "row_idx", "position")
 
 
+def _store(spark, d):
+    path = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
+    return numbered.write_numbered(adapters.observations(spark, d), path, f"numbered_{uuid.uuid4().hex}", parts=8, block_rows=64)
+
+
+@query
+def thin_stored(spark, d):
+    """Complete rows, thinned where the store keeps them."""
+    rows = columns.drop_missing(_store(spark, d).rows, "temperature", "lat")
+    return numbered.thin_stored(rows, 5).select("dataset_id", "row_idx", "temperature")
+
+
+@query
+def thin_all_stored(spark, d):
+    return numbered.thin_all(_store(spark, d), 4).select("dataset_id", "row_idx")
+
+
+@query
+def stored_datasets(spark, d):
+    """The rows of the datasets that customers ask for, from their folders only."""
+    asked = adapters.table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("dataset_id"))
+    return _store(spark, d).of_datasets(asked).select("dataset_id", "row_idx", "temperature")
+
+
+@query
+def mixed_timeseries(spark, d):
+    return plotdata.mixed_timeseries(adapters.mixed_observations(spark, d), "temp", step=3)[0].points
+
+
+@query
+def mixed_unresolved(spark, d):
+    return plotdata.mixed_timeseries(adapters.mixed_observations(spark, d), "temp", "salt")[1]
+
+
 @query
 def read_back(spark, d):
     """The subset in every format, written and read again."""
@@ -274,6 +309,34 @@ def bounds_as_times(spark, d):
     )
 
 
+@query
+def rows_for_requests(spark, d):
+    """Every request's observations, several requests to a dataset."""
+    resolved = constraints.bound_requests(adapters.requests(spark, d), adapters.coverage(spark, d))
+    rows = adapters.observations(spark, d).select("dataset_id", "row_idx", "time", "lat", "lon", "temperature")
+    return constraints.rows_for_requests(rows, resolved, as_of=as_of()).drop("lat", "lon")
+
+
+@query
+def requests_without_coverage(spark, d):
+    """Requests with their status; the coverage lacks every third dataset."""
+    known = adapters.coverage(spark, d).filter("dataset_id % 3 <> 1")
+    resolved = constraints.bound_requests(adapters.requests(spark, d), known)
+    # Without a coverage only what was asked for is known.
+    bounds = [F.when(F.col("status") == "ok", F.col(c)).alias(c) for c in constraints.RESOLVED_COLUMNS]
+    return resolved.select("request_id", "dataset_id", "status", *bounds)
+
+
+@query
+def bounds_null_keys(spark, d):
+    """Observations without a dataset are a dataset like others."""
+    e = F.col("row_idx")
+    rows = adapters.observations(spark, d).select(
+        F.when(e % 3 != 0, F.col("dataset_id")).alias("dataset_id"), "row_idx", "time", "lat", "lon")
+    cover = materialize(profiling.observed_coverage(rows))
+    return constraints.rows_in_bounds(rows, constraints.resolve_bounds(cover, WINDOW))
+
+
 @query
 def clamped_requests(spark, d):
     joined = lookup_join(adapters.requests(spark, d), adapters.coverage(spark, d), ["dataset_id"])
@@ -350,6 +413,30 @@ def search_region(spark, d):
     return discovery.search_index(adapters.index(spark, d), bounds=REGION).select("dataset_id", "rank")
 
 
+@query
+def search_regions(spark, d):
+    """All requests' boxes and times against the coverage of all datasets."""
+    regions = adapters.requests(spark, d).withColumnRenamed("request_id", "region_id").drop("dataset_id")
+    return discovery.search_regions(adapters.index(spark, d).drop("summary", "keywords"), regions, as_of())
+
+
+@query
+def search_many(spark, d):
+    """Every query of a table, answered from the stored substring index."""
+    index = adapters.index(spark, d).drop("keywords")
+    return postings.search_many(postings.index_of_datasets(index, ["dataset_id", "rank"]), postings.parsed(adapters.queries(spark, d)))
+
+
+@query
+def leaves_many(spark, d):
+    """Name searches for all customers' numbers over all leaves."""
+    asked = adapters.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("query_id"),
+        F.concat(F.when(F.col("c_custkey") % 3 == 0, F.lit("ORDER-1")).otherwise(F.lit("")), F.col("c_custkey").cast("string")).alias("query"))
+    index = postings.index_of_leaves(adapters.tree(spark, d)[2])
+    return postings.search_many(index, postings.whole(asked))
+
+
 @query
 def search_unique(spark, d):
     found = discovery.search_index(adapters.index(spark, d), "record")
@@ -796,6 +883,16 @@ def registry_latest(spark, d):
     return conversation.latest_entries(rows, ["conv_id", "role"], "turn")
 
 
+@query
+def registry_null_sequence(spark, d):
+    """Updates without a sequence count as the oldest."""
+    t = F.col("turn")
+    rows = adapters.table(spark, d, "conversations").select(
+        "conv_id", "role", F.when((t > 1) & (F.col("conv_id") % 2 == 0), t).alias("turn"), "text")
+    once = rows.groupBy("conv_id", "role", "turn").agg(F.min("text").alias("text"))
+    return conversation.latest_entries(once, ["conv_id", "role"], "turn")
+
+
 @query
 def artifacts_appended(spark, d):
     rows = adapters.table(spark, d, "conversations").select("conv_id", "turn", "text")

@@ -11,6 +11,7 @@ Table-server and file-server data follow two different rule sets, and both are k
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
@@ -26,6 +27,12 @@ from fathomix.functions.times import (
 from fathomix.operators.skew import lookup_join
 from fathomix.session import materialize
 
+# Bins that an average request's window covers, the least width of one in microseconds, and the
+# bin of rows without a time.
+WINDOW_BINS = 8
+SHORTEST_BIN = 1_000_000
+NO_TIME = -(1 << 62)
+
 # The identifiers of up to this many datasets are given to the scan as constants.
 PUSHED_IDS = 100
 
@@ -34,6 +41,7 @@ DEFAULT_LON = (-180.0, 180.0)
 
 COVERAGE_COLUMNS = ("time_start", "time_end", "lat_min", "lat_max", "lon_min", "lon_max")
 REQUEST_COLUMNS = ("min_time", "max_time", "min_lat", "max_lat", "min_lon", "max_lon")
+NO_COVERAGE = "no_coverage"
 RESOLVED_COLUMNS = ("from_time", "to_time", "from_lat", "to_lat", "from_lon", "to_lon")
 
 
@@ -124,9 +132,15 @@ def coverage_bounds(coverage: DataFrame) -> DataFrame:
 
 
 def bound_requests(requests: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Resolve many requests, each against the coverage of its own dataset."""
-    cover = coverage.select("dataset_id", *COVERAGE_COLUMNS)
-    return resolve_bounds(lookup_join(requests, cover, ["dataset_id"]))
+    """Resolve many requests, each against the coverage of its own dataset.
+
+    No request is lost: one for a dataset without coverage has the ``status`` ``no_coverage``
+    instead of ``ok``, and gives no rows.
+    """
+    cover = coverage.select("dataset_id", *COVERAGE_COLUMNS, F.lit(True).alias("_covered"))
+    joined = lookup_join(requests, cover, ["dataset_id"], "left", nulls=True)
+    status = F.when(F.col("_covered"), F.lit("ok")).otherwise(F.lit(NO_COVERAGE))
+    return resolve_bounds(joined.withColumn("status", status).drop("_covered"))
 
 
 def clamp_bounds(
@@ -172,8 +186,8 @@ def clamp_bounds(
     return dated.withColumns(resolved).drop("_low", "_high", "_from", "_to", "_first", "_last")
 
 
-def typed_bounds(resolved: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Resolved bounds with real times: ``dataset_id`` and the six ends.
+def typed_bounds(resolved: DataFrame, as_of: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Resolved bounds with real times: ``dataset_id``, the ``keep`` columns and the six ends.
 
     A blank time end stays null, which means "no bound". An end that is neither ISO text
     nor a relative time bounds nothing it could be compared with, so ``status`` says so.
@@ -186,21 +200,30 @@ def typed_bounds(resolved: DataFrame, as_of: Column | None = None) -> DataFrame:
         given = F.coalesce(text != "", F.lit(False))
         bad = bad | (given & ~F.coalesce(readable_time(text), F.lit(False)))
         ends[name] = F.when(given, resolve_time(text, moment))
+    given = F.col("status") if "status" in resolved.columns else F.lit("ok")
     return resolved.select(
-        "dataset_id",
+        "dataset_id", *keep,
         *(column.alias(name) for name, column in ends.items()),
-        F.when(bad, F.lit("bad_time")).otherwise(F.lit("ok")).alias("status"),
+        F.when(bad, F.lit("bad_time")).otherwise(given).alias("status"),
     )
 
 
 def unreadable_bounds(resolved: DataFrame) -> DataFrame:
-    """Datasets that give no rows because a time bound cannot be read: ``dataset_id, reason``."""
+    """Requests that give no rows: ``dataset_id, reason``.
+
+    A time bound cannot be read, or the dataset has no coverage.
+    """
     reasons = [
         F.when((F.col(name) != "") & ~F.coalesce(readable_time(F.col(name)), F.lit(False)),
                F.concat(F.lit(f"{name} "), F.col(name), F.lit(" cannot be read")))
         for name in ("from_time", "to_time")
     ]
-    stored = materialize(resolved.select("dataset_id", "from_time", "to_time"))
+    if "status" in resolved.columns:
+        reasons.append(F.when(F.col("status") == NO_COVERAGE, F.lit("the dataset has no coverage")))
+        resolved = resolved.select("dataset_id", "from_time", "to_time", "status")
+    else:
+        resolved = resolved.select("dataset_id", "from_time", "to_time")
+    stored = materialize(resolved)
     return stored.select("dataset_id", F.concat_ws("; ", *reasons).alias("reason")).filter("reason <> ''")
 
 
@@ -256,12 +279,55 @@ def rows_in_bounds(
     widest = _widest(ends)
     near = observations.filter(_envelope(widest))
     if widest["n"] <= PUSHED_IDS:
-        ids = [row["dataset_id"] for row in ends.select("dataset_id").collect()]
-        near = near.filter(F.col("dataset_id").isin(ids))
-    joined = lookup_join(near, ends, ["dataset_id"], salt_by=["dataset_id", "row_idx"])
+        ids = {row["dataset_id"] for row in ends.select("dataset_id").collect()}
+        wanted = F.col("dataset_id").isin(sorted(ids - {None}))
+        near = near.filter(wanted | F.col("dataset_id").isNull() if None in ids else wanted)
+    joined = lookup_join(near, ends, ["dataset_id"], salt_by=["dataset_id", "row_idx"], nulls=True)
     return joined.filter(_inside()).drop(*RESOLVED_COLUMNS)
 
 
+def rows_for_requests(
+    observations: DataFrame, resolved: DataFrame, request: str = "request_id", as_of: Column | None = None
+) -> DataFrame:
+    """Observations inside each request's resolved bounds, ends included, with the ``request`` column.
+
+    A dataset may have any number of requests; a row in several of them returns with each. The
+    join is on the dataset and a bin of time: a row falls into one bin, a request into all that
+    its window meets. Bins are as wide as the average window over ``WINDOW_BINS``, so requests
+    are copied that often, and a dataset's rows are spread over tasks even where it holds most
+    of them. A window open on a side reaches to the end of the rows; rows without a time are
+    inside where both sides are open. Requests whose status is not ``ok`` give no rows.
+    """
+    boxes = materialize(typed_bounds(resolved, as_of, [request]).filter("status = 'ok'").drop("status"))
+    near = observations.filter(_envelope(_widest(boxes)))
+    span = near.agg(F.min("time").alias("first"), F.max("time").alias("last")).first()
+    first, last = (F.lit(None if t is None else str(t)).cast("timestamp_ntz") for t in span)
+    windows = boxes.withColumns({
+        "_low": _micros(F.greatest("from_time", first)), "_high": _micros(F.least("to_time", last)),
+    })
+    seen = windows.filter("_low <= _high")
+    mean = seen.agg(F.avg(F.col("_high") - F.col("_low"))).first()[0] or 0
+    width = max(int(mean) // WINDOW_BINS, SHORTEST_BIN)
+    bins = F.when(F.col("_low") <= F.col("_high"), F.sequence(_bin("_low", width), _bin("_high", width)))
+    timeless = F.when(F.col("from_time").isNull() & F.col("to_time").isNull(), F.array(F.lit(NO_TIME)))
+    none = F.array().cast("array<bigint>")
+    copies = windows.withColumn("_bin", F.explode(F.concat(F.coalesce(bins, none), F.coalesce(timeless, none))))
+    binned = near.withColumn("_time", _micros(F.col("time"))).withColumn(
+        "_bin", F.coalesce(_bin("_time", width), F.lit(NO_TIME))).drop("_time")
+    joined = lookup_join(binned, copies.drop("_low", "_high"), ["dataset_id", "_bin"],
+                         salt_by=["dataset_id", "row_idx"], nulls=True)
+    return joined.filter(_inside()).drop(*RESOLVED_COLUMNS, "_bin")
+
+
+def _micros(time: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), time)
+
+
+def _bin(name: str, width: int) -> Column:
+    """The bin of width ``width`` that holds a number, also below zero."""
+    return F.expr(f"(`{name}` - pmod(`{name}`, {width}L)) div {width}L")
+
+
 def dataset_in_bounds(
     observations: DataFrame,
     coverage: DataFrame,

@@ -74,9 +74,13 @@ def last_user_text(conversations: DataFrame) -> DataFrame:
 def latest_entries(
     updates: DataFrame, keys: Sequence[str], sequence: str
 ) -> DataFrame:
-    """Merge registry updates key by key; the update with the highest sequence wins."""
+    """Merge registry updates key by key; the update with the highest sequence wins.
+
+    An update without a sequence counts as the oldest, so a key that has no other keeps it.
+    """
     others = [c for c in updates.columns if c not in keys]
-    newest = F.max_by(F.struct(*others), sequence).alias("_newest")
+    place = F.struct(F.col(sequence).isNotNull(), sequence)
+    newest = F.max_by(F.struct(*others), place).alias("_newest")
     return updates.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
 
 

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fathomix.functions.text import clean_title, contains_text, is_qc_keyword, is_qc_variable
 from fathomix.functions.times import resolve_time
-from fathomix.operators.constraints import Bounds
+from fathomix.operators.constraints import DEFAULT_LAT, DEFAULT_LON, REQUEST_COLUMNS, Bounds
 from fathomix.operators.sampling import dense_row_index, first_page
+from fathomix.operators.skew import lookup_join
 from fathomix.session import materialize
 
 # The pseudo-dataset that lists all others, the protocols and the facets.
@@ -46,6 +47,7 @@ STANDARD_NAMES = {
     "density": "sea_water_density",
 }
 
+_COVERED = ("time_min", "time_max", "lat_min", "lat_max", "lon_min", "lon_max")
 _SEARCHED = ("dataset_id", "title", "summary", "institution", "ioos_category", "cdm_data_type")
 _SEARCHED_LISTS = ("keywords", "standard_names", "variable_names")
 
@@ -61,7 +63,8 @@ def search_terms(query: str) -> tuple[list[str], list[str]]:
     return ([] if wanted == ["all"] else wanted), unwanted
 
 
-def _searchable(index: DataFrame) -> Column:
+def searchable_text(index: DataFrame) -> Column:
+    """All metadata of a row that a keyword search reads, in lower case."""
     plain = [F.col(c).cast("string") for c in _SEARCHED if c in index.columns]
     lists = [F.array_join(c, " ") for c in _SEARCHED_LISTS if c in index.columns]
     return F.lower(F.concat_ws(" ", *plain, *lists))
@@ -70,7 +73,7 @@ def _searchable(index: DataFrame) -> Column:
 def matches_query(index: DataFrame, query: str) -> Column:
     """Whether all wanted terms and no unwanted one occur in a row's metadata, in any case."""
     wanted, unwanted = search_terms(query)
-    text = _searchable(index)
+    text = searchable_text(index)
     test = F.lit(True)
     for term in wanted:
         test = test & text.contains(term)
@@ -103,6 +106,85 @@ def overlaps(bounds: Bounds, as_of: Column | None = None) -> Column:
     return test
 
 
+# The finest grid of ``search_regions`` has 2 to this power cells a side.
+FINEST = 12
+_AXES = {"lat": DEFAULT_LAT, "lon": DEFAULT_LON}
+
+
+def _on_grid(rows: DataFrame, low: str, high: str) -> DataFrame:
+    """Add the ends of each row's box in cells of the finest grid, and its ``_level``.
+
+    An open side reaches the edge of the world. On its level a box meets at most two cells a
+    side; level 0 is a single cell.
+    """
+    ends = {}
+    for axis, (first, last) in _AXES.items():
+        a = F.coalesce(F.col(low.format(axis)), F.lit(first))
+        b = F.coalesce(F.col(high.format(axis)), F.lit(last))
+        for name, end in (("low", F.least(a, b)), ("high", F.greatest(a, b))):
+            cell = F.floor((end - first) * ((1 << FINEST) / (last - first)))
+            ends[f"_{axis}_{name}"] = F.greatest(F.least(cell, F.lit((1 << FINEST) - 1)), F.lit(0)).cast("long")
+    cells = rows.withColumns(ends)
+    widest = F.greatest(*[F.col(f"_{axis}_high") - F.col(f"_{axis}_low") + 1 for axis in _AXES])
+    return cells.withColumn("_level", F.lit(FINEST) - F.ceil(F.log2(widest)).cast("int"))
+
+
+def _in_cells(boxes: DataFrame, levels: Column) -> DataFrame:
+    """One row per cell ``_at, _y, _x`` that a box meets on each of the ``levels``."""
+    placed = boxes.withColumn("_at", F.explode(levels))
+    for axis, name in (("lat", "_y"), ("lon", "_x")):
+        low, high = (F.expr(f"shiftright(_{axis}_{end}, {FINEST} - _at)") for end in ("low", "high"))
+        placed = placed.withColumn(name, F.explode(F.sequence(low, high)))
+    return placed
+
+
+def _levels(boxes: DataFrame) -> Column:
+    """The levels in use, at most ``FINEST + 1``."""
+    return F.array(*[F.lit(r["_level"]) for r in boxes.select("_level").distinct().collect()]).cast("array<int>")
+
+
+def search_regions(
+    index: DataFrame, regions: DataFrame, as_of: Column | None = None, keep: Sequence[str] = ("dataset_id", "rank")
+) -> DataFrame:
+    """``region_id`` and the ``keep`` columns of every dataset whose coverage meets the region.
+
+    ``regions`` has ``region_id`` and request columns; a pair is kept by the test that a single
+    ``Bounds`` uses. Every box lies on the grid level where it meets at most four cells. A
+    region meets the boxes of its own and finer levels in the cells of its level, and coarser
+    ones in the cells of theirs, so boxes of any size meet by equal keys and nothing is compared
+    with everything. A pair counts in the first cell that both meet. Cells with many boxes, as
+    the whole world's, are split by the lookup join.
+    """
+    moment = as_of if as_of is not None else F.localtimestamp()
+    times = {f"_{n}": F.nullif(F.col(n), F.lit("")) for n in ("min_time", "max_time")}
+    asked = regions.select("region_id", *REQUEST_COLUMNS).withColumns(times).withColumns({
+        "_from": resolve_time(F.col("_min_time"), moment), "_to": resolve_time(F.col("_max_time"), moment)})
+    asked = materialize(_on_grid(asked.drop("min_time", "max_time"), "min_{}", "max_{}"))
+    held = materialize(_on_grid(index.select(
+        *keep, *[F.col(c).alias(f"_of_{c}") for c in _COVERED]), "_of_{}_min", "_of_{}_max"))
+    kept = [c for c in held.columns if c not in asked.columns]
+    ends = [f"_{axis}_low" for axis in _AXES]
+    named = held.withColumnsRenamed({c: f"_of{c}" for c in (*ends, "_level")}).select(
+        *kept, *[f"_of{c}" for c in (*ends, "_level")], *[F.col(f"_of{c}").alias(c) for c in (*ends, "_level")],
+        *[f"_{axis}_high" for axis in _AXES])
+    cells = ["_at", "_y", "_x"]
+    of_dataset = [*kept, *[f"_of{c}" for c in ends], *cells]
+    # Regions at home, datasets on that level or finer; then datasets at home, regions finer.
+    finer = _in_cells(named, F.filter(_levels(asked), lambda l: l <= F.col("_level"))).select(*of_dataset)
+    pairs = lookup_join(finer, _in_cells(asked, F.array("_level")), cells, salt_by=of_dataset)
+    others = _in_cells(asked, F.filter(_levels(held), lambda l: l < F.col("_level")))
+    back = lookup_join(others, _in_cells(named, F.array("_level")).select(*of_dataset), cells, salt_by=["region_id"])
+    found = pairs.unionByName(back)
+    test = F.lit(True)
+    for axis, name in (("lat", "_y"), ("lon", "_x")):
+        test = test & F.expr(f"{name} = shiftright(greatest(_{axis}_low, _of_{axis}_low), {FINEST} - _at)")
+        low, high = F.col(f"min_{axis}"), F.col(f"max_{axis}")
+        test = test & (low.isNull() | (F.col(f"_of_{axis}_max") >= low)) & (high.isNull() | (F.col(f"_of_{axis}_min") <= high))
+    test = test & (F.col("_min_time").isNull() | (F.col("_of_time_max") >= F.col("_from")))
+    test = test & (F.col("_max_time").isNull() | (F.col("_of_time_min") <= F.col("_to")))
+    return found.filter(test).select("region_id", *keep)
+
+
 def search_index(
     index: DataFrame,
     query: str = "all",

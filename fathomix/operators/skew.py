@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
@@ -24,6 +25,7 @@ def lookup_join(
     broadcast_rows: int = BROADCAST_ROWS,
     key_rows: int = KEY_ROWS,
     salt_by: Sequence[str] | None = None,
+    nulls: bool = False,
 ) -> DataFrame:
     """Join many ``rows`` per key to the few ``lookup`` rows of that key.
 
@@ -41,24 +43,32 @@ def lookup_join(
         raise ValueError(f"lookup_join keeps the left rows; {how!r} is not supported")
     keys = list(on)
     if fits_broadcast(lookup, broadcast_rows):
-        return rows.join(F.broadcast(lookup), keys, how)
+        return _joined(rows, F.broadcast(lookup), keys, how, nulls)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     hot = counts.filter(F.col("_n") > max(key_rows, total // HOT_KEYS)).select(
         *keys, F.ceil(F.col("_n") / key_rows).cast("long").alias("_salts")
     )
     if hot.isEmpty():
-        return rows.join(lookup, keys, how)
+        return _joined(rows, lookup, keys, how, nulls)
     hashed = salt_by or [f.name for f in rows.schema if f.dataType.typeName() != "map"]
     salts = F.coalesce("_salts", F.lit(1).cast("long"))
     # At most HOT_KEYS keys can hold that fraction of the rows each.
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn(
+    salted = _joined(rows, F.broadcast(hot), keys, "left", nulls).withColumn(
         "_salt", F.pmod(F.xxhash64(*hashed), salts)
     )
-    copies = lookup.join(F.broadcast(hot), keys, "left").withColumn(
+    copies = _joined(lookup, F.broadcast(hot), keys, "left", nulls).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))
     )
-    return salted.drop("_salts").join(copies.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
+    return _joined(salted.drop("_salts"), copies.drop("_salts"), [*keys, "_salt"], how, nulls).drop("_salt")
+
+
+def _joined(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str, nulls: bool) -> DataFrame:
+    if not nulls:
+        return rows.join(lookup, keys, how)
+    named = {k: f"_lookup_{k}" for k in keys}
+    same = reduce(Column.__and__, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{n}`")) for k, n in named.items()])
+    return rows.join(lookup.withColumnsRenamed(named), same, how).drop(*named.values())
 
 
 def _bytes(name: str, kind) -> Column | None:

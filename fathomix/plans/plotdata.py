@@ -21,6 +21,7 @@ from fathomix.operators.constraints import (
     rows_in_bounds,
 )
 from fathomix.operators.discovery import search_index
+from fathomix.operators.mixed import pick_mixed, resolved_names, variables_of
 from fathomix.operators.nested import flatten, with_row_order
 from fathomix.operators.sampling import BLOCK_ROWS, block_counts, first_ranked, palette_slot, thin, unique_results
 from fathomix.operators.skew import lookup_join
@@ -96,6 +97,20 @@ def timeseries(rows: DataFrame, y: str, color: str | None = None, step: int = 1,
     return _scatter_job(rows, "time", y, color, step, f"{y} vs time", attributes)
 
 
+def mixed_timeseries(rows: DataFrame, y: str, color: str | None = None, step: int = 1) -> tuple[PlotData, DataFrame]:
+    """A variable against time for datasets that may each call it differently.
+
+    ``rows`` have ``time`` and a map of ``values``; the second result lists the datasets that
+    are not plotted, with the reason.
+    """
+    wanted = {"y": y, **({"color": color} if color else {})}
+    names = materialize(resolved_names(variables_of(rows), list(wanted.values())))
+    picked = pick_mixed(rows, names, **wanted).withColumnRenamed("time", "x")
+    points = thin(drop_missing(picked.select("dataset_id", "row_idx", "x", *wanted), "x", "y"), step)
+    job = PlotData(points, _titled(extents(points), f"{y} vs time", None).withColumn("invert_y", F.lit(False)))
+    return job, names.filter("reason IS NOT NULL").select("dataset_id", "wanted", "reason")
+
+
 def profile(rows: DataFrame, x: str, color: str | None = None, step: int = 1,
             attributes: DataFrame | None = None) -> PlotData:
     """A variable against depth, depth growing downwards."""

@@ -81,7 +81,7 @@ def test_requests_join_their_own_dataset(spark, cover, rows_of):
         f"request_id int, dataset_id string, {REQUEST}",
     )
     got = constraints.bound_requests(asked, cover)
-    assert rows_of(got, "request_id", "from_lat", "to_lat") == [(1, 2.5, 7.25)]
+    assert rows_of(got, "request_id", "status", "from_lat", "to_lat") == [(1, "ok", 2.5, 7.25), (2, "no_coverage", 1.0, 1.0)]
 
 
 def test_require_box():
