@@ -195,6 +195,7 @@ _INDEXED = "SELECT name, catalog_url, path_text AS path, depth FROM tree_index"
 _oracle("catalog_index", _INDEXED, TREE, _walk(8))
 _oracle("catalog_index_shallow", _INDEXED, TREE, _walk(2))
 _oracle("catalog_broken_references", "SELECT count(*) AS skipped FROM walk WHERE NOT reachable", TREE, _walk(8))
+_oracle("catalog_doubled", "SELECT catalog_url, array_to_string(path, ' > ') AS path, depth, reachable FROM walk", TREE, _walk(8))
 _oracle("catalog_find", """SELECT name, catalog_url, path_text, count(*) OVER () AS total,
   greatest(count(*) OVER () - 30, 0) AS more FROM tree_index WHERE contains(lower(name), 'order-11')
   ORDER BY depth, path_text, pos, name LIMIT 30""", TREE, _walk(8))
@@ -272,6 +273,7 @@ _oracle("flatten_profiles", "SELECT trajectory, profile, time, lat, lon FROM pro
 _oracle("flatten_in_bounds", """SELECT trajectory, profile, obs_no, time, depth, salinity FROM measured
   WHERE time BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2024-01-01 12:00:00'
     AND lat BETWEEN -20 AND 30 AND lon <= -60""", NESTED)
+_oracle("flatten_stored", ORACLE["flatten_in_bounds"])
 _oracle("flatten_bare_end_date", """SELECT * FROM (SELECT trajectory, profile,
     time + to_days(CAST((length(trajectory) + ascii(right(trajectory, 1))) % 5 AS INTEGER)) AS time, lat FROM profiles)
   WHERE time <= TIMESTAMP '2024-01-03 00:00:00'""", NESTED)
@@ -400,6 +402,9 @@ _oracle("rows_for_requests", """SELECT request_id, o.dataset_id, o.row_idx, o.ti
   WHERE (r.from_time = '' OR o.time >= f) AND (r.to_time = '' OR o.time <= t)
     AND o.lat BETWEEN r.from_lat AND r.to_lat AND o.lon BETWEEN r.from_lon AND r.to_lon""", COVERAGE, REQUESTS,
         "asked AS (SELECT * FROM requests JOIN coverage USING (dataset_id))", _resolved("asked"), TYPED)
+_oracle("coverage_view", "SELECT * FROM coverage", COVERAGE.replace(
+    "temperature_qc FROM raw)", "temperature_qc FROM raw WHERE CASE event_id % 4 WHEN 0 THEN false WHEN 1 THEN event_id % 3 = 0 "
+    "WHEN 3 THEN lat > 0 OR lat IS NULL ELSE true END)"))
 _oracle("requests_without_coverage", f"""SELECT request_id, dataset_id, CASE WHEN known THEN 'ok' ELSE 'no_coverage' END AS status,
     {', '.join(f'CASE WHEN known THEN {c} END AS {c}' for c in ('from_time', 'to_time', 'from_lat', 'to_lat', 'from_lon', 'to_lon'))}
   FROM resolved""", COVERAGE, REQUESTS, """
@@ -723,6 +728,7 @@ _oracle("last_user_texts", """SELECT conv_id, coalesce(arg_max(text, turn) FILTE
   FROM conversations GROUP BY conv_id""")
 _oracle("registry_latest", """SELECT conv_id, role, turn, text FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1""")
+_oracle("registry_kept", ORACLE["registry_latest"])
 _oracle("registry_null_sequence", """SELECT conv_id, role, turn, text FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC NULLS LAST) AS n FROM (
     SELECT conv_id, role, CASE WHEN turn > 1 AND conv_id % 2 = 0 THEN turn END AS turn, min(text) AS text

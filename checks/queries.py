@@ -27,7 +27,7 @@ from fathomix.operators.constraints import Bounds
 from fathomix.operators.skew import lookup_join
 from fathomix.plans import export, plotdata
 from fathomix.session import materialize, shared_folder
-from fathomix.sources import numbered, output, tables
+from fathomix.sources import enveloped, numbered, output, tables, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,6 +118,59 @@ def mixed_unresolved(spark, d):
     return plotdata.mixed_timeseries(adapters.mixed_observations(spark, d), "temp", "salt")[1]
 
 
+@query
+def flatten_stored(spark, d):
+    """The same as ``flatten_in_bounds``, from the files whose envelope meets the bounds."""
+    path = f"{shared_folder(spark)}/enveloped-{uuid.uuid4().hex}"
+    enveloped.store_nested(adapters.nested(spark, d), path, files=16)
+    bounds = Bounds(min_time="2024-01-01T01:00:00Z", max_time="2024-01-01T12:00:00Z",
+                    min_lat=30.0, max_lat=-20.0, max_lon=-60.0)
+    return enveloped.flatten_stored(spark, path, ["time", "depth", "salinity"], bounds)
+
+
+@query
+def coverage_view(spark, d):
+    """Coverage kept over an appended, a replaced and a deleted file."""
+    path = f"{shared_folder(spark)}/view-{uuid.uuid4().hex}"
+    rows = adapters.observations(spark, d).withColumn("piece", F.col("row_idx") % 4)
+    view = versions.CoverageView(spark, f"{path}/files", f"{path}/view")
+
+    def write(piece: int, test: str) -> None:
+        rows.filter((F.col("piece") == piece) & F.expr(test)).drop("piece").write.mode("overwrite").parquet(f"{path}/files/piece={piece}")
+
+    write(0, "true")
+    write(1, "true")
+    view.refresh()
+    write(2, "true")
+    write(1, "row_idx % 3 = 0")
+    view.refresh()
+    write(0, "false")
+    write(3, "lat > 0 OR lat IS NULL")
+    view.refresh()
+    return view.coverage()
+
+
+@query
+def registry_kept(spark, d):
+    """A registry after four deltas, one of them folded into a base."""
+    path = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+    registry = versions.Registry(spark, path, ("conv_id", "role"), "turn")
+    rows = adapters.table(spark, d, "conversations").select("conv_id", "role", "turn", "text")
+    for part in range(4):
+        registry.apply(rows.filter((F.col("turn") + F.col("conv_id")) % 4 == part))
+        if part == 1:
+            registry.compact()
+    return registry.read()
+
+
+@query
+def catalog_doubled(spark, d):
+    """The whole walk, by doubling."""
+    catalogs, edges, _ = adapters.tree(spark, d)
+    walk = tree.walk_by_doubling(catalogs, edges, adapters.ROOT_URL)
+    return walk.select("catalog_url", F.array_join("path", " > ").alias("path"), "depth", "reachable")
+
+
 @query
 def read_back(spark, d):
     """The subset in every format, written and read again."""

@@ -22,6 +22,11 @@ def observed_coverage(observations: DataFrame) -> DataFrame:
             for name, end in (("min", F.min), ("max", F.max))
         ),
     )
+    return coverage_of_ranges(ranges)
+
+
+def coverage_of_ranges(ranges: DataFrame) -> DataFrame:
+    """Coverage from ``dataset_id, first, last`` and the ranges of the coordinates; what is missing is the whole world."""
     return ranges.select(
         "dataset_id",
         F.coalesce(iso_text(F.col("first")), F.lit("")).alias("time_start"),

@@ -68,6 +68,41 @@ def walk_catalogs(
     return reduce(DataFrame.unionByName, levels)
 
 
+def walk_by_doubling(
+    catalogs: DataFrame, edges: DataFrame, root_url: str, max_depth: int = MAX_DEPTH
+) -> DataFrame:
+    """What ``walk_catalogs`` gives, for deep trees: joins grow with the logarithm of the depth.
+
+    The table holds all paths between catalogs up to some length. Joining those of exactly that
+    length with all doubles it; what starts at the root is the walk. Cycles end at
+    ``max_depth``. This keeps paths from every catalog, so a shallow tree is better walked level
+    by level.
+    """
+    known = catalogs.select(F.col("catalog_url").alias("child_url")).distinct()
+    refs = lookup_join(edges.select("parent_url", "ref_name", "child_url"), known.withColumn("reachable", F.lit(True)),
+                       ["child_url"], "left")
+    paths = materialize(refs.select(
+        F.col("parent_url").alias("start"), F.col("child_url").alias("end"), F.array("ref_name").alias("path"),
+        F.lit(1).alias("depth"), F.coalesce("reachable", F.lit(False)).alias("reachable")))
+    length = 1
+    while length < max_depth:
+        whole = paths.filter((F.col("depth") == length) & F.col("reachable")).select(
+            F.col("start").alias("_from"), F.col("end").alias("start"), F.col("path").alias("_path"))
+        on = paths.filter(F.col("depth") <= max_depth - length)
+        longer, found = materialize_counted(whole.join(on, "start").select(
+            F.col("_from").alias("start"), "end", F.concat("_path", "path").alias("path"),
+            (F.col("depth") + length).alias("depth"), "reachable"))
+        if not found:
+            break
+        paths = paths.unionByName(longer)
+        length *= 2
+    root = catalogs.filter(F.col("catalog_url") == root_url).select(
+        "catalog_url", F.array().cast("array<string>").alias("path"), F.lit(0).alias("depth"), F.lit(True).alias("reachable"))
+    walked = paths.filter((F.col("start") == root_url) & (F.col("depth") <= max_depth)).select(
+        F.col("end").alias("catalog_url"), "path", "depth", "reachable")
+    return root if root.isEmpty() else root.unionByName(walked)
+
+
 def catalog_index(
     catalogs: DataFrame,
     edges: DataFrame,

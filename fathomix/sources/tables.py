@@ -34,10 +34,10 @@ NESTED_SCHEMA = (
 _TEXT_COLUMNS = ("dataset_id", "trajectory")
 
 
-def normalize_observations(raw: DataFrame) -> DataFrame:
+def normalize_observations(raw: DataFrame, text: Sequence[str] = ()) -> DataFrame:
     """Clean headers, zone-less UTC ``time``, numbers as doubles, NaN as null.
 
-    Text columns other than identifiers are read as numbers where they hold them.
+    Text columns other than identifiers and ``text`` are read as numbers where they hold them.
     """
     named = clean_headers(raw)
     columns = []
@@ -48,7 +48,7 @@ def normalize_observations(raw: DataFrame) -> DataFrame:
             column = zoneless_time(column, field.dataType)
         elif field.name == "row_idx":
             column = column.cast("long")
-        elif field.name in _TEXT_COLUMNS:
+        elif field.name in (*_TEXT_COLUMNS, *text):
             column = column.cast("string")
         elif isinstance(field.dataType, T.StringType):
             column = null_if_nan(column.try_cast("double"))

@@ -89,3 +89,25 @@ def test_addresses(spark, rows_of):
     assert errors["both"] is None and "WMS" in errors["wms"]
     missing = {r["name"]: r["error"] for r in tree.require_service(leaves, "HTTPServer").collect()}
     assert missing["both"] is None and "OpenDAP" in missing["dap"]
+
+
+@pytest.mark.parametrize("max_depth", [1, 3, 8, 64])
+def test_doubling_equals_walking(spark, rows_of, max_depth):
+    chain = [(f"c{i}", f"r{i}", f"c{i + 1}", 0) for i in range(70)]
+    loop = [("c3", "back", "c1", 1), ("c2", "gone", "nowhere", 2), ("c2", "twice", "c3", 3), ("lone", "x", "c5", 0)] if max_depth < 64 else []
+    edges = spark.createDataFrame(chain + loop, "parent_url string, ref_name string, child_url string, pos int")
+    catalogs = spark.createDataFrame([(f"c{i}", "n") for i in range(71)] + [("lone", "n")], "catalog_url string, catalog_name string")
+    found = tree.walk_by_doubling(catalogs, edges, "c0", max_depth)
+    assert rows_of(found) == rows_of(tree.walk_catalogs(catalogs, edges, "c0", max_depth))
+    assert found.count() > max_depth
+    assert tree.walk_by_doubling(catalogs, edges, "unknown", max_depth).count() == 0
+
+
+def test_doubling_joins_grow_with_the_logarithm(spark, monkeypatch):
+    made = []
+    counted = tree.materialize_counted
+    monkeypatch.setattr(tree, "materialize_counted", lambda df: made.append(1) or counted(df))
+    edges = spark.createDataFrame([(f"c{i % 5}", f"r{i}", f"c{(i + 1) % 5}", 0) for i in range(5)],
+                                  "parent_url string, ref_name string, child_url string, pos int")
+    catalogs = spark.createDataFrame([(f"c{i}", "n") for i in range(5)], "catalog_url string, catalog_name string")
+    assert tree.walk_by_doubling(catalogs, edges, "c0", 64).count() == 65 and len(made) == 6
