@@ -575,11 +575,22 @@ _oracle("attribute_numbers", """SELECT dataset_id, variable_name, attribute_name
   contains(lower(variable_name), 'qc') OR contains(lower(variable_name), 'qartod') OR lower(variable_name) LIKE '%flag' AS qc_variable,
   contains(lower(value), 'qc') OR contains(lower(value), 'qartod') AS qc_keyword FROM attrs""", ATTRIBUTES)
 
-_oracle("read_tables", """SELECT 'attributes' AS source, count(*) AS n_rows, count(DISTINCT dataset_id) AS n_keys FROM attrs
-  UNION ALL SELECT 'index', count(*), count(DISTINCT rank) FROM idx
-  UNION ALL SELECT 'catalogs', count(*), count(DISTINCT catalog_url) FROM catalogs
-  UNION ALL SELECT 'edges', count(*), count(DISTINCT child_url) FROM edges
-  UNION ALL SELECT 'leaves', count(*), count(DISTINCT name) FROM leaves""", INDEX, ATTRIBUTES, TREE)
+def _digest(source: str, key: str, table: str, *content: str) -> str:
+    texts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in content)
+    return f"SELECT '{source}' AS source, CAST({key} AS VARCHAR) AS key, md5(concat_ws('|', {texts})) AS digest FROM {table}"
+
+
+_LISTED = [f"array_to_string(list_sort({n}), ',')" for n in ("standard_names", "variable_names", "keywords")]
+_MILLIONTHS = [f"CAST(round({n} * 1000000) AS BIGINT)" for n in ("lat_min", "lat_max", "lon_min", "lon_max")]
+_oracle("read_tables", " UNION ALL ".join([
+    _digest("attributes", "dataset_id", "attrs", "row_type", "variable_name", "attribute_name", "value"),
+    _digest("index", "dataset_id", "idx", "title", "rank", "summary", "institution", "ioos_category", "cdm_data_type", *_LISTED,
+            *[f"{n} IS NULL" for n in ("griddap", "tabledap", "wms")], "epoch_us(time_min)", "epoch_us(time_max)", *_MILLIONTHS),
+    _digest("catalogs", "catalog_url", "catalogs", "catalog_name"),
+    _digest("edges", "child_url", "edges", "parent_url", "ref_name", "pos"),
+    _digest("leaves", "name", "leaves", "catalog_url", "http", "dap", "wms", "pos"),
+]), INDEX, ATTRIBUTES, TREE)
+_oracle("read_nested", ORACLE["flatten_profiles"])
 _oracle("declared_subset", "SELECT dataset_id, row_idx, time, lat, lon, temperature FROM inside", OBS, ATTRIBUTES, DECLARED,
         f"asked AS (SELECT declared.*, {_bounds(None, '2024-01-15', -50.0)} FROM declared)", _resolved("asked"), _inside("obs", "resolved"))
 _oracle("declared_dataset", "SELECT dataset_id, row_idx, lat FROM inside WHERE dataset_id = '4'", OBS, ATTRIBUTES, DECLARED,

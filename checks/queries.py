@@ -191,26 +191,55 @@ def read_back(spark, d):
     return found
 
 
+def _digest(rows: DataFrame, source: str, key: str, *content) -> DataFrame:
+    """``source, key, digest``: one row per row of a table, over all its contents."""
+    texts = [F.coalesce(c.cast("string"), F.lit("-")) for c in content]
+    return rows.select(F.lit(source).alias("source"), F.col(key).cast("string").alias("key"),
+                       F.md5(F.concat_ws("|", *texts).cast("binary")).alias("digest"))
+
+
 @query
 def read_tables(spark, d):
-    """Attributes, index and catalog tree through their readers, as counts per table."""
+    """Attributes, index and catalog tree through their readers, every row by its contents."""
     folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
     catalogs, edges, leaves = adapters.tree(spark, d)
-    index = adapters.index(spark, d).drop("summary", "keywords").withColumns(
-        {"summary": F.lit(""), "keywords": F.array(F.lit("k"))})
-    parts = {"attributes": adapters.attributes(spark, d), "index": index, "catalogs": catalogs, "edges": edges, "leaves": leaves}
+    parts = {"attributes": adapters.attributes(spark, d), "index": adapters.index(spark, d), "catalogs": catalogs, "edges": edges,
+             "leaves": leaves}
     for name, rows in parts.items():
         rows.write.parquet(f"{folder}/{name}")
-    read = {
-        "attributes": tables.read_attributes(spark, f"{folder}/attributes"),
-        "index": tables.read_index(spark, f"{folder}/index"),
-        **dict(zip(("catalogs", "edges", "leaves"),
-                   tables.read_tree(spark, *(f"{folder}/{n}" for n in ("catalogs", "edges", "leaves"))))),
-    }
-    keys = {"attributes": "dataset_id", "index": "rank", "catalogs": "catalog_url", "edges": "child_url", "leaves": "name"}
-    counted = [rows.agg(F.count("*").alias("n_rows"), F.count_distinct(keys[name]).alias("n_keys")).select(
-        F.lit(name).alias("source"), "n_rows", "n_keys") for name, rows in read.items()]
-    return reduce(DataFrame.unionByName, counted)
+    c = F.col
+
+    def listed(name: str):
+        return F.array_join(F.array_sort(name), ",")
+
+    def micros(name: str):
+        return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), c(name))
+
+    def millionths(name: str):
+        return F.round(c(name) * 1_000_000).cast("long")
+
+    read_catalogs, read_edges, read_leaves = tables.read_tree(spark, *(f"{folder}/{n}" for n in ("catalogs", "edges", "leaves")))
+    urls = [c("access_urls")[n] for n in ("HTTPServer", "OpenDAP", "WMS")]
+    read = [
+        _digest(tables.read_attributes(spark, f"{folder}/attributes"), "attributes", "dataset_id", c("row_type"),
+                c("variable_name"), c("attribute_name"), c("value")),
+        _digest(tables.read_index(spark, f"{folder}/index"), "index", "dataset_id", c("title"), c("rank"), c("summary"),
+                c("institution"), c("ioos_category"), c("cdm_data_type"), listed("standard_names"), listed("variable_names"),
+                listed("keywords"), *[c(n).isNull() for n in ("griddap", "tabledap", "wms")], micros("time_min"), micros("time_max"),
+                *[millionths(n) for n in ("lat_min", "lat_max", "lon_min", "lon_max")]),
+        _digest(read_catalogs, "catalogs", "catalog_url", c("catalog_name")),
+        _digest(read_edges, "edges", "child_url", c("parent_url"), c("ref_name"), c("pos")),
+        _digest(read_leaves, "leaves", "name", c("catalog_url"), *urls, c("pos")),
+    ]
+    return reduce(DataFrame.unionByName, read)
+
+
+@query
+def read_nested(spark, d):
+    """Nested trajectories through their reader, profile by profile."""
+    path = f"{shared_folder(spark)}/nested-{uuid.uuid4().hex}"
+    adapters.nested(spark, d).write.parquet(path)
+    return nested.flatten(tables.read_nested(spark, path), ["time", "latitude", "longitude"], keys=["trajectory"])
 
 
 @query
