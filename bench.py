@@ -2,7 +2,8 @@
 
 ``BENCH_SF_DIR`` is the table folder, ``BENCH_CPUS`` the number of local cores. Every query
 runs once to warm up and then ``BENCH_RUNS`` times (default 2); the best time counts. All
-result rows are computed and thrown away.
+result rows are computed and thrown away. A fixed job that reads no table is timed the same way,
+and each query's time is also given as a multiple of it, to compare rounds on unlike machines.
 """
 
 from __future__ import annotations
@@ -46,6 +47,22 @@ HEADLINES = (
 )
 
 
+def calibration(spark) -> None:
+    """Hash, shuffle and add up a fixed number of numbers."""
+    numbers = spark.range(20_000_000).selectExpr("id", "xxhash64(id) % 100000 AS k")
+    numbers.groupBy("k").agg({"id": "sum"}).write.format("noop").mode("overwrite").save()
+
+
+def best_of(runs: int, job) -> float:
+    best = None
+    for _ in range(runs + 1):
+        start = time.perf_counter()
+        job()
+        taken = time.perf_counter() - start
+        best = taken if best is None or taken < best else best
+    return best
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
@@ -55,14 +72,10 @@ def main() -> None:
         **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="fathomix-bench-"), "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
+    unit = best_of(runs, lambda: calibration(spark))
     seconds = {}
     for name in sys.argv[1:] or HEADLINES:
-        best = None
-        for _ in range(runs + 1):
-            start = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-            taken = time.perf_counter() - start
-            best = taken if best is None or taken < best else best
+        best = best_of(runs, lambda: QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save())
         seconds[name] = round(best, 3)
         print(f"{name} {best:.3f}s", file=sys.stderr, flush=True)
     print(json.dumps({
@@ -70,6 +83,8 @@ def main() -> None:
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
+        "calibration": round(unit, 3),
+        "multiples": {name: round(best / unit, 2) for name, best in seconds.items()},
         "sf": Path(folder).name.removeprefix("sf"),
         "spark": pyspark.__version__,
         "master": f"local[{cpus}]",
