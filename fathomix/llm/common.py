@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from itertools import repeat
 from types import ModuleType
 from typing import Any
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DataType
 
 from fathomix.operators.skew import lookup_join
 from fathomix.session import materialize, release
@@ -29,6 +33,11 @@ def per_worker(name: str, make: Callable[[], Any]) -> Any:
     return kept[name]
 
 
+def hashes_of(parts: list[bytes], seed: int) -> np.ndarray:
+    """The 64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, len(parts))
+
+
 def small_batches(rows: DataFrame) -> None:
     """Hand texts to Python 500 rows at a time, unless the session has a size of its own.
 
@@ -44,17 +53,44 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`"), F.lit("")).cast("binary")
 
 
+def _beside_keys(columns: list[str]) -> list[str]:
+    """The column names, changed where they are those of the row keys."""
+    names, taken = [], {c.lower() for c in columns} | set(ROW_KEYS)
+    for column in columns:
+        if column.lower() in ROW_KEYS:
+            column += "_given"
+            while column.lower() in taken:
+                column += "_"
+            taken.add(column.lower())
+        names.append(column)
+    return names
+
+
+def _hashable(name: str, kind: DataType) -> Column:
+    """The column, or its JSON where Spark has no hash for its type."""
+    text = kind.simpleString()
+    return F.to_json(F.struct(F.col(f"`{name}`"))) if "map<" in text or "variant" in text else F.col(f"`{name}`")
+
+
 def with_row_keys(rows: DataFrame) -> DataFrame:
-    """Add hashes of each whole row (maps left out), which name it even where its id is null."""
-    names = [f.name for f in rows.schema if f.dataType.typeName() != "map"]
-    columns = [F.col(f"`{n}`") for n in names]
-    nulls = F.concat(F.lit(""), *[F.col(f"`{n}`").isNull().cast("string") for n in names])
+    """Add hashes of each whole row, which name it even where its id is null.
+
+    Columns that are called like the keys get other names until ``as_given``.
+    """
+    rows = rows.toDF(*_beside_keys(rows.columns))
+    nulls = F.concat(F.lit(""), *[F.col(f"`{c}`").isNull().cast("string") for c in rows.columns])
+    columns = [_hashable(f.name, f.dataType) for f in rows.schema]
     return rows.withColumns({
         ROW_KEYS[0]: F.xxhash64(nulls, *columns),
         ROW_KEYS[1]: F.xxhash64(F.lit("b"), *columns[::-1], nulls),
     })
 
 
+def as_given(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``with_row_keys(rows)`` with the columns of ``rows`` again."""
+    return keyed.select(*[F.col(f"`{c}`") for c in _beside_keys(rows.columns)]).toDF(*rows.columns)
+
+
 def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """``rows`` (with row keys) whose keys are not in ``gone``."""
     return lookup_join(rows, gone.select(*ROW_KEYS).distinct(), ROW_KEYS, "left_anti")

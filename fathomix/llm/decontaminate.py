@@ -28,11 +28,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fathomix.llm.common import ROW_KEYS, small_batches, text_bytes, with_row_keys, without_rows, words
+from fathomix.llm.common import ROW_KEYS, as_given, hashes_of, small_batches, text_bytes, with_row_keys, without_rows, words
 from fathomix.operators.sampling import dense_row_index
 from fathomix.session import materialize
 
@@ -45,22 +44,30 @@ CHUNK = 1 << 16
 SEED = 7
 
 
-def word_hashes(parts: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w, SEED) for w in parts], np.uint64)
+def prefix_counts(hashes: np.ndarray, size: int = 255) -> np.ndarray:
+    """How often each of the 64 bits is set before each word, for windows of up to ``size`` words.
 
-
-def prefix_counts(hashes: np.ndarray) -> np.ndarray:
-    """How often each of the 64 bits is set before each word; wraps, as only differences count."""
+    Counters stand side by side in 64-bit numbers, as wide as a window's counts need. Sums may
+    carry from one counter into the next, but the difference of two sums no more than a window
+    apart is the window's counts again, as none of those overflows.
+    """
     bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    counts = np.zeros((len(hashes) + 1, 64), np.int16)
-    np.cumsum(bits, axis=0, dtype=np.int16, out=counts[1:])
+    lanes = bits.astype(_lane(size)).view(np.uint64)
+    counts = np.zeros((len(hashes) + 1, lanes.shape[1]), np.uint64)
+    np.cumsum(lanes, axis=0, out=counts[1:])
     return counts
 
 
+def _lane(size: int) -> type:
+    """The narrowest counter for windows of ``size`` words."""
+    return np.uint8 if size < 1 << 8 else np.uint16 if size < 1 << 16 else np.uint32
+
+
 def window_prints(counts: np.ndarray, size: int, stride: int, starts: int) -> np.ndarray:
     """Fingerprints, as ``BLOCKS`` 16-bit blocks, of the windows at each ``stride`` words."""
-    ones = counts[size:size + starts:stride] - counts[:starts:stride]
+    sums = counts[size:size + starts:stride] - counts[:starts:stride]
+    lane = {8: np.uint8, 16: np.uint16, 32: np.uint32}[counts.shape[1]]
+    ones = sums.view(lane).reshape(-1, 64)
     return np.packbits(ones > size // 2, axis=1).view("<u2")
 
 
@@ -156,7 +163,7 @@ def build_index(items: list[tuple], shingle: int = 5, least: float = 0.8, radius
     sizes: dict[tuple[int, int], list] = {}
     for number, own in enumerate(parts):
         size, stride = window_size(len(own), shingle, least)
-        prints = window_prints(prefix_counts(word_hashes(own)), size, 1, len(own) - size + 1)
+        prints = window_prints(prefix_counts(hashes_of(own, SEED), size), size, 1, len(own) - size + 1)
         sizes.setdefault((size, stride), []).append((number, prints))
     classes = []
     for (size, stride), entries in sorted(sizes.items()):
@@ -183,17 +190,18 @@ def scan(index: Index, texts: list[bytes]) -> list[tuple[int, int, float, int]]:
         ends.append(len(parts))
     ends = np.array(ends, np.int64)
     widest = max((c.size for c in index.classes), default=0)
-    hashes = word_hashes(parts)
+    lanes = {_lane(c.size): c.size for c in index.classes}
+    hashes = hashes_of(parts, SEED)
     tried: set[tuple[int, int, int]] = set()
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for at in range(0, len(parts), CHUNK):
         own = hashes[at:at + CHUNK + widest - 1]
-        counts = prefix_counts(own)
+        counts = {lane: prefix_counts(own, size) for lane, size in lanes.items()}
         for one in index.classes:
             starts = min(CHUNK, len(own) - one.size + 1)
             if starts <= 0:
                 continue
-            prints = np.ascontiguousarray(window_prints(counts, one.size, one.stride, starts))
+            prints = np.ascontiguousarray(window_prints(counts[_lane(one.size)], one.size, one.stride, starts))
             window, member = one.candidates(prints, index.radius)
             for w, m in zip(window.tolist(), member.tolist()):
                 place = at + w * one.stride
@@ -277,4 +285,4 @@ def clean(docs: DataFrame, items: DataFrame, shingle: int = 5, least: float = 0.
     """The rows of ``docs`` that hold no copy of an item."""
     keyed = with_row_keys(docs)
     gone = materialize(matches(keyed, items, ROW_KEYS, shingle, least, radius).select(*ROW_KEYS))
-    return without_rows(keyed, gone).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return as_given(without_rows(keyed, gone), docs)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fathomix.llm.common import ROW_KEYS, small_batches, text_bytes, with_row_keys, without_rows
+from fathomix.llm.common import ROW_KEYS, as_given, small_batches, text_bytes, with_row_keys, without_rows
 from fathomix.session import materialize
 
 # Labelled rows that the trees learn from at most.
@@ -219,4 +219,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
     measured = materialize(with_statistics(keyed, ("doc_id", *ROW_KEYS)))
     forest = learn(measured, labels, fold() != 1, sample_rows=sample_rows)
     rejected = materialize(apply(measured, forest).filter("score < 0.5").select(*ROW_KEYS))
-    return without_rows(keyed, rejected).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return as_given(without_rows(keyed, rejected), docs)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomix.llm.common import (
-    ROW_KEYS, components, small_batches, text_bytes, with_row_keys, without_rows, words,
+    ROW_KEYS, as_given, components, small_batches, text_bytes, with_row_keys, without_rows, words,
 )
 from fathomix.operators.skew import lookup_join
 from fathomix.session import materialize, release
@@ -180,4 +180,4 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, segment_bits: i
         repeated = lookup_join(keyed, copies.select(*ROW_KEYS), ROW_KEYS, "left_semi")
         kept = kept.unionByName(repeated.dropDuplicates(list(ROW_KEYS)))
     release(prints)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return as_given(kept, docs)
