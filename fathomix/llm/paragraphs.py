@@ -31,12 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fathomix.llm.common import components, small_batches, text_bytes
+from fathomix.llm.common import components, hashes_of, small_batches, text_bytes
 from fathomix.operators.skew import HOT_KEYS, lookup_join
 from fathomix.session import materialize, release
 
@@ -87,6 +86,18 @@ def _windows(codes: np.ndarray, length: int) -> np.ndarray:
     return total
 
 
+def _distinct_in(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many different values each span holds."""
+    sizes = ends - starts
+    owner = np.repeat(np.arange(len(starts)), sizes)
+    inside = values[np.arange(len(owner)) + np.repeat(starts - (sizes.cumsum() - sizes), sizes)]
+    order = np.lexsort((inside, owner))
+    owner, inside = owner[order], inside[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
+    return np.bincount(owner[new], minlength=len(starts))
+
+
 def piece_starts(codes: np.ndarray) -> np.ndarray:
     """Where the words' own hashes start pieces; the first word always does."""
     n = len(codes)
@@ -107,15 +118,14 @@ def units_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     """
     lines = [line.split() for line in text.lower().split(b"\n")]
     parts = [w for line in lines for w in line]
-    digest = xxhash.xxh64_intdigest
-    codes = np.array([digest(w, SEED) for w in parts], np.uint64)
+    codes = hashes_of(parts, SEED)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     line_starts = sizes.cumsum() - sizes
     long = sizes >= MIN_WORDS
     first, last = line_starts[long], (line_starts + sizes)[long]
     starts = piece_starts(codes)
     ends = np.append(starts[1:], len(codes)) if len(starts) else starts
-    whole = ends - starts > SHINGLE
+    whole = ends - starts >= SHINGLE
     starts, ends = starts[whole], ends[whole]
     bands = np.zeros((len(first), BANDS), np.uint64)
     distinct = np.zeros(len(starts) + len(first), np.int64)
@@ -131,8 +141,7 @@ def units_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
             for r in range(ROWS):
                 value = _mix(value * _STEP + minima[b * ROWS + r])
             bands[:, b] = value
-        distinct[len(starts):] = [
-            len(np.unique(shingles[a:z])) for a, z in zip(first.tolist(), (last - SHINGLE + 1).tolist())]
+        distinct[len(starts):] = _distinct_in(shingles, first, last - SHINGLE + 1)
     hashes = np.concatenate([_unit_hashes(codes, starts, ends, 1), _unit_hashes(codes, first, last, 2)])
     kind = np.concatenate([np.zeros(len(starts), bool), np.ones(len(first), bool)])
     begin, size = np.concatenate([starts, first]), np.concatenate([ends - starts, last - first])
@@ -140,12 +149,15 @@ def units_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, start, words, hash, shingles, bands``: the units of all rows; bands of paragraphs only."""
+    """``row, doc_id, text, start, words, hash, shingles, bands``: the units of all rows; bands of paragraphs only.
+
+    ``text`` is the hash of the whole text.
+    """
     small_batches(docs)
-    read = docs.select("doc_id", text_bytes().alias("text"))
+    read = docs.select("doc_id", text_bytes().alias("text"), _text_hash().alias("hashed"))
     kind = read.schema["doc_id"].dataType
-    schema = pa.schema([("row", pa.int64()), ("doc_id", to_arrow_type(kind)), ("start", pa.int32()), ("words", pa.int32()),
-                        ("hash", pa.int64()), ("shingles", pa.int32()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", to_arrow_type(kind)), ("text", pa.int64()), ("start", pa.int32()),
+                        ("words", pa.int32()), ("hash", pa.int64()), ("shingles", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -160,13 +172,17 @@ def units(docs: DataFrame) -> DataFrame:
                 offsets = np.concatenate([[0], (para * BANDS).cumsum()]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands, pa.int64()))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(row + owner, pa.int64()), some.column(0).take(pa.array(owner)),
+                    pa.array(row + owner, pa.int64()), some.column(0).take(pa.array(owner)), some.column(2).take(pa.array(owner)),
                     pa.array(begin, pa.int32()), pa.array(size, pa.int32()), pa.array(hashes.astype(np.int64)),
                     pa.array(distinct, pa.int32()), listed,
                 ], schema=schema)
                 row += len(found)
 
-    return read.mapInArrow(run, f"row long, doc_id {kind.simpleString()}, start int, words int, hash long, shingles int, bands array<long>")
+    return read.mapInArrow(run, f"row long, doc_id {kind.simpleString()}, text long, start int, words int, hash long, shingles int, bands array<long>")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(text_bytes())
 
 
 def colliding(paragraphs: DataFrame) -> DataFrame:
@@ -239,7 +255,7 @@ def crowded(paragraphs: DataFrame) -> DataFrame:
 
 def _line_shingles(line: bytes) -> np.ndarray:
     """The distinct hashes of a line's shingles."""
-    codes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in line.lower().split()], np.uint64)
+    codes = hashes_of(line.lower().split(), SEED)
     return np.unique(_windows(codes, SHINGLE)).astype(np.int64)
 
 
@@ -375,7 +391,9 @@ def linked_paragraphs(paragraphs: DataFrame, docs: DataFrame, least: float) -> D
     pairs = materialize(colliding(paragraphs))
     dense = materialize(crowded(paragraphs))
     members = materialize(pairs.select(F.explode(F.array("a", "b")).alias("hash")).unionByName(dense).distinct())
-    texts = materialize(lines_of(docs, members))
+    # One text that holds each member is read again, and no other.
+    holders = materialize(lookup_join(paragraphs, members, ["hash"], "left_semi", broadcast_rows=MEMBER_ROWS).select("text").distinct())
+    texts = materialize(lines_of(docs, members, holders))
     roots = materialize(components(verified(pairs, texts, least)))
     postings = materialize(rare_shingles(
         lookup_join(texts, dense, ["hash"], "left_semi", broadcast_rows=MEMBER_ROWS), least))
@@ -391,13 +409,16 @@ def linked_paragraphs(paragraphs: DataFrame, docs: DataFrame, least: float) -> D
     return roots
 
 
-def lines_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``hash, line`` of the paragraphs in ``members`` (``hash``), each once."""
-    read = docs.select(text_bytes().alias("text"))
+def lines_of(docs: DataFrame, members: DataFrame, holders: DataFrame) -> DataFrame:
+    """``hash, line`` of the paragraphs in ``members`` (``hash``), each once.
+
+    ``holders`` (``text``) are hashes of texts that hold them all.
+    """
+    keyed = docs.select(text_bytes().alias("line"), _text_hash().alias("text"))
+    read = lookup_join(keyed, holders, ["text"], "left_semi", broadcast_rows=MEMBER_ROWS).select("line")
     line_schema = pa.schema([("hash", pa.int64()), ("line", pa.binary())])
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 held, sizes, codes = [], [], []
@@ -407,7 +428,7 @@ def lines_of(docs: DataFrame, members: DataFrame) -> DataFrame:
                         if len(parts) >= MIN_WORDS:
                             held.append(line)
                             sizes.append(len(parts))
-                            codes.append(np.array([digest(w, SEED) for w in parts], np.uint64))
+                            codes.append(hashes_of(parts, SEED))
                 if held:
                     ends = np.cumsum(sizes)
                     hashes = _unit_hashes(np.concatenate(codes), ends - np.array(sizes), ends, 2)
@@ -437,7 +458,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return asked.mapInArrow(check, "a long, b long")
 
 
-def merge_spans(marks: list[dict], least: int) -> list[tuple[int, int, int | None, bool]]:
+def merge_spans(marks: list[dict], least: int) -> list[tuple[int, int, object, bool]]:
     """``start, words, class, removed`` of the runs of marked words; removal outweighs keeping."""
     size = max(m["start"] + m["words"] for m in marks)
     state = np.zeros(size, np.int8)
@@ -463,7 +484,7 @@ def repeated_spans(docs: DataFrame, least: float = 0.8, min_words: int = MIN_WOR
     repeated = materialize(stored.groupBy("hash").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter(
         "low < high").select("hash"))
     paragraphs = materialize(stored.filter(F.size("bands") > 0).groupBy("hash").agg(
-        F.min("shingles").alias("words"), F.min("bands").alias("bands")))
+        F.min("shingles").alias("words"), F.min("bands").alias("bands"), F.min("text").alias("text")))
     linked = linked_paragraphs(paragraphs, docs, least).withColumnRenamed("node", "hash")
     alone = repeated.join(linked, "hash", "left_anti").select("hash", F.col("hash").alias("root"))
     classed = materialize(linked.select("hash", "root").unionByName(alone))
@@ -477,13 +498,13 @@ def repeated_spans(docs: DataFrame, least: float = 0.8, min_words: int = MIN_WOR
     ).filter("low < high").select("root", "first"))
     marked = lookup_join(held, firsts, ["root"], broadcast_rows=0, salt_by=["row", "start"]).select(
         "row", "doc_id", F.struct(
-            "start", "words", F.col("first.doc_id").cast("long").alias("class_id"),
+            "start", "words", F.col("first.doc_id").alias("class_id"),
             ((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))).alias("removed"),
         ).alias("mark"))
     per_doc = marked.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list("mark").alias("marks"))
     kind = docs.schema["doc_id"].dataType
     schema = pa.schema([("doc_id", to_arrow_type(kind)), ("first_word", pa.int64()), ("n_words", pa.int64()),
-                        ("class_id", pa.int64()), ("removed", pa.bool_())])
+                        ("class_id", to_arrow_type(kind)), ("removed", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -493,4 +514,4 @@ def repeated_spans(docs: DataFrame, least: float = 0.8, min_words: int = MIN_WOR
                 [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, schema.types)], schema=schema)
 
     return per_doc.select("doc_id", "marks").mapInArrow(
-        run, f"doc_id {kind.simpleString()}, first_word long, n_words long, class_id long, removed boolean")
+        run, f"doc_id {kind.simpleString()}, first_word long, n_words long, class_id {kind.simpleString()}, removed boolean")

@@ -139,9 +139,9 @@ def test_true_pairs_among_thousands_of_others_in_a_bucket_are_all_linked(spark,
     rows, pairs = crowd(rng)
     # Every line shares its first band, so all are in one bucket; the other bands tell nothing.
     frame = spark.createDataFrame(
-        [(r.hash, r.words, [7, r.hash, r.hash + 1, r.hash + 2, r.hash + 3])
+        [(r.hash, r.words, [7, r.hash, r.hash + 1, r.hash + 2, r.hash + 3], r.text)
          for r in paragraphs.units(documents(list(enumerate(rows)))).filter("size(bands) > 0").collect()],
-        "hash long, words int, bands array<long>")
+        "hash long, words int, bands array<long>, text long")
     docs = documents(list(enumerate(rows)))
     roots = {r.node: r.root for r in paragraphs.linked_paragraphs(frame, docs, 0.8).collect()}
     neighbours = {(r.a, r.b) for r in paragraphs.colliding(frame).collect()}
@@ -157,11 +157,12 @@ def test_parts_of_a_cut_bucket_still_meet(spark, documents, monkeypatch):
     monkeypatch.setattr(paragraphs, "BUCKET_ROWS", 50)
     rows, pairs = crowd(random.Random(13), n=300, true=40)
     docs = documents(list(enumerate(rows)))
-    found = paragraphs.units(docs).filter("size(bands) > 0").select("doc_id", "hash", "words").collect()
+    found = paragraphs.units(docs).filter("size(bands) > 0").select("doc_id", "hash", "words", "text").collect()
     # The two of a pair differ in their next band's part.
     frame = spark.createDataFrame(
-        [(r.hash, r.words, [7, 1000 + r.doc_id % 2, 10**6 + r.doc_id, 2 * 10**6 + r.doc_id, 3 * 10**6 + r.doc_id]) for r in found],
-        "hash long, words int, bands array<long>")
+        [(r.hash, r.words, [7, 1000 + r.doc_id % 2, 10**6 + r.doc_id, 2 * 10**6 + r.doc_id, 3 * 10**6 + r.doc_id], r.text)
+         for r in found],
+        "hash long, words int, bands array<long>, text long")
     names = {r.doc_id: r.hash for r in found}
     roots = {r.node: r.root for r in paragraphs.linked_paragraphs(frame, docs, 0.8).collect()}
     assert all(names[i] in roots and roots[names[i]] == roots.get(names[j]) for i, j in pairs) and len(pairs) == 40
@@ -188,3 +189,10 @@ def test_a_line_and_the_same_line_twice_are_linked(documents):
     got = {(r.doc_id, r.first_word, r.n_words, r.class_id, r.removed) for r in paragraphs.repeated_spans(docs).collect()}
     # Without the paragraphs' link, equal pieces mark less than the whole lines.
     assert got == {(1, 0, 30, 1, False), (2, 0, 60, 1, True)}
+
+
+def test_text_ids_are_kept(spark):
+    line = passage(random.Random(15), 40)
+    docs = spark.createDataFrame([("b", line), ("a", line), (None, line), ("c", "short")], "doc_id string, text string")
+    got = {(r.doc_id, r.n_words, r.class_id, r.removed) for r in paragraphs.repeated_spans(docs).collect()}
+    assert got == {("a", 40, "a", False), ("b", 40, "a", True), (None, 40, "a", True)}
