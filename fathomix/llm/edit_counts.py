@@ -10,7 +10,8 @@ updated. Everything else keeps its count.
 Rows: a null or empty text has a tree without leaves and no tokens; texts of any length are
 counted whole; repeated rows are counted each; null ids and extra columns are kept. Edits are
 applied together, each to the original text; they must not overlap (touching is fine) and may
-insert, delete or replace, also in an empty text. A null edit list has no edits.
+insert, delete or replace, also in an empty text. A null edit list has no edits, null edits in it
+are skipped, and a row whose edits cannot be applied keeps its text and names the error.
 """
 
 from __future__ import annotations
@@ -199,17 +200,26 @@ def apply_edits(
     edits: Callable[[str], Sequence[Edit]] | str = "edits",
     keep: tuple[str, ...] = ("doc_id",),
     text: str = "text",
+    trees: bool = False,
 ) -> DataFrame:
-    """``keep`` columns, ``n_tokens, n_edits, n_tokens_after, chars_after, chars_encoded`` of ``with_trees`` rows.
+    """``keep`` columns and ``n_tokens, n_edits, n_tokens_after, chars_after, chars_encoded, error`` of ``with_trees`` rows.
 
     ``edits`` names a column ``array<struct<start int, end int, replacement string>>`` of
-    character positions, or is a function that lists a text's edits.
+    character positions, or is a function that lists a text's edits. A row whose edits overlap,
+    lie outside its text or lack a position keeps its text and counts, and ``error`` says so.
+    With ``trees`` the edited text, under its own name, and its ``leaf_chars, leaf_tokens``
+    follow, so that the next edits can be applied to the result; ``n_tokens`` is then the
+    edited text's, and ``n_tokens_before`` the earlier one.
     """
     listed = F.col(f"`{edits}`") if isinstance(edits, str) else F.lit(None).cast("string")
     read = rows.select(*[F.col(f"`{c}`") for c in keep], "n_tokens", "leaf_chars", "leaf_tokens",
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_counted"), listed.alias("_edits"))
-    names = [*keep, "n_tokens", "n_edits", "n_tokens_after", "chars_after", "chars_encoded"]
     width = len(keep) + 1
+    figures = ["n_edits", "n_tokens" if trees else "n_tokens_after", "chars_after", "chars_encoded"]
+    names = [*keep, "n_tokens_before" if trees else "n_tokens", *figures, "error"]
+    if trees:
+        names += [text, "leaf_chars", "leaf_tokens"]
+    leaves = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, _ = encoder(tokenizer)
@@ -218,15 +228,31 @@ def apply_edits(
             return len(encode(part))
 
         for batch in batches:
-            out = []
+            out, after_edits = [], []
             for i in range(batch.num_rows):
                 chars, tokens, value, given = (batch.column(width + j)[i].as_py() for j in range(4))
-                found = edits(value) if callable(edits) else [
-                    (e["start"], e["end"], e["replacement"] or "") for e in given or []]
-                tree, after, again = edit(Tree.over(chars, tokens), value, found, count)
-                out.append((len(found), int(tree.tokens[1]), len(after), again))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:width], *[pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)]], names=names)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema[:width])
-    return read.mapInArrow(run, f"{kinds}, n_edits long, n_tokens_after long, chars_after long, chars_encoded long")
+                error = None
+                try:
+                    found = edits(value) if callable(edits) else [
+                        (e["start"], e["end"], e["replacement"] or "") for e in given or [] if e is not None]
+                    if any(x is None for e in found for x in e):
+                        raise ValueError("an edit lacks a position")
+                    tree, after, again = edit(Tree.over(chars, tokens), value, found, count)
+                except ValueError as wrong:
+                    found, tree, after, again, error = [], Tree.over(chars, tokens), value, 0, str(wrong)
+                out.append((len(found), int(tree.tokens[1]), len(after), again, error))
+                if trees:
+                    own = slice(tree.slots, 2 * tree.slots)
+                    some = tree.chars[own] > 0
+                    after_edits.append((after, tree.chars[own][some], tree.tokens[own][some]))
+            kinds = [pa.int64()] * 4 + [pa.string()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)]
+            if trees:
+                columns += [pa.array(c, t) for c, t in zip(zip(*after_edits) if out else [[]] * 3, (pa.string(), leaves, leaves))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *columns], names=names)
+
+    kinds = [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, read.schema[:width])]
+    kinds += [f"{n} long" for n in figures] + ["error string"]
+    if trees:
+        kinds += [f"`{text}` string", "leaf_chars array<int>", "leaf_tokens array<int>"]
+    return read.mapInArrow(run, ", ".join(kinds))

@@ -76,3 +76,31 @@ def test_house_edits_of_the_query(documents):
     got = {r.doc_id: r for r in edit_counts.apply_edits(counted, tokens.DEFAULT, house_edits).collect()}
     assert got[1].n_tokens_after == count("a line that is long enough\nb <number>\nend") and got[1].n_edits == 2
     assert (got[2].n_tokens, got[2].n_tokens_after, got[3].n_edits) == (0, 0, 0)
+
+
+def test_stored_trees_take_a_second_round_of_edits(spark, documents):
+    kind = "array<struct<start:int,end:int,replacement:string>>"
+    rows = [(i, "some words of a text, number %d " % i * (40 * i)) for i in range(1, 6)]
+    texts = dict(rows)
+    stored = edit_counts.with_trees(documents(rows), tokens.DEFAULT)
+    for turn in range(3):
+        asked = {i: [(7 * turn, 7 * turn + 3, "ab cd"), (len(t) // 2, min(len(t), len(t) // 2 + 400), "")] for i, t in texts.items()}
+        edits = spark.createDataFrame([(i, e) for i, e in asked.items()], f"doc_id long, edits {kind}")
+        stored = edit_counts.apply_edits(stored.join(edits, "doc_id"), tokens.DEFAULT, trees=True)
+        texts = {i: edited(t, asked[i]) for i, t in texts.items()}
+        got = {r["doc_id"]: r for r in stored.collect()}
+        assert {i: r["text"] for i, r in got.items()} == texts
+        for i, r in got.items():
+            assert r["error"] is None and r["n_tokens"] == count(texts[i]) == sum(r["leaf_tokens"])
+            assert sum(r["leaf_chars"]) == len(texts[i])
+
+
+def test_edits_that_cannot_be_applied_are_named(spark, documents):
+    kind = "array<struct<start:int,end:int,replacement:string>>"
+    given = {1: [(0, 99, "x")], 2: [(None, 2, "x")], 3: [(0, 2, "x"), (1, 3, "y")], 4: [(0, 1, "z"), None], 5: None}
+    edits = spark.createDataFrame(list(given.items()), f"doc_id long, edits {kind}")
+    counted = edit_counts.with_trees(documents([(i, "a few words") for i in given]), tokens.DEFAULT).join(edits, "doc_id")
+    got = {r["doc_id"]: r for r in edit_counts.apply_edits(counted, tokens.DEFAULT).collect()}
+    for i in (1, 2, 3):
+        assert got[i]["error"] and got[i]["n_tokens_after"] == got[i]["n_tokens"] == 3 and got[i]["n_edits"] == 0
+    assert got[4]["error"] is None and got[4]["n_edits"] == 1 and got[5]["error"] is None
