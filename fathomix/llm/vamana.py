@@ -8,8 +8,9 @@ A query runs a beam search in every shard; the shards' nearest are merged by exa
 double precision. Copies of a vector are one point of a graph with all their ids, so a group
 of copies of any size is searched once and loses no id that could be among the nearest.
 
-Searching meets every shard with every query, so its cost is queries times shards; a larger
-``shard_rows`` lowers it where the memory of a task allows.
+Searching meets every shard with every block of queries. Shards grow with the table, from
+4,096 to 65,536 rows, so the messages are fewer than the vectors until a table has 65,536 rows
+for every task; beyond that they are blocks times shards. Cosines are of vectors scaled by powers of two, so no magnitude overflows.
 
 Rows: vectors that are null, zero, or hold null or non-finite components take no part, nor do
 null ids or vectors of another length than most (the longer at a tie). A repeated id is
@@ -25,14 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fathomix.llm.common import shuffle_partitions
 from fathomix.session import materialize
 
-SHARD_ROWS = 4096
+# Rows of a shard: as many as give every task one, between these.
+SHARD_ROWS, LARGEST_SHARD = 4096, 1 << 16
 DEGREE = 32
 # Points kept while searching, and expanded at once.
 BEAM, WIDTH = 64, 4
 ALPHA = 1.2
 BATCH = 512
+# Queries that travel together.
+QUERY_BLOCK = 2048
 
 
 @dataclass
@@ -156,14 +161,18 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(rows, -1) if rows else np.zeros((0, 0))
 
 
-def build(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
+def build(vectors: DataFrame, shard_rows: int | None = None) -> tuple[DataFrame, int]:
     """The stored index, one row per shard, and the number of shards.
 
     ``shard, ids, vectors, edges``: ids and original vectors of all rows, and the graph over
     their distinct directions as neighbour lists.
     """
     rows = usable(vectors)
-    shards = max(1, -(-rows.count() // shard_rows))
+    total = rows.count()
+    if shard_rows is None:
+        tasks = max(shuffle_partitions(vectors), vectors.sparkSession.sparkContext.defaultParallelism)
+        shard_rows = min(max(SHARD_ROWS, -(-total // tasks)), LARGEST_SHARD)
+    shards = max(1, -(-total // shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.lit(shards)).cast("int"))
 
     def make(table: pa.Table) -> pa.Table:
@@ -189,11 +198,19 @@ def build(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame,
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    scaled = x / np.abs(x).max(axis=1, keepdims=True)
+    scaled = _scaled(x)
     return (scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times the power of two that brings their largest component near one; this rounds nothing."""
+    _, exponent = np.frexp(np.abs(x).max(axis=-1, keepdims=True))
+    return np.ldexp(x, -exponent)
+
+
 def cosines(query: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Cosines of vectors of any magnitude."""
+    query, others = _scaled(query), _scaled(others)
     dots = (others * query).sum(axis=1)
     return dots / (np.sqrt((query * query).sum()) * np.sqrt((others * others).sum(axis=1)))
 
@@ -226,6 +243,64 @@ class Shard:
                 yield query, int(self.ids[rows[at]]), float(scores[at])
 
 
+def search(index: DataFrame, shards: int, queries: DataFrame, k: int = 5, beam: int = BEAM) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found for each of ``queries``.
+
+    ``queries`` has ``vec_id`` and ``embedding`` of usable vectors. Queries travel in blocks, each
+    one to every shard. Each shard's index comes first in its partition, then the blocks, so a
+    task holds one shard at a time.
+    """
+    fields = [f for f in index.schema if f.name != "shard"]
+    stored = materialize(queries.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")))
+    blocks = max(1, -(-stored.count() // QUERY_BLOCK))
+    block = materialize(stored.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("id", "v"))).alias("q")).select(
+        "block", F.col("q.id").alias("asked"), F.flatten("q.v").alias("components")))
+    asked = block.select(
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields], "block", "asked", "components")
+    held = index.select("shard", *[f.name for f in fields], *[
+        F.lit(None).cast(block.schema[n].dataType).alias(n) for n in ("block", "asked", "components")])
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, current = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number = batch.column(0)[i].as_py()
+                ids = batch.column(batch.num_columns - 2)[i]
+                if not ids.is_valid:
+                    shard, current = Shard(batch.slice(i, 1).to_pylist()[0]), number
+                elif number == current:
+                    ids = ids.values.to_numpy()
+                    vectors = batch.column(batch.num_columns - 1)[i].values.to_numpy().reshape(len(ids), -1)
+                    for low in range(0, len(ids), BATCH):
+                        rows = list(shard.nearest(ids[low:low + BATCH], vectors[low:low + BATCH], k, beam))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, schema.types)], schema=schema)
+
+    together = held.unionByName(asked).repartition(shards, "shard").sortWithinPartitions(
+        "shard", F.col("block").asc_nulls_first())
+    near = together.mapInArrow(run, "query_id long, vec_id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", "score")
+
+
+def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, int, float]]:
+        """``query, vec_id, score`` of the ``k`` nearest other rows found for each query."""
+        found, _ = self.graph.search(_unit(queries), max(beam, 2 * k))
+        for query, vector, points in zip(ids.tolist(), queries, found):
+            points = points[points >= 0]
+            # Of copies, only the k + 1 smallest ids can be among the k nearest other rows.
+            rows = np.concatenate([
+                self.order[self.bounds[p]:min(self.bounds[p] + k + 1, self.bounds[p + 1])] for p in points])
+            rows = rows[self.ids[rows] != query]
+            scores = cosines(vector, self.vectors[rows])
+            for at in np.lexsort((self.ids[rows], -scores))[:k]:
+                yield query, int(self.ids[rows[at]]), float(scores[at])
+
+
 def search(index: DataFrame, shards: int, queries: DataFrame, k: int = 5, beam: int = BEAM) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found for each of ``queries``.
 
@@ -273,7 +348,7 @@ def search(index: DataFrame, shards: int, queries: DataFrame, k: int = 5, beam:
         "query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shard_rows: int | None = None, beam: int = BEAM) -> DataFrame:
     """The ``k`` nearest other rows of each row whose id is divisible by ``every``."""
     index, shards = build(vectors, shard_rows)
     asked = usable(vectors).filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))

@@ -64,3 +64,23 @@ def test_pruning_keeps_the_nearest_and_diverse_ones():
     points = np.stack([np.cos(angles), np.sin(angles)], axis=1).astype(np.float32)
     kept = vamana.pruned(points, np.array([0]), np.array([[1, 2, 3, 4, 5, 5, -1, 0]]), 3, 1.2)[0]
     assert kept[0] == 1 and 5 in kept and 2 not in kept and 3 not in kept
+
+
+def test_scores_at_any_magnitude(spark):
+    import math
+
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** p).tolist()) for i, p in enumerate([200, -200, 0, 300, -300, 150, -160, 1] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in vamana.nearest(df, every=10, k=5).collect()}
+    assert len(got) == 20
+
+    def plain(a, b):
+        a, b = ([x / max(map(abs, v)) for x in v] for v in (a, b))
+        return math.fsum(x * y for x, y in zip(a, b)) / math.sqrt(math.fsum(x * x for x in a) * math.fsum(x * x for x in b))
+
+    vectors = dict(rows)
+    for q in range(0, 40, 10):
+        best = sorted(((-plain(vectors[q], vectors[i]), i) for i in vectors if i != q))[:5]
+        for score, i in best:
+            assert got[q, i] == pytest.approx(-score, abs=1e-12)
