@@ -118,3 +118,84 @@ def test_grown_numbers_keep_their_format(spark):
                                    ("Ab-Cd", "secret", "xyqr-st"), ("Ab-Cd", "secret", "qr-st")], "m string, k string, w string")
     got = [r[0] for r in frame.select(surrogates._written(F.col("m"), F.col("k"), F.array("w"))).collect()]
     assert got == ["123-456-78901", "+1 (123) 456-78901", "xyQr-St", "Qr-St"]
+
+
+def test_names_are_replaced_wherever_a_document_repeats_them(documents):
+    rows = [(1, "Dr. Maria Lopez met us. Maria Lopez said so; Lopez left, Lopez's car and LOPEZ too."),
+            (2, "Ms. Maria Lopez"), (3, "Maria Lopez without a title"), (4, "MR. JOHN SMITH and mr smith, then Smith"),
+            (5, "Señora Ana de la Cruz, Cruz"), (6, "I miss London. Lopezia is no Lopez-Land.")]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(documents(rows), "k").collect()}
+    one = re.fullmatch(r"Dr\. (\w+) (\w+) met us\. (\w+) (\w+) said so; (\w+) left, (\w+)'s car and (\w+) too\.", got[1])
+    assert one and one[1] == one[3] and one[2] == one[4] == one[5] == one[6] and one[7] == one[2].upper()
+    assert "lopez" not in got[1].lower() and "maria" not in got[1].lower()
+    # One gender per name: the only title with a gender decides for both.
+    assert got[2] == f"Ms. {one[1]} {one[2]}" and one[1].endswith(tuple(surrogates._PARTS["latin"]["f"]))
+    assert got[3] == rows[2][1] and got[6] == rows[5][1]
+    four = re.fullmatch(r"MR\. (\w+) (\w+) and mr (\w+), then (\w+)", got[4])
+    assert four and four[1].isupper() and four[2] == four[3].upper() and four[4].lower() == four[3] and "smith" not in got[4].lower()
+    five = re.fullmatch(r"Señora (\w+) de la (\w+), (\w+)", got[5])
+    assert five and five[2] == five[3] and five[1].endswith(tuple(surrogates._PARTS["latin"]["f"]))
+
+
+def mod_97(iban):
+    text = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def test_accounts_addresses_and_national_numbers(documents):
+    texts = {1: "to DE89 3704 0044 0532 0130 00 or DE89370400440532013000, GB82 WEST 1234 5698 7654 32", 2: "at 2001:db8::ff00:42:8329 and fe80::1",
+             3: "call 0171 5557710 or 020 7946 0958", 4: "US12 THIS THAT TEXT and std::abs, 12:30:15"}
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(documents(list(texts.items())), "k").collect()}
+    one = re.fullmatch(r"to (DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20}), (GB\d\d [A-Z]{4}(?: \d{4}){3} \d\d)", got[1])
+    assert one and one[1].replace(" ", "") == one[2] and mod_97(one[1]) == mod_97(one[3]) == 1 and "WEST" not in got[1]
+    two = re.fullmatch(r"at ([0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4}) and ([0-9a-f]{4}::[0-9a-f])", got[2])
+    assert two and two[1] != "2001:db8::ff00:42:8329"
+    assert re.fullmatch(r"call 0\d{3} \d{7} or 0\d\d \d{4} \d{4}", got[3]) and "5557710" not in got[3] and "7946" not in got[3]
+    assert got[4] == texts[4]
+
+
+def plain_spans(text):
+    """Entities of a text by one pass of ``re`` over the same kinds; names again without their titles."""
+    import regex
+
+    pattern = regex.compile(surrogates.any_entity())
+    found = [m.group(0) for m in pattern.finditer(text)]
+    people = [regex.sub(f"^{surrogates._TITLE}", "", m).strip() for m in found
+              if regex.fullmatch(surrogates.PATTERNS["person"], m)]
+    words = [w for n in people for w in n.split() if regex.match(r"\p{Lu}", w) and len(w) > 1]
+    written = {*words, *(n for n in people if regex.match(r"\p{Lu}.* ", n))}
+    capitals = {" ".join(w[:1].upper() + w[1:].lower() for w in n.split(" ")) for n in written}
+    names = sorted(written | {n.upper() for n in written} | capitals, key=lambda n: (-len(n), n))
+    if names:
+        pattern = regex.compile(surrogates.any_entity() + r"|(?<![\p{L}\p{N}])(?:" + "|".join(names) + r")(?![\p{L}\p{N}])")
+    return [(m.start(), m.group(0)) for m in pattern.finditer(text)]
+
+
+def test_equals_a_plain_version(spark):
+    """Entity by entity: the same spans go, equal entities have equal surrogates and others different ones."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(10_000 + i, t) for i, t in TEXT.items()], "doc_id long, text string")
+    docs = table.unionByName(extra)
+    got = {r["doc_id"]: r for r in surrogates.replace_entities(docs, "k").collect()}
+    seen = {}
+    for r in docs.collect():
+        text, out, at, shift = r["text"] or "", got[r["doc_id"]]["text"] or "", 0, 0
+        spans = plain_spans(text)
+        assert got[r["doc_id"]]["replaced"] == len(spans)
+        rest = re.compile("(.*?)".join([re.escape(p) for p in _between(text, spans)]), re.S)
+        match = rest.fullmatch(out)
+        assert match, (text[:200], out[:200])
+        for (_, entity), new in zip(spans, match.groups()):
+            assert new != entity
+            seen.setdefault(entity, set()).add(new)
+    assert all(len(v) == 1 for v in seen.values())
+    exact = [next(iter(v)) for k, v in seen.items() if "@" in k]
+    assert len({e.lower() for e in exact}) == len({k.lower() for k in seen if "@" in k}) and len(seen) > 5
+
+
+def _between(text, spans):
+    at = 0
+    for start, entity in spans:
+        yield text[at:start]
+        at = start + len(entity)
+    yield text[at:]
