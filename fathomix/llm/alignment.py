@@ -21,7 +21,7 @@ strings are ordinary text. Repeated rows count as often as they appear, null ids
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -40,9 +40,9 @@ from fathomix.llm.tokens import ranked
 from fathomix.session import materialize
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-# Bytes of text in a block, and in one product.
-BLOCK_BYTES = 1 << 23
-PART_BYTES = 1 << 20
+# Bytes of text in a block, and in one product, whose arrays then stay in a processor's cache.
+BLOCK_BYTES = 1 << 22
+PART_BYTES = 1 << 17
 # Distinct pairs that a shard adds up, and links of shared groups made together, about.
 SHARD_PAIRS = 1 << 22
 PART_LINKS = 1 << 21
@@ -82,7 +82,10 @@ class Csr:
         return np.repeat(np.arange(self.height, dtype=np.int32), np.diff(self.starts))
 
     def transposed(self) -> Csr:
-        order = np.argsort(self.columns, kind="stable")
+        if np.all(self.columns[1:] >= self.columns[:-1]):
+            order = slice(None)
+        else:
+            order = np.argsort(self.columns, kind="stable")
         starts = np.zeros(self.width + 1, np.int64)
         np.cumsum(np.bincount(self.columns, minlength=self.width), out=starts[1:])
         return Csr(starts, self.row_of()[order], self.values[order], self.height)
@@ -94,9 +97,11 @@ class Csr:
     def times(self, other: Csr) -> Csr:
         """Gustavson's product: each row adds up the rows of ``other`` that its columns name."""
         sizes = np.diff(other.starts)[self.columns]
-        row = np.repeat(self.row_of(), sizes)
-        at = np.repeat(other.starts[self.columns] - (sizes.cumsum() - sizes), sizes) + np.arange(len(row))
-        column, value = other.columns[at], np.repeat(self.values, sizes) * other.values[at]
+        row, at, value = self.row_of(), other.starts[self.columns], self.values
+        if np.any(sizes != 1):
+            row, value = np.repeat(row, sizes), np.repeat(value, sizes)
+            at = np.repeat(at - (sizes.cumsum() - sizes), sizes) + np.arange(len(row))
+        column, value = other.columns[at], value * other.values[at]
         later = row[1:] == row[:-1]
         if np.any(later & (column[1:] < column[:-1])):
             order = np.lexsort((column, row))
@@ -114,11 +119,16 @@ def overlaps(first: np.ndarray, second: np.ndarray) -> Csr:
     return Csr.of_spans(first).times(Csr.of_spans(second).transposed())
 
 
-def groups_of(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where both kinds' tokens end, and the group of each token of either kind."""
+def groups_of(first: np.ndarray, second: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many groups the tokens of both kinds form, and the group of each token of either kind."""
     ends, other = first.cumsum(), second.cumsum()
-    common = np.intersect1d(ends, other, assume_unique=True)
-    return common, np.searchsorted(common, ends), np.searchsorted(common, other)
+    at = np.zeros((2, int(ends[-1]) + 1 if len(ends) else 1), bool)
+    at[0, ends] = True
+    at[1, other] = True
+    common = at[0] & at[1]
+    # A group begins after a common end.
+    left, right = common[ends], common[other]
+    return int(left.sum()), left.cumsum() - left, right.cumsum() - right
 
 
 def shared_groups(first: np.ndarray, second: np.ndarray, count: int) -> Iterator[tuple[int, Csr]]:
@@ -137,21 +147,20 @@ def shared_groups(first: np.ndarray, second: np.ndarray, count: int) -> Iterator
 
 
 class Tokens(NamedTuple):
-    """How one tokenizer encodes, and the bytes of each of its ids."""
+    """How one tokenizer encodes and joins its ids' bytes, and the length of each id's bytes."""
 
-    encode: object
-    pieces: list[bytes]
+    encode: Callable[[str], list[int]]
+    joined: Callable[[list[int]], bytes]
     sizes: np.ndarray
 
 
 def first_tokens(name: str) -> Tokens:
     """A byte-level BPE; it encodes a space and the text."""
     encoding = ranked(name)
-    pieces = [b""] * (encoding.max_token_value + 1)
+    sizes = np.zeros(encoding.max_token_value + 1, np.int64)
     for token in encoding.token_byte_values():
-        pieces[encoding.encode_single_token(token)] = token
-    return Tokens(lambda text: encoding.encode_to_numpy(" " + text, disallowed_special=()), pieces,
-                  np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        sizes[encoding.encode_single_token(token)] = len(token)
+    return Tokens(lambda text: encoding.encode_ordinary(" " + text), encoding.decode_bytes, sizes)
 
 
 def second_tokens(name: str) -> Tokens:
@@ -163,7 +172,7 @@ def second_tokens(name: str) -> Tokens:
     pieces = [
         bytes([int(processor.id_to_piece(i)[3:5], 16)]) if processor.is_byte(i)
         else processor.id_to_piece(i).replace(MARKER, " ").encode() for i in range(processor.get_piece_size())]
-    return Tokens(lambda text: np.array(processor.encode(text, num_threads=1), np.uint32), pieces,
+    return Tokens(processor.encode_as_ids, lambda ids: b"".join(map(pieces.__getitem__, ids)),
                   np.fromiter(map(len, pieces), np.int64, len(pieces)))
 
 
@@ -180,9 +189,9 @@ def encoded(text: str, kinds: tuple[Tokens, Tokens]) -> tuple[np.ndarray, np.nda
     out = []
     for kind in kinds:
         ids = kind.encode(text)
-        if b"".join([kind.pieces[i] for i in ids.tolist()]) != whole:
+        if kind.joined(ids) != whole:
             return None
-        out.append(ids.astype(np.uint32))
+        out.append(np.array(ids, np.uint32))
     return out[0], out[1]
 
 
@@ -235,7 +244,7 @@ class Block:
         self.n_a, self.n_b = unpack(row["n_a"]), unpack(row["n_b"])
         self.ids_a, self.ids_b = unpack(row["ids_a"], np.uint32), unpack(row["ids_b"], np.uint32)
         self.sizes_a, self.sizes_b = kinds[0].sizes, kinds[1].sizes
-        self.vocabulary = np.uint64(len(kinds[1].pieces))
+        self.vocabulary = np.uint64(len(kinds[1].sizes))
 
     def parts(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """Runs of documents of about ``PART_BYTES``, and their tokens of both kinds."""
@@ -312,20 +321,58 @@ _GROUP = pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "n_group_links")
 
 
+class Spelling:
+    """Groups as text: ``a1,a2|b1;a3|b2,b3``."""
+
+    def __init__(self, sizes: tuple[int, int]):
+        self.first = sizes[0]
+        numbers = [*range(sizes[0]), *range(sizes[1])]
+        width = len(str(max(numbers, default=0))) + 1
+        # Each id followed by a comma, or by what closes its side of a group.
+        self.cells = np.zeros((2, len(numbers), width), np.uint8)
+        self.sizes = np.fromiter((len(str(n)) + 1 for n in numbers), np.int64, len(numbers))
+        for closed in range(2):
+            for i, number in enumerate(numbers):
+                text = f"{number}," if not closed else f"{number}|" if i < sizes[0] else f"{number};"
+                self.cells[closed, i, :len(text)] = np.frombuffer(text.encode(), np.uint8)
+
+    def of(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, count: int, ends: np.ndarray) -> pa.Array:
+        """The text of each document; ``ends`` are the ends of their groups."""
+        in_a, in_b = np.bincount(group_a, minlength=count), np.bincount(group_b, minlength=count)
+        before_a, before_b = np.append(0, in_a.cumsum()), np.append(0, in_b.cumsum())
+        token = np.empty(len(a) + len(b), np.int64)
+        closed = np.zeros(len(token), np.int64)
+        at_a, at_b = np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + before_a[group_b + 1]
+        token[at_a], token[at_b] = a, b.astype(np.int64) + self.first
+        closed[at_a[before_a[1:] - 1]] = 1
+        closed[at_b[before_b[1:] - 1]] = 1
+        text = self.cells[closed, token].ravel()
+        text = text[text != 0]
+        # Where each document's text ends; the last separator is cut off.
+        whole = np.append(0, self.sizes[token].cumsum())[(before_a + before_b)[ends]]
+        kept = np.ones(len(text), bool)
+        closing = whole[np.diff(whole, prepend=0) > 0] - 1
+        kept[closing] = False
+        sizes = np.diff(whole, prepend=0)
+        offsets = np.append(0, (sizes - (sizes > 0)).cumsum()).astype(np.int32)
+        return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(text[kept]))
+
+
 def aligned(
     docs: DataFrame, first: str = FIRST, second: str = SECOND, keep: tuple[str, ...] = ("doc_id",),
-    block_bytes: int = BLOCK_BYTES,
+    spelt: bool = False, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``keep`` columns, figures and ``groups array<struct<a array<int>, b array<int>>>`` of every row's ``text``.
 
     ``n_a``, ``n_b`` tokens, ``n_groups``, ``n_links`` (overlaps), ``n_best`` (links whose pair is
     counted as often as any of its second id), ``count_sum`` (over links) and ``n_group_links``
-    (pairs that share a group). Counting runs when this is called. ``first`` and ``second`` are
-    paths, or names in the installed package.
+    (pairs that share a group). With ``spelt`` the groups are text, ``a1,a2|b1;a3|b2,b3``.
+    Counting runs when this is called. ``first`` and ``second`` are paths, or names in the
+    installed package.
     """
     stored = store_blocks(docs, first, second, keep, block_bytes)
     total = stored.agg(F.sum("bytes")).first()[0] or 0
-    vocabulary = len(second_tokens(second).pieces)
+    vocabulary = len(second_tokens(second).sizes)
     # A block of text has about a twentieth of its bytes in distinct pairs.
     shards = max(shuffle_partitions(docs), -(-total // (20 * SHARD_PAIRS)))
     counted = materialize(count_pairs(pair_requests(stored, first, second, shards), vocabulary))
@@ -337,43 +384,52 @@ def aligned(
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = both(first, second)
+        spelling = per_worker(f"spelling {first} {second}", lambda: Spelling(tuple(len(t.sizes) for t in tokens))) if spelt else None
         for row in rows_of(batches):
-            yield from _figures(row, both(first, second), shards, highest, [*keep, *_FIGURES, "groups"])
+            yield from _figures(row, tokens, shards, highest, spelling, [*keep, *_FIGURES, "groups"])
 
-    return replies.mapInArrow(run, ", ".join([kinds, *[f"{n} long" for n in _FIGURES],
-                                              "groups array<struct<a array<int>, b array<int>>>"]))
+    groups = "string" if spelt else "array<struct<a array<int>, b array<int>>>"
+    return replies.mapInArrow(run, ", ".join([kinds, *[f"{n} long" for n in _FIGURES], f"groups {groups}"]))
 
 
-def _figures(row: dict, kinds: tuple[Tokens, Tokens], shards: int, highest: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _figures(
+    row: dict, kinds: tuple[Tokens, Tokens], shards: int, highest: np.ndarray, spelling: Spelling | None, names: list[str],
+) -> Iterator[pa.RecordBatch]:
     block, kept = Block(row, kinds), table_of(unsqueeze(row["kept"]))
-    distinct, _ = block.pairs()
+    parts = [(docs, a, b, *block.links(a, b)) for docs, a, b in block.parts()]
+    distinct, pair = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
+    pair = pair.astype(np.int32)
     counts = placed(owners(spread(distinct), shards), row["replies"], unpack)
-    best = counts == highest[(distinct % block.vocabulary).astype(np.int64)]
-    for docs, a, b in block.parts():
+    best = (counts == highest[(distinct % block.vocabulary).astype(np.int64)]).astype(np.int64)
+    done = 0
+    for docs, a, b, keys, per_token in parts:
+        at = pair[done:done + len(keys)]
+        done += len(keys)
         n_a, n_b = block.n_a[docs], block.n_b[docs]
         ends_a = n_a.cumsum()
-        keys, per_token = block.links(a, b)
-        at = np.searchsorted(distinct, keys)
-        link_ends = np.concatenate([[0], per_token.cumsum()])[ends_a]
-        common, group_a, group_b = groups_of(block.sizes_a[a], block.sizes_b[b])
-        group_ends = np.concatenate([[0], group_a + 1])[ends_a]
+        link_ends = np.append(0, per_token.cumsum())[ends_a]
+        count, group_a, group_b = groups_of(block.sizes_a[a], block.sizes_b[b])
+        group_ends = np.append(0, group_a + 1)[ends_a]
         shared = np.zeros(len(a) + 1, np.int64)
-        for low, some in shared_groups(group_a, group_b, len(common)):
+        for low, some in shared_groups(group_a, group_b, count):
             shared[low + 1:low + 1 + some.height] = np.diff(some.starts)
         figures = [n_a, n_b, _steps(group_ends), _steps(link_ends),
-                   *(_steps(np.concatenate([[0], x[at].cumsum()])[link_ends]) for x in (best.astype(np.int64), counts)),
-                   _steps(shared.cumsum()[ends_a])]
-        sides = [pa.ListArray.from_arrays(pa.array(_offsets(np.bincount(g, minlength=len(common)))), pa.array(ids.astype(np.int32)))
-                 for g, ids in ((group_a, a), (group_b, b))]
-        groups = pa.StructArray.from_arrays(sides, fields=list(_GROUP))
-        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], group_ends]).astype(np.int32)), groups)
+                   *(_steps(np.append(0, x[at].cumsum())[link_ends]) for x in (best, counts)), _steps(shared.cumsum()[ends_a])]
+        if spelling:
+            groups = spelling.of(a, b, group_a, group_b, count, group_ends)
+        else:
+            sides = [pa.ListArray.from_arrays(pa.array(_offsets(np.bincount(g, minlength=count))), pa.array(ids.astype(np.int32)))
+                     for g, ids in ((group_a, a), (group_b, b))]
+            groups = pa.ListArray.from_arrays(pa.array(np.append(0, group_ends).astype(np.int32)),
+                                              pa.StructArray.from_arrays(sides, fields=list(_GROUP)))
         columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
                    for c in kept.slice(docs.start, docs.stop - docs.start).columns]
-        yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, figures), listed], names=names)
+        yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, figures), groups], names=names)
 
 
 def _offsets(sizes: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], sizes.cumsum()]).astype(np.int32)
+    return np.append(0, sizes.cumsum()).astype(np.int32)
 
 
 def _steps(ends: np.ndarray) -> np.ndarray:

@@ -91,11 +91,9 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = "array_join(cast({} as array<string>), ',')"
-    spelt = f"array_join(transform(groups, g -> concat({ids.format('g.a')}, '|', {ids.format('g.b')})), ';')"
-    aligned = alignment.aligned(_table(spark, sf_dir, "documents"))
-    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.expr(
-        f"CASE WHEN n_groups = 0 THEN '' ELSE sha2({spelt}, 256) END").alias("groups_sha256"))
+    aligned = alignment.aligned(_table(spark, sf_dir, "documents"), spelt=True)
+    digest = F.when(F.col("n_groups") == 0, F.lit("")).otherwise(F.sha2("groups", 256))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (

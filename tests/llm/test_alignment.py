@@ -70,6 +70,10 @@ def plain(tokens, texts):
              sum(len(x) * len(y) for x, y in groups), groups) for n_a, n_b, groups, links in held]
 
 
+def spelling(groups):
+    return ";".join("|".join(",".join(map(str, ids)) for ids in g) for g in groups)
+
+
 def rows(df, key="doc_id"):
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "n_group_links"]
     return sorted(((r[key], *(r[n] for n in names), [(g["a"], g["b"]) for g in r["groups"]]) for r in df.collect()), key=repr)
@@ -87,6 +91,9 @@ def test_equals_comparing_all_tokens(documents, plain_tokens, monkeypatch, block
     found = rows(al.aligned(documents(given_rows, "groups string"), block_bytes=block_bytes))
     expected = plain(plain_tokens, [t for _, t in given_rows])
     assert found == sorted(((i, *x) for (i, _), x in zip(given_rows, expected)), key=repr)
+    spelt = al.aligned(documents(given_rows), spelt=True, block_bytes=block_bytes).collect()
+    assert sorted(((r["doc_id"], r["groups"]) for r in spelt), key=repr) == sorted(
+        ((i, spelling(x[-1])) for (i, _), x in zip(given_rows, expected)), key=repr)
 
 
 def test_query_over_whole_texts(spark, plain_tokens):
@@ -96,8 +103,7 @@ def test_query_over_whole_texts(spark, plain_tokens):
     found = {r["doc_id"]: r for r in op13_tokenizer_alignment(spark, folder).collect()}
     assert len(found) == len(table)
     for r, (n_a, n_b, n_groups, n_links, *_, groups) in zip(short, plain(plain_tokens, [r["text"] for r in short])):
-        spelt = ";".join("|".join(",".join(map(str, ids)) for ids in g) for g in groups)
-        digest = hashlib.sha256(spelt.encode()).hexdigest() if groups else ""
+        digest = hashlib.sha256(spelling(groups).encode()).hexdigest() if groups else ""
         got = found[r["doc_id"]]
         assert (got["n_a"], got["n_b"], got["n_groups"], got["n_links"], got["groups_sha256"]) == (n_a, n_b, n_groups, n_links, digest)
 
