@@ -8,8 +8,9 @@ quotient filter: the leading bits are the quotient, whose run of slots two bit v
 and each slot holds the full remainder and a counter. Nothing is lost, so the filter counts
 exactly. The permutation spreads whatever repeats, so ranges of it are even shards; a shard
 merges its blocks' filters, which are sorted alike, and undoes the permutation for what is
-frequent. Rare words can be left out beforehand because a phrase is no more frequent than
-its rarest word.
+frequent. A phrase is no more frequent than its words and its pairs of neighbours, so words,
+pairs and longer phrases are counted in this order, and the blocks are told what is frequent
+before they pack the next.
 
 Scoring is a join of the frequent phrases with themselves. A phrase cut after k words scores
 ``floor(scale * a / (l + r))`` with the counts of itself, its first part and its rest; its
@@ -238,6 +239,24 @@ def restored(high: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray,
 # --- counting quotient filters ----------------------------------------------------------------
 
 
+def in_order(high: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of fingerprints, and where each distinct one starts in it."""
+    if 2 * width <= 64:
+        order = np.argsort((high << np.uint64(width)) | low, kind="stable")
+    else:
+        order = np.lexsort((low, high))
+    first = np.ones(len(order), bool)
+    first[1:] = (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
+    return order, np.flatnonzero(first)
+
+
+def on_each(values: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The value of each distinct fingerprint at every place that holds it."""
+    out = np.empty(len(order), values.dtype)
+    out[order] = np.repeat(values, np.diff(np.append(starts, len(order))))
+    return out
+
+
 @dataclass
 class QuotientFilter:
     """Distinct fingerprints of ``2 * width`` bits in ascending order, with a counter each.
@@ -254,19 +273,12 @@ class QuotientFilter:
     @classmethod
     def of(cls, high: np.ndarray, low: np.ndarray, counts: np.ndarray | None, width: int, shard_bits: int = 0) -> QuotientFilter:
         """Counts equal fingerprints, or adds up their ``counts``."""
-        if 2 * width <= 64:
-            order = np.argsort((high << np.uint64(width)) | low, kind="stable")
-        else:
-            order = np.lexsort((low, high))
-        high, low = high[order], low[order]
-        first = np.ones(len(high), bool)
-        first[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-        starts = np.flatnonzero(first)
+        order, starts = in_order(high, low, width)
         if counts is None:
             sums = np.diff(np.append(starts, len(high)))
         else:
             sums = np.add.reduceat(counts[order], starts) if len(starts) else counts[:0]
-        return cls(high[starts], low[starts], sums, width, shard_bits)
+        return cls(high[order[starts]], low[order[starts]], sums, width, shard_bits)
 
     @classmethod
     def merged(cls, filters: Sequence[QuotientFilter]) -> QuotientFilter:
@@ -337,27 +349,109 @@ def _from_bits(data: bytes, width: int, size: int) -> np.ndarray:
 # --- counting phrases -------------------------------------------------------------------------
 
 
-def phrase_filters(blocks: DataFrame, offsets: np.ndarray, shards: int, longest: int, id_bits: int, shard_bits: int) -> DataFrame:
-    """``length, shard, filter``: each block's runs of frequent words, as one filter per length and shard."""
+@dataclass
+class Layout:
+    """How words and phrases are spread over shards."""
+
+    offsets: np.ndarray
+    word_shards: int
+    id_bits: int
+    shard_bits: int
+
+    def ids(self, row: dict) -> np.ndarray:
+        """The ids of a block's words in turn; 0 for rare words and piece ends."""
+        owner = owners_of_texts(unpack_texts(row["vocab"]), self.word_shards)
+        ranks = placed(owner, row["replies"], unpack)
+        return np.concatenate([[0], np.where(ranks > 0, ranks + self.offsets[owner], 0)])[unpack(row["numbers"], np.uint32)]
+
+    def fingerprints(self, ids: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The permuted phrases of ``length`` words that start at ``at``, and the width of their halves."""
+        width = half_bits(length, self.id_bits)
+        return *permuted(*packed([ids[at + j] for j in range(length)], self.id_bits), width), width
+
+    def shards(self, counted: QuotientFilter) -> Iterator[tuple[int, QuotientFilter]]:
+        return counted.shards(min(self.shard_bits, counted.width))
+
+
+def pairs_at(ids: np.ndarray) -> np.ndarray:
+    """Where two frequent words stand together."""
+    return np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+
+
+def pair_filters(blocks: DataFrame, layout: Layout) -> DataFrame:
+    """``block, shard, filter``: each block's pairs of frequent words, as one filter per shard."""
+    arrow = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("filter", pa.binary())])
+
+    def count(row: dict) -> Iterator[dict]:
+        ids = layout.ids(row)
+        high, low, width = layout.fingerprints(ids, pairs_at(ids), 2)
+        for shard, part in layout.shards(QuotientFilter.of(high, low, None, width)):
+            yield {"block": row["block"], "shard": shard, "filter": part.to_bytes()}
+
+    return per_row(blocks.select("block", "vocab", "numbers", "replies"), count, "block long, shard int, filter binary", arrow)
+
+
+def frequent_pairs(filters: DataFrame, id_bits: int, min_count: int) -> DataFrame:
+    """``ids, f`` of every pair seen at least ``min_count`` times, and replies.
+
+    A reply (``block`` given) has one bit for each of the block's fingerprints: is it frequent?
+    """
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("reply", pa.binary()), ("ids", pa.list_(pa.int64())),
+                        ("f", pa.int64())])
+
+    def merge(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        held = [QuotientFilter.from_bytes(x.as_py(), shard) for x in table.column("filter")]
+        high, low, counts = (np.concatenate([getattr(h, n) for h in held]) for n in ("high", "low", "counts"))
+        order, starts = in_order(high, low, held[0].width)
+        sums = np.add.reduceat(counts[order], starts)
+        kept = sums >= min_count
+        bits = np.split(on_each(kept, order, starts), np.cumsum([len(h.high) for h in held])[:-1])
+        blocks = table.column("block")
+        replies = pa.Table.from_pydict({
+            "shard": [shard] * len(held), "block": blocks, "reply": [np.packbits(x).tobytes() for x in bits],
+            "ids": pa.nulls(len(held), schema.field("ids").type), "f": pa.nulls(len(held), pa.int64())}, schema=schema)
+        first = order[starts[kept]]
+        found = _phrases(high[first], low[first], sums[kept], 2, id_bits)
+        rows = pa.Table.from_pydict({
+            "shard": [shard] * len(first), "block": pa.nulls(len(first), pa.int64()), "reply": pa.nulls(len(first), pa.binary()),
+            "ids": found[0], "f": found[1]}, schema=schema)
+        return pa.concat_tables([replies, rows])
+
+    return filters.groupBy("shard").applyInArrow(merge, "shard int, block long, reply binary, ids array<long>, f long")
+
+
+def longer_filters(blocks: DataFrame, layout: Layout, longest: int) -> DataFrame:
+    """``length, shard, filter``: each block's longer runs whose pairs are all frequent."""
     arrow = pa.schema([("length", pa.int32()), ("shard", pa.int32()), ("filter", pa.binary())])
 
     def count(row: dict) -> Iterator[dict]:
-        owner = owners_of_texts(unpack_texts(row["vocab"]), shards)
-        ranks = placed(owner, row["replies"], unpack)
-        ids = np.concatenate([[0], np.where(ranks > 0, ranks + offsets[owner], 0)])[unpack(row["numbers"])]
-        known = ids > 0
-        usable = known
-        for length in range(2, longest + 1):
-            usable = usable[:-1] & known[length - 1:]
-            at = np.flatnonzero(usable)
-            if not len(at):
-                return
-            width = half_bits(length, id_bits)
-            high, low = permuted(*packed([ids[at + j] for j in range(length)], id_bits), width)
-            for shard, part in QuotientFilter.of(high, low, None, width).shards(min(shard_bits, width)):
+        ids = layout.ids(row)
+        at = pairs_at(ids)
+        high, low, width = layout.fingerprints(ids, at, 2)
+        order, starts = in_order(high, low, width)
+        answers = {r["shard"]: r["reply"] for r in row["pairs"] or []}
+        distinct = QuotientFilter(high[order[starts]], low[order[starts]], starts, width)
+        bits = [np.unpackbits(np.frombuffer(answers[shard], np.uint8), count=len(part.high))
+                for shard, part in layout.shards(distinct)]
+        usable = np.zeros(max(len(ids) - 1, 0), bool)
+        if bits:
+            usable[at] = on_each(np.concatenate(bits).astype(bool), order, starts)
+        pairs = usable
+        for length in range(3, longest + 1):
+            usable = usable[:-1] & pairs[length - 2:]
+            high, low, width = layout.fingerprints(ids, np.flatnonzero(usable), length)
+            for shard, part in layout.shards(QuotientFilter.of(high, low, None, width)):
                 yield {"length": length, "shard": shard, "filter": part.to_bytes()}
 
-    return per_row(blocks.select("vocab", "numbers", "replies"), count, "length int, shard int, filter binary", arrow)
+    return per_row(blocks.select("vocab", "numbers", "replies", "pairs"), count, "length int, shard int, filter binary", arrow)
+
+
+def _phrases(high: np.ndarray, low: np.ndarray, counts: np.ndarray, length: int, id_bits: int) -> list[pa.Array]:
+    """``ids, f`` of fingerprints."""
+    ids = np.stack(unpacked(*restored(high, low, half_bits(length, id_bits)), length, id_bits), axis=1)
+    offsets = np.arange(0, ids.size + 1, length, dtype=np.int32)
+    return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.ravel())), pa.array(counts.astype(np.int64))]
 
 
 def frequent_phrases(filters: DataFrame, id_bits: int, min_count: int) -> DataFrame:
@@ -368,11 +462,7 @@ def frequent_phrases(filters: DataFrame, id_bits: int, min_count: int) -> DataFr
         length, shard = table.column("length")[0].as_py(), table.column("shard")[0].as_py()
         every = QuotientFilter.merged([QuotientFilter.from_bytes(x.as_py(), shard) for x in table.column("filter")])
         kept = every.counts >= min_count
-        high, low = restored(every.high[kept], every.low[kept], every.width)
-        ids = np.stack(unpacked(high, low, length, id_bits), axis=1)
-        offsets = np.arange(0, ids.size + 1, length, dtype=np.int32)
-        return pa.Table.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.ravel())),
-                                     pa.array(every.counts[kept])], schema=schema)
+        return pa.Table.from_arrays(_phrases(every.high[kept], every.low[kept], every.counts[kept], length, id_bits), schema=schema)
 
     return filters.groupBy("length", "shard").applyInArrow(merge, "ids array<long>, f long")
 
@@ -383,7 +473,8 @@ def best_cuts(phrases: DataFrame, grams: DataFrame, scale: int) -> DataFrame:
     cuts = phrases.select("ids", "f", F.explode(ks).alias("k")).select(
         "*", F.slice("ids", F.lit(1), F.col("k")).alias("first"),
         F.expr("slice(ids, k + 1, size(ids) - k)").alias("rest"))
-    cuts = lookup_join(cuts, grams.select(F.col("ids").alias("first"), F.col("f").alias("l")), ["first"], salt_by=["ids"])
+    # Stored, as the next join reads its rows twice.
+    cuts = materialize(lookup_join(cuts, grams.select(F.col("ids").alias("first"), F.col("f").alias("l")), ["first"], salt_by=["ids"]))
     cuts = lookup_join(cuts, grams.select(F.col("ids").alias("rest"), F.col("f").alias("r")), ["rest"], salt_by=["ids"])
     score = F.expr(f"cast({scale} as decimal(18,0)) * cast(f as decimal(19,0)) div (cast(l as decimal(20,0)) + r)")
     return cuts.groupBy("ids", "f").agg(F.min(F.struct(score.cast("long").alias("score"), "k", "l", "r")).alias("cut")).select(
@@ -426,13 +517,18 @@ def mined(
     id_bits = max(1, int(offsets[-1]).bit_length())
     if id_bits > 32:
         raise ValueError("more than 2**32 frequent words")
-    shard_bits = max(shuffle_partitions(docs) - 1, words // SHARD_SLOTS).bit_length()
+    layout = Layout(offsets, shards, id_bits, max(shuffle_partitions(docs) - 1, words // SHARD_SLOTS).bit_length())
     dictionary = materialize(words_with_ids(of_shards, offsets))
-    filters = phrase_filters(with_replies(stored, counted.select("shard", "block", "reply"), "replies"),
-                             offsets, shards, longest, id_bits, shard_bits)
-    phrases = materialize(frequent_phrases(filters, id_bits, min_count))
+    blocks = with_replies(stored, counted.select("shard", "block", "reply"), "replies")
+    pairs = materialize(frequent_pairs(pair_filters(blocks, layout), id_bits, min_count))
+    phrases = pairs.filter("block IS NULL").select("ids", "f")
+    if longest > 2:
+        known = with_replies(blocks, pairs.select("shard", "block", "reply"), "pairs")
+        phrases = phrases.unionByName(frequent_phrases(longer_filters(known, layout, longest), id_bits, min_count))
+    phrases = materialize(phrases)
     grams = materialize(dictionary.select(F.array("id").alias("ids"), "f").unionByName(phrases))
-    kept = not_within_longer(best_cuts(phrases, grams, scale), phrases, percent)
+    # First what needs no cut, so that only what stays is cut.
+    kept = materialize(best_cuts(materialize(not_within_longer(phrases, phrases, percent)), grams, scale))
     named = lookup_join(kept.select("*", F.posexplode("ids").alias("at", "id")), dictionary.select("id", "lang", "word"), ["id"],
                         salt_by=["ids"])
     spelt = named.groupBy("ids", F.col("f").alias("a"), "l", "r", "score").agg(

@@ -59,6 +59,13 @@ def test_equals_plain_counting(spark, block_words):
         assert mined(df, block_words=block_words, **settings_) == plain(rows, **settings_)
 
 
+@pytest.mark.parametrize("top", [1, 3, 7])
+def test_few_best_of_many(spark, top):
+    rows = [("en", t) for t in corpus(9, 150)] + [("fr", t) for t in corpus(10, 40)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    assert mined(df, min_count=3, top=top) == plain(rows, 3, top)
+
+
 def test_ties_go_by_count_and_bytes(spark):
     rows = [("en", "z é. z e. b c d. " * 4 + "y y. " * 2)]
     df = spark.createDataFrame(rows, "lang string, text string")

@@ -77,3 +77,38 @@ def test_bad_trees():
 def test_only_built_in_functions(documents):
     plan = shards.shard_rows(documents([(1, "a")]), shards.even_tree(2))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_place(tree, key):
+    """The same draws by plain code: XXH64 over key and child, seed 42, exponential over the weight."""
+    import math
+
+    import xxhash
+
+    text = ("null" if key is None else f"={key}").encode()
+
+    def winner(children):
+        draws = []
+        for name, weight in children.items():
+            bits = xxhash.xxh64_intdigest(name.encode(), xxhash.xxh64_intdigest(text, 42)) >> 11
+            draws.append((-math.log((bits + 0.5) / 2**53) / weight, name))
+        return min(draws)[1]
+
+    weights = {r: {k: sum(s.values()) for k, s in racks.items()} for r, racks in tree.items()}
+    region = winner({r: sum(w.values()) for r, w in weights.items()})
+    rack = winner({f"{region}/{k}": w for k, w in weights[region].items()})
+    leaves = tree[region][rack.split("/", 1)[1]]
+    return int(winner({f"{rack}/{s}": w for s, w in leaves.items()}).rsplit("/", 1)[1])
+
+
+def test_placement_equals_plain_draws(spark):
+    from pyspark.sql import functions as F
+
+    from fathomix.llm import shards
+
+    uneven = {"a": {"x": {0: 1.0, 1: 3.5}, "y": {2: 0.2}}, "b": {"x": {3: 2.0}}}
+    keys = [None, 0, 1, -7, *range(100, 600)]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    for tree in (uneven, shards.even_tree(8), shards.grown(shards.even_tree(8), 8)):
+        got = rows.select("k", shards.place(tree, F.col("k")).alias("s")).collect()
+        assert {r["k"]: r["s"] for r in got} == {k: plain_place(tree, k) for k in keys}
