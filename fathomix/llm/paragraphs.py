@@ -13,7 +13,8 @@ Copies of a unit are folded before any comparison. In a band value's bucket (one
 first of its run, so the work grows with the bucket and not with its square; buckets of up to
 ``NEIGHBOURS + 1`` are compared in full. For larger ones this only forms first clusters: their
 paragraphs then meet through their rarest shingles (two at the least similarity always share
-one of the first few), and every pair of different clusters that can be similar is verified.
+one of the first few), and every pair of different clusters that can be similar, by its sizes, the
+place of the shared shingle and sketches of all shingles, is verified.
 Where more than ``BUCKET_ROWS`` share a shingle, they are cut into parts and each two parts meet.
 
 A component counts when it appears in two or more rows. It keeps its first unit (smallest
@@ -53,6 +54,8 @@ _FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, 2 * BANDS * ROWS, np
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # Counters of shingles by hash; they order shingles from rare to common, and any order is exact.
 SLOTS = 1 << 18
+# Columns of a paragraph's sketch, 64 bits each.
+SKETCH = ("s0", "s1", "s2", "s3")
 # Postings up to this many rows are compared together, longer ones one by one.
 SHORT = 16
 # Units looked up by a broadcast of their hashes alone, some 50 bytes each; beyond, by a join.
@@ -260,9 +263,11 @@ def _line_shingles(line: bytes) -> np.ndarray:
 
 
 def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
-    """``key, hash, size, at``: of each paragraph's ``size`` shingles, rarest first, those that count.
+    """``key, hash, size, at`` and ``SKETCH``: of each paragraph's ``size`` shingles, rarest first, those that count.
 
-    Two paragraphs with a similarity of ``least`` share one of these, whatever the order.
+    Two paragraphs with a similarity of ``least`` share one of these, whatever the order. The
+    sketch has a bit for each class of shingles of which the paragraph holds an odd number, so
+    two sketches differ in no more bits than the paragraphs differ in shingles.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(SLOTS, np.int64)
@@ -276,13 +281,15 @@ def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
     for r in texts.select("line").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         counts[r.slot] = r.n
     shared = texts.sparkSession.sparkContext.broadcast(counts)
-    schema = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("size", pa.int32()), ("at", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("size", pa.int32()), ("at", pa.int32()),
+                        *[(n, pa.int64()) for n in SKETCH]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, sketches = [], [], [np.zeros((0, len(SKETCH)), np.int64)]
             for line in batch.column(1):
                 found = _line_shingles(line.as_py())
+                sketches.append(sketch(found)[None])
                 found = found[np.lexsort((found, shared.value[found & (SLOTS - 1)]))]
                 sizes.append(len(found))
                 keys.append(found[:len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1])
@@ -292,9 +299,17 @@ def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
                 pa.array(np.concatenate([np.zeros(0, np.int64), *keys])),
                 pa.array(np.repeat(batch.column(0).to_numpy(), taken)),
                 pa.array(np.repeat(np.array(sizes, np.int32), taken)), pa.array(at.astype(np.int32)),
+                *[pa.array(np.repeat(c, taken)) for c in np.concatenate(sketches).T],
             ], schema=schema)
 
-    return texts.select("hash", "line").mapInArrow(run, "key long, hash long, size int, at int")
+    return texts.select("hash", "line").mapInArrow(
+        run, "key long, hash long, size int, at int, " + ", ".join(f"{n} long" for n in SKETCH))
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each class, as one bit."""
+    odd = np.bincount((shingles >> 18) & (64 * len(SKETCH) - 1), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def crossing(postings: DataFrame, roots: DataFrame, least: float, leaders: bool) -> DataFrame:
@@ -304,7 +319,8 @@ def crossing(postings: DataFrame, roots: DataFrame, least: float, leaders: bool)
     ``leaders``, a long posting's rows meet only the first row of each cluster in it.
     """
     named = lookup_join(postings, roots.select(F.col("node").alias("hash"), "root"), ["hash"], "left", salt_by=["key"])
-    rows = named.select("key", F.coalesce("root", "hash").alias("root"), "hash", "size", "at")
+    columns = ["root", "hash", "size", "at", *SKETCH]
+    rows = named.select("key", F.coalesce("root", "hash").alias("root"), *columns[1:])
     counts = materialize(rows.groupBy("key").agg(
         F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("mixed")).filter(F.col("n") > BUCKET_ROWS))
     if not counts.isEmpty():
@@ -314,7 +330,7 @@ def crossing(postings: DataFrame, roots: DataFrame, least: float, leaders: bool)
         rows = rows.join(F.broadcast(counts), "key", "left").filter(F.coalesce("mixed", F.lit(True))).withColumns(
             {"part": part, "parts": parts}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         split = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
-        rows = rows.select(F.when(F.col("parts") > 1, split).otherwise(F.col("key")).alias("key"), "root", "hash", "size", "at")
+        rows = rows.select(F.when(F.col("parts") > 1, split).otherwise(F.col("key")).alias("key"), *columns)
     rows = rows.repartition("key").sortWithinPartitions("key", "root", "hash")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -323,16 +339,20 @@ def crossing(postings: DataFrame, roots: DataFrame, least: float, leaders: bool)
         return np.ceil(least / (1 + least) * sizes - 1e-9)
 
     def near(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, root, code, size, at = rows
+        _, root, code, size, at, *sketches = rows
         # No earlier shingle is shared where this is the first, so all shared ones are from here on.
         rest = np.minimum(size[a] - at[a], size[b] - at[b])
         good = (root[a] != root[b]) & (rest >= needed(size[a] + size[b]))
         good &= np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9
-        x, y = code[a[good]], code[b[good]]
+        a, b = a[good], b[good]
+        # Two sketches differ in no more bits than the paragraphs in shingles.
+        apart = sum(np.bitwise_count((s[a] ^ s[b]).view(np.uint64)).astype(np.int64) for s in sketches)
+        close = apart <= size[a] + size[b] - 2 * needed(size[a] + size[b])
+        x, y = code[a[close]], code[b[close]]
         return np.minimum(x, y), np.maximum(x, y)
 
     def pairs_of(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key, root, _, size, at = rows
+        key, root, _, size, at = rows[:5]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(starts[1:], len(key))
         mixed = root[starts] != root[ends - 1]

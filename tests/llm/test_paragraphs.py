@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import pytest
 
 from fathomix.llm import paragraphs
@@ -171,7 +173,8 @@ def test_parts_of_a_cut_bucket_still_meet(spark, documents, monkeypatch):
 @pytest.mark.parametrize("leaders", [True, False])
 def test_every_two_rows_of_a_long_posting_meet(spark, monkeypatch, leaders):
     monkeypatch.setattr(paragraphs, "BUCKET_ROWS", 50)
-    postings = spark.createDataFrame([(7, i, 80, 0) for i in range(220)], "key long, hash long, size int, at int")
+    postings = spark.createDataFrame([(7, i, 80, 0, 0, 0, 0, 0) for i in range(220)],
+                                     "key long, hash long, size int, at int, s0 long, s1 long, s2 long, s3 long")
     none = spark.createDataFrame([], "node long, root long")
     got = {(r.a, r.b) for r in paragraphs.crossing(postings, none, 0.8, leaders).collect()}
     assert got == {(i, j) for i in range(220) for j in range(i + 1, 220)}
@@ -196,3 +199,12 @@ def test_text_ids_are_kept(spark):
     docs = spark.createDataFrame([("b", line), ("a", line), (None, line), ("c", "short")], "doc_id string, text string")
     got = {(r.doc_id, r.n_words, r.class_id, r.removed) for r in paragraphs.repeated_spans(docs).collect()}
     assert got == {("a", 40, "a", False), ("b", 40, "a", True), (None, 40, "a", True)}
+
+
+def test_sketches_differ_in_no_more_bits_than_the_sets():
+    draw = np.random.default_rng(4)
+    for _ in range(300):
+        common = draw.integers(0, 2**62, draw.integers(0, 80))
+        one, other = (np.unique(np.concatenate([common, draw.integers(0, 2**62, draw.integers(0, 30))])) for _ in "ab")
+        bits = int(np.bitwise_count((paragraphs.sketch(one) ^ paragraphs.sketch(other)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(one, other))
