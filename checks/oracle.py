@@ -440,8 +440,10 @@ merged AS (SELECT *, coalesce(nullif(min_time, ''), time_start) AS low, coalesce
     coalesce(min_lat, lat_min) AS la, coalesce(max_lat, lat_max) AS lb, coalesce(min_lon, lon_min) AS oa, coalesce(max_lon, lon_max) AS ob
   FROM requests JOIN coverage USING (dataset_id)),
 full_bounds AS (SELECT *, {_whole('low', 'T00:00:00Z')} AS first, {_whole('high', 'T23:59:59Z')} AS last FROM merged)""")
-_oracle("skipped_requests", """SELECT dataset_id, 'to_time soon cannot be read' AS reason FROM requests JOIN coverage USING (dataset_id)
-  WHERE max_time = 'soon'""", COVERAGE, REQUESTS)
+_oracle("skipped_requests", """SELECT dataset_id, concat_ws('; ', CASE WHEN max_time = 'soon' THEN 'to_time soon cannot be read' END,
+    CASE WHEN known IS NULL THEN 'the dataset has no coverage' END) AS reason
+  FROM requests LEFT JOIN (SELECT dataset_id, true AS known FROM coverage) USING (dataset_id)
+  WHERE max_time = 'soon' OR known IS NULL""", COVERAGE, REQUESTS)
 _oracle("incomplete_boxes", """SELECT request_id, concat_ws(', ', CASE WHEN min_lat IS NULL THEN 'min_lat' END,
   CASE WHEN max_lat IS NULL THEN 'max_lat' END, CASE WHEN min_lon IS NULL THEN 'min_lon' END,
   CASE WHEN max_lon IS NULL THEN 'max_lon' END) AS missing FROM requests

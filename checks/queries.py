@@ -365,7 +365,7 @@ def unknown_variables(spark, d):
 
 @query
 def resolved_requests(spark, d):
-    rows = constraints.bound_requests(adapters.requests(spark, d), adapters.coverage(spark, d))
+    rows = constraints.bound_requests(adapters.requests(spark, d), adapters.coverage(spark, d)).filter("status = 'ok'")
     return rows.select("request_id", "dataset_id", *constraints.RESOLVED_COLUMNS, "time_reset")
 
 
