@@ -31,6 +31,29 @@ FILE_FIELDS = ("standard_name", "long_name", "units")
 
 MISSING_LABEL = "N/A"
 
+# Rows that one task sorts for a grouping.
+TASK_ROWS = 1_000_000
+
+
+def _dealt(attributes: DataFrame, wanted: Column, *keys: str) -> DataFrame:
+    """Attribute rows in pieces that a task can sort, the ``wanted`` ones with their values.
+
+    The largest text of a group needs sorted rows, and a small file unfolds into many rows in one
+    task. What one task holds of a group stays together, so that grouping shrinks the rows as
+    before; a group that many tasks hold goes to as many.
+    """
+    rows = attributes.select("dataset_id", "variable_name", *(
+        F.when(wanted, F.col(name)).alias(name) for name in ("attribute_name", "value")))
+    tasks = -(-attributes.count() // TASK_ROWS)
+    if tasks <= 1:
+        return rows
+    return rows.withColumn("_task", F.xxhash64(*keys, F.spark_partition_id())).repartition(tasks, "_task")
+
+
+def _dealt_globals(attributes: DataFrame, *names: str) -> DataFrame:
+    wanted = (F.col("variable_name") == GLOBAL) & F.col("attribute_name").isin(*names)
+    return _dealt(attributes, wanted, "dataset_id")
+
 
 def _attribute(name: str) -> Column:
     return F.max(F.when(F.col("attribute_name") == name, F.col("value")))
@@ -58,7 +81,8 @@ def describe_bounds(attributes: DataFrame) -> DataFrame:
         "lon_min": ("geospatial_lon_min", DEFAULT_LON[0]),
         "lon_max": ("geospatial_lon_max", DEFAULT_LON[1]),
     }
-    raw = attributes.groupBy("dataset_id").agg(
+    sources = ("time_coverage_start", "time_coverage_end", *(source for source, _ in corners.values()))
+    raw = _dealt_globals(attributes, *sources).groupBy("dataset_id").agg(
         _global("time_coverage_start").alias("time_start"),
         _global("time_coverage_end").alias("time_end"),
         *(_global(source).alias(name) for name, (source, _) in corners.items()),
@@ -81,8 +105,9 @@ def describe_bounds(attributes: DataFrame) -> DataFrame:
 
 def variable_dictionary(attributes: DataFrame, fields: Sequence[str] = TABLE_FIELDS) -> DataFrame:
     """One row per real variable with its describing attributes (null where absent)."""
+    variables = attributes.filter(F.col("variable_name") != GLOBAL)
     return (
-        attributes.filter(F.col("variable_name") != GLOBAL)
+        _dealt(variables, F.col("attribute_name").isin(*fields), "dataset_id", "variable_name")
         .groupBy("dataset_id", "variable_name")
         .agg(*(_attribute(name).alias(name) for name in fields))
     )
@@ -136,7 +161,8 @@ def label_records(attributes: DataFrame, file_server: bool = False) -> DataFrame
         "license": _global("license"),
         "project": _global("project"),
     }
-    return attributes.groupBy("dataset_id").agg(
+    sources = ("contributor_name", "creator_name", "institution", "platform", "license", "project")
+    return _dealt_globals(attributes, *sources).groupBy("dataset_id").agg(
         *(F.coalesce(c, F.lit(MISSING_LABEL)).alias(name) for name, c in columns.items())
     )
 
@@ -154,8 +180,9 @@ def info_box(labels: DataFrame) -> DataFrame:
 
 def variable_units(attributes: DataFrame) -> DataFrame:
     """Units of every variable that declares them."""
+    declared = attributes.filter((F.col("attribute_name") == "units") & (F.col("variable_name") != GLOBAL))
     return (
-        attributes.filter((F.col("attribute_name") == "units") & (F.col("variable_name") != GLOBAL))
+        _dealt(declared, F.lit(True), "dataset_id", "variable_name")
         .groupBy("dataset_id", "variable_name")
         .agg(F.max("value").alias("units"))
     )
@@ -169,7 +196,7 @@ def with_units(rows: DataFrame, units: DataFrame) -> DataFrame:
 
 def reject_grids(attributes: DataFrame) -> DataFrame:
     """Datasets with ``supported`` false (and why) where the data type is exactly ``Grid``."""
-    kind = attributes.groupBy("dataset_id").agg(_global("cdm_data_type").alias("cdm_data_type"))
+    kind = _dealt_globals(attributes, "cdm_data_type").groupBy("dataset_id").agg(_global("cdm_data_type").alias("cdm_data_type"))
     grid = F.coalesce(F.col("cdm_data_type") == "Grid", F.lit(False))
     return kind.withColumn("supported", ~grid).withColumn(
         "error", F.when(grid, F.lit("gridded data cannot be read as trajectories"))

@@ -75,3 +75,18 @@ def test_units_and_grids(spark, attributes, rows_of):
     joined = describe.with_units(asked, describe.variable_units(attributes))
     assert rows_of(joined, "variable_name", "units") == [("temperature", "Celsius"), ("time", None)]
     assert rows_of(describe.reject_grids(attributes), "dataset_id", "supported") == [("bare", True), ("odd", False), ("station_9", True)]
+
+
+def test_groupings_sort_a_bounded_number_of_rows_a_task(spark, attributes, rows_of, monkeypatch):
+    unnamed = spark.createDataFrame(
+        [(None, "attribute", "NC_GLOBAL", "license", f"L{i}") for i in range(20)] + [(None, "attribute", None, "units", "m")],
+        ATTRIBUTE_SCHEMA)
+    rows = attributes.unionByName(unnamed)
+    jobs = (describe.describe_bounds, describe.variable_dictionary, describe.label_records, describe.variable_units, describe.reject_grids)
+    expected = [rows_of(job(rows)) for job in jobs]
+    monkeypatch.setattr(describe, "TASK_ROWS", 4, raising=False)
+    for job, found in zip(jobs, expected):
+        dealt = job(rows)
+        assert rows_of(dealt) == found
+        if job is not describe.variable_units:  # two rows only
+            assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
