@@ -130,6 +130,25 @@ def test_regions_equal_single_searches(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_datasets_without_coverage_meet_open_regions_only(spark, monkeypatch):
+    index = spark.createDataFrame(
+        [(str(i), i, None, None, None, None, None, None) for i in range(50)] + [("half", 50, START, None, None, 9.0, 1.0, None)],
+        "dataset_id string, rank long, time_min timestamp_ntz, time_max timestamp_ntz, lat_min double, lat_max double, "
+        "lon_min double, lon_max double")
+    asked = [(i, None, None, float(i), None, None, None) for i in range(50)] + [
+        (50, None, None, None, None, None, None), (51, None, "2030-01-01", 3.0, None, None, 2.0), (52, "soon", None, None, None, None, None),
+        (53, None, None, 200.0, -200.0, None, None)]
+    found = discovery.search_regions(index, spark.createDataFrame(asked, f"region_id int, {REQUEST}"))
+    got = sorted((r["region_id"], r["dataset_id"]) for r in found.collect())
+    assert got == sorted([(50, str(i)) for i in range(50)] + [(i, "half") for i in (*range(10), 50, 51)])
+    # No pair is made for a region and a dataset that cannot meet.
+    asked = spark.createDataFrame(asked[:50], f"region_id int, {REQUEST}")
+    joined = []
+    monkeypatch.setattr(discovery, "lookup_join", lambda *a, **k: joined.append(lookup_join(*a, **k)) or joined[-1])
+    assert discovery.search_regions(index.limit(50), asked).collect() == []
+    assert joined and sum(pairs.count() for pairs in joined) == 0
+
+
 def test_an_update_without_a_sequence_is_the_oldest(spark):
     rows = spark.createDataFrame([("k", "v", None), ("m", "old", None), ("m", "new", 1), ("m", "newer", 2)], "k string, v string, s int")
     got = {r["k"]: (r["v"], r["s"]) for r in latest_entries(rows, ["k"], "s").collect()}
