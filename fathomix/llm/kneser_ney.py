@@ -23,7 +23,6 @@ every probability is 1/(V + 1) = 1. Extra columns are ignored.
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from fathomix.llm.blocks import stored_by
 from fathomix.llm.common import shuffle_partitions, small_batches, text_bytes, words
-from fathomix.session import materialize, shared_folder
+from fathomix.session import materialize
 
 BLOCK_TOKENS = 1 << 20
 # Distinct bigrams that a shard merges, about.
@@ -161,10 +161,7 @@ def store_blocks(docs: DataFrame, train: Column) -> DataFrame:
     name = kind.simpleString()
     blocks = read.mapInArrow(run, f"block long, ids array<{name}>, trained array<boolean>, lengths array<int>, "
                                   "vocab binary, tokens binary")
-    spark, table = docs.sparkSession, f"intermediate_{uuid.uuid4().hex}"
-    blocks.write.format("parquet").bucketBy(shuffle_partitions(docs), "block").option(
-        "path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
-    return spark.table(table)
+    return stored_by(blocks, "block")
 
 
 # What a shard returns: its part of the model, and its answer to each block.

@@ -92,3 +92,9 @@ def test_packed_arrays_come_back(monkeypatch):
     assert (kneser_ney.unpack_numbers(kneser_ney.pack_numbers(numbers)) == numbers).all()
     bounds = kneser_ney.shard_bounds(values, 7)
     assert bounds[0] == 0 and bounds[-1] == len(values) and (np.diff(bounds) > 0).all()
+
+
+def test_blocks_leave_no_table_in_the_catalog(spark, documents):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert kneser_ney.scores(documents([(1, "a b"), (2, "a c")]), quality.fold(folds=5) != 1).count() == 2
+    assert {t.name for t in spark.catalog.listTables()} == before
