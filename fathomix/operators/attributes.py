@@ -33,6 +33,8 @@ MISSING_LABEL = "N/A"
 
 # Rows that one task sorts for a grouping.
 TASK_ROWS = 1_000_000
+# To more tasks than this, Spark by default sorts rows in memory before it sends them.
+MOST_TASKS = 200
 
 
 def _dealt(attributes: DataFrame, wanted: Column, *keys: str) -> DataFrame:
@@ -40,11 +42,12 @@ def _dealt(attributes: DataFrame, wanted: Column, *keys: str) -> DataFrame:
 
     The largest text of a group needs sorted rows, and a small file unfolds into many rows in one
     task. What one task holds of a group stays together, so that grouping shrinks the rows as
-    before; a group that many tasks hold goes to as many.
+    before; a group that many tasks hold goes to as many. Beyond ``MOST_TASKS`` pieces, pieces
+    grow instead of their number.
     """
     rows = attributes.select("dataset_id", "variable_name", *(
         F.when(wanted, F.col(name)).alias(name) for name in ("attribute_name", "value")))
-    tasks = -(-attributes.count() // TASK_ROWS)
+    tasks = min(-(-attributes.count() // TASK_ROWS), MOST_TASKS)
     if tasks <= 1:
         return rows
     return rows.withColumn("_task", F.xxhash64(*keys, F.spark_partition_id())).repartition(tasks, "_task")

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from fathomix.operators import attributes as describe
@@ -90,3 +92,14 @@ def test_groupings_sort_a_bounded_number_of_rows_a_task(spark, attributes, rows_
         assert rows_of(dealt) == found
         if job is not describe.variable_units:  # two rows only
             assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
+
+
+def test_pieces_are_never_so_many_that_senders_sort(spark, monkeypatch):
+    rows = spark.range(300).selectExpr(
+        "CAST(id AS string) AS dataset_id", "'attribute' AS row_type", "'NC_GLOBAL' AS variable_name",
+        "'license' AS attribute_name", "'L' AS value")
+    monkeypatch.setattr(describe, "TASK_ROWS", 1)
+    dealt = describe.label_records(rows)
+    plan = dealt._jdf.queryExecution().toString()
+    assert set(re.findall(r"hashpartitioning\(_task#\d+L, (\d+)\)", plan)) == {"200"}
+    assert dealt.filter("license = 'L'").count() == 300
