@@ -149,6 +149,22 @@ def test_datasets_without_coverage_meet_open_regions_only(spark, monkeypatch):
     assert joined and sum(pairs.count() for pairs in joined) == 0
 
 
+def test_regions_of_one_cell_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(discovery, "SIDE", 10)
+    monkeypatch.setattr(discovery, "TASK_PAIRS", 100)
+    index = spark.createDataFrame(
+        [(str(i), i, START, START, *((float("nan"), float("nan")) if i == 7 else (-80.0, 80.0 - i)), -170.0, 170.0) for i in range(90)],
+        "dataset_id string, rank long, time_min timestamp_ntz, time_max timestamp_ntz, lat_min double, lat_max double, "
+        "lon_min double, lon_max double")
+    asked = [(i, None, None, -90.0 if i % 2 else None, None if i % 3 else 90.0, -180.0, 180.0) for i in range(110)]
+    found = discovery.search_regions(index, spark.createDataFrame(asked, f"region_id int, {REQUEST}"))
+    got = [(r["region_id"], r["rank"], r["p"]) for r in found.withColumn("p", F.spark_partition_id()).collect()]
+    # NaN is above all numbers: no given end in the north reaches it.
+    assert sorted(g[:2] for g in got) == [(i, k) for i in range(110) for k in range(90) if k != 7 or i % 3]
+    parts = [g[2] for g in got]
+    assert max(parts.count(p) for p in set(parts)) < len(got) / 8
+
+
 def test_an_update_without_a_sequence_is_the_oldest(spark):
     rows = spark.createDataFrame([("k", "v", None), ("m", "old", None), ("m", "new", 1), ("m", "newer", 2)], "k string, v string, s int")
     got = {r["k"]: (r["v"], r["s"]) for r in latest_entries(rows, ["k"], "s").collect()}
